@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runeworks.llm import caps, overlap, quotas
+from runeworks.llm import bpe, budget, caps, overlap, packing, quotas
 from runeworks.sources.tables import table
 
 
@@ -23,9 +23,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": _on(overlap.overlap_pairs, "puzzles"),
         "p2_report": _on(overlap.overlap_report, "puzzles"),
+        "p3_budget": _on(budget.token_budget, "documents", "sft_records"),
         "p4_found": _on(caps.dropped_by_caps, "puzzles", "program_signatures", "bucket_caps"),
         "p4_capped": _on(caps.cap_contributors, "puzzles", "program_signatures", "bucket_caps"),
         "p5_found": _on(quotas.missed_quotas, "puzzles", "sample_quotas"),
         "p5_sample": _on(quotas.quota_sample, "puzzles", "sample_quotas"),
         "p5_report": _on(quotas.quota_report, "puzzles", "sample_quotas"),
+        "p7_ids": _on(bpe.encode_documents, "documents"),
+        "p8_packed": _on(packing.pack_documents, "documents", "pack_limits"),
+        "p8_report": _on(packing.packing_report, "documents", "pack_limits"),
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runeworks.llm import bpe, budget, caps, overlap, packing, quotas
+from runeworks.llm import bpe, budget, caps, defects, overlap, packing, quotas
 from runeworks.sources.tables import table
 
 
@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": _on(quotas.missed_quotas, "puzzles", "sample_quotas"),
         "p5_sample": _on(quotas.quota_sample, "puzzles", "sample_quotas"),
         "p5_report": _on(quotas.quota_report, "puzzles", "sample_quotas"),
+        "p6_found": _on(defects.broken_pairs, "sft_records", "eval_records", "puzzles"),
         "p7_ids": _on(bpe.encode_documents, "documents"),
         "p8_packed": _on(packing.pack_documents, "documents", "pack_limits"),
         "p8_report": _on(packing.packing_report, "documents", "pack_limits"),

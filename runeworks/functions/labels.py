@@ -38,7 +38,7 @@ def label(col: Column) -> Column:
     ``" Bit-Xor mask"`` becomes ``bit_xor_mask``. Null, empty and ``unknown``
     give null: there is no label.
     """
-    bare = F.regexp_replace(F.lower(col), r"(?U)^[\s​﻿]+|[\s​﻿]+\z", "")
+    bare = F.regexp_replace(F.lower(col), r"(?U)^[\s\u200b\ufeff]+|[\s\u200b\ufeff]+\z", "")
     joined = F.regexp_replace(bare, r"(?U)[\s_\-‐-―]+", "_")
     return F.when((joined != "") & (joined != "unknown"), joined)
 

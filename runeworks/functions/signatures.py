@@ -49,10 +49,10 @@ def bucket_key(bucket: Column, signature: Column) -> Column:
     """
 
     def coarse(text: Column) -> Column:
-        bare = F.regexp_replace(F.lower(text), r"(?U)^[\s​]+|[\s​]+\z", "")
+        bare = F.regexp_replace(F.lower(text), r"(?U)^[\s\u200b]+|[\s\u200b]+\z", "")
 
         def step(s: Column) -> Column:
-            name = F.regexp_replace(F.split(s, ":", 2)[0], r"(?U)^[\s​]+|[\s​]+\z", "")
+            name = F.regexp_replace(F.split(s, ":", 2)[0], r"(?U)^[\s\u200b]+|[\s\u200b]+\z", "")
             return lookup(F.regexp_replace(name, r"(?U)[\s\-_]+", "_"), OP_SHORT_NAMES)
 
         joined = F.array_join(F.transform(F.split(bare, "[>→]"), step), ">")

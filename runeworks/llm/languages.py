@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-# Frequent function words of each language written in Latin script.
+# Frequent function words of each language with letters of its own.
 FUNCTION_WORDS = {
     "en": "the a an and or of to in on for is are was were be been it its this that these those there with as by from at which what "
     "when where who how not no so if then than but because i you we they he she my your our me us can can't cannot could will won't would "
@@ -14,15 +14,17 @@ FUNCTION_WORDS = {
     "de": "der die das den dem des ein eine einer einem einen eines und oder von zu zum zur im in am an auf für ist sind war waren wird werden "
     "wurde es er sie wir ich du man mit als bei aus nach nicht kein keine keinen so wenn dann aber weil dass daß auch noch nur schon "
     "sich sein seine ihr ihre diese dieser dieses mehr alle jede jeder wie was wer wo kann muss also nun genau gib antwort unter über ohne "
-    "hat haben hatte dabei daher leider gilt bitte jemand anderen gern mir hier erste ersten zweite dritte schreibt bestimme",
+    "hat haben hatte dabei daher leider gilt bitte jemand anderen gern mir hier erste ersten zweite dritte schreibt bestimme etwas kaum daß am ob weiß blieb war lag sehr sicher wir hätte fast einmal noch immer zwei neu",
     "fr": "le la les un une des du de d l et ou à au aux en dans sur pour est sont était sera il elle on nous vous je tu avec comme par ce cet "
     "cette ces qui que quoi dont où ne pas plus aucun aucune si mais car donc aussi sans sous même autre autres tout toute tous toutes son "
     "sa ses leur leurs se sont été être avoir ont faut peux peut ici merci voici cas réponse seule première deuxième maintenant donne écris "
-    "détermine convertis déchiffre suivant suivante",
+    "détermine convertis déchiffre suivant suivante avait presque rien encore cela aussi était fois depuis personne jamais toujours très trop",
     "es": "el la los las un una unos unas de del y o u a al en con por para es son era fue está están ser se lo le les su sus que qué como "
     "cuando donde quien no ni sí si más pero porque pues también solo sólo sin sobre entre este esta estos estas ese esa otro otra otros "
     "otras todo toda todos todas muy ya hay ha han así yo tú usted me te nos puedo puede ahora da una respuesta dentro siguiente primer "
-    "segundo tercera aquí lo tanto vez debe valer determina",
+    "segundo tercera aquí lo tanto vez debe valer determina nada nadie final antes después casi nunca siempre había pero hasta",
+    "ru": "и в во не на что по это как из за то же для но с со у к от до бы так его её их если только ещё раз уже был была было были ли "
+    "он она оно они мы вы я все всё тот эта этот при или нет да чтобы потому почти ничего никто пока там где когда сразу хотя более",
 }
 
 _HOME: dict[str, tuple[str, ...]] = {}
@@ -50,7 +52,7 @@ def word_votes(text: str) -> dict[str, float]:
     if not text.isascii():
         found = len(_CYRILLIC.findall(text))
         if found:
-            votes["ru"] = votes.get("ru", 0.0) + found
+            votes["ru"] = float(found)
         kana = len(_KANA.findall(text))
         if kana:
             votes["ja"] = votes.get("ja", 0.0) + kana / 3.0

@@ -51,6 +51,16 @@ SELECT policy_name, id FROM ranked, bucket_caps
 WHERE rk > least(coalesce(max_records, total), CASE WHEN max_share_bp IS NULL THEN total ELSE greatest(1, total * max_share_bp // 10000) END)
 """
 
+P1 = f"""
+WITH {PUZZLE},
+cell AS (SELECT source, family, count(*) AS n FROM puzzle WHERE source IS NOT NULL GROUP BY 1, 2),
+have AS (
+  SELECT t.mix_name, t.source, t.official_family, max_repeats, target_share * total_records AS wanted, coalesce(sum(n), 0) AS n
+  FROM mix_targets t LEFT JOIN cell c ON c.source = t.source AND (t.official_family = '*' OR c.family = t.official_family)
+  GROUP BY ALL)
+SELECT mix_name, source, official_family FROM have WHERE n * max_repeats < floor(round(wanted, 6) + 0.5)
+"""
+
 P5 = f"""
 WITH {PUZZLE},
 n AS (SELECT family, subtype, count(*) AS n FROM puzzle WHERE subtype IS NOT NULL GROUP BY 1, 2)
@@ -62,4 +72,4 @@ WHERE coalesce(n.n, 0) < greatest(floor(round(target_share * plan_rows, 6) + 0.5
 
 def oracle_sql() -> dict[str, str]:
     """Name to SQL."""
-    return {"p4_found": P4, "p5_found": P5}
+    return {"p1_found": P1, "p4_found": P4, "p5_found": P5}

@@ -19,7 +19,7 @@ FIELD, PAIR, HEAD, NOTHING = "\x01", "\x02", "\x03", "\x04"
 #: Share of the larger set of distinct pairs that two puzzles must have in common.
 THRESHOLD = 0.7
 
-_BLANK = re.compile(r"[\s​-‏⁠﻿­]+")
+_BLANK = re.compile(r"[\s\u200b-\u200f\u2060\ufeff\u00ad]+")
 _NUMBER = re.compile(r"(?<![0-9.,])\d[\d,]*(?:\.\d*)?")
 
 

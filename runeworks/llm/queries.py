@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runeworks.llm import bpe, budget, caps, defects, overlap, packing, quotas
+from runeworks.llm import bpe, budget, caps, defects, mixing, overlap, packing, quotas, textstats
 from runeworks.sources.tables import table
 
 
@@ -21,6 +21,9 @@ def _on(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSess
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
     return {
+        "p1_found": _on(mixing.unmet_targets, "puzzles", "mix_targets"),
+        "p1_mixture": _on(mixing.mix_sources, "puzzles", "mix_targets"),
+        "p1_shares": _on(mixing.mixture_shares, "puzzles", "mix_targets"),
         "p2_found": _on(overlap.overlap_pairs, "puzzles"),
         "p2_report": _on(overlap.overlap_report, "puzzles"),
         "p3_budget": _on(budget.token_budget, "documents", "sft_records"),
@@ -33,4 +36,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_ids": _on(bpe.encode_documents, "documents"),
         "p8_packed": _on(packing.pack_documents, "documents", "pack_limits"),
         "p8_report": _on(packing.packing_report, "documents", "pack_limits"),
+        "p9_found": _on(textstats.not_prose, "documents"),
+        "p9_statistics": _on(textstats.text_statistics, "documents"),
     }

@@ -53,3 +53,29 @@ def rank_slices(ranged: DataFrame, group: list[str], order: list[Column], out: s
         .withColumn(out, (F.col("__local") + F.col("__before")).cast("long"))
         .drop("__slice", "__s", "__before", "__local", *[f"__g{i}" for i in range(len(group))])
     )
+
+
+def running_total(df: DataFrame, group: list[str], order: list[Column], value: str, out: str = "before") -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the earlier rows of the group under ``order``.
+
+    Works like :func:`salted_rank`, slice by slice, so not even a single group that holds all
+    rows is summed up in one task. ``group`` may be empty; ``order`` must be total.
+    """
+    ranged = ordered_slices(df, group, order)
+    sums = ranged.groupBy(*group, "__slice").agg(F.sum(value).alias("__sum"))
+    earlier = Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)],
+        F.col("__slice").alias("__s"),
+        F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"),
+    )
+    inside = Window.partitionBy(*group, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("__slice") == F.col("__s")
+    for i, g in enumerate(group):
+        same = same & (F.col(g) == F.col(f"__g{i}"))
+    return (
+        ranged.withColumn("__local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .join(offsets, same, "inner")
+        .withColumn(out, F.col("__local") + F.col("__base"))
+        .drop("__slice", "__s", "__base", "__local", *[f"__g{i}" for i in range(len(group))])
+    )

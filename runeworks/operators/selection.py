@@ -9,7 +9,7 @@ from runeworks.operators.ranking import salted_rank
 
 
 def first_per_key(rows: DataFrame, key: list[Column], order: list[Column]) -> DataFrame:
-    """The first row of each key under ``order``; nulls in the key equal each other.
+    """The first row of each key by the columns ``order``, ascending; nulls in the key equal each other.
 
     A min over a struct, combined before the shuffle, so a repeated key costs each task one
     row. Map columns cannot be compared and are not allowed.

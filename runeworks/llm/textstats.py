@@ -49,6 +49,7 @@ _TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]{0,200}/?>|&(?:[a-z]{2,8}|#\d{1,6
 _ROW = re.compile(r"<tr\b[^>]*>(.*?)(?=</tr|<tr\b|\Z)", re.S | re.I)
 _CELL = re.compile(r"<t[dh]\b", re.I)
 _ENDS = re.compile(r"[.!?。．！？…:;]['\"”’»)\]*_`]*\Z")
+_ALNUM = re.compile(r"[^\W_]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _MOJIBAKE = re.compile(r"[\u00c2-\u00f4][\u0080-\u00bf\u0152-\u0178\u02c6\u02dc\u2013-\u203a\u20ac\u2122]+")
 _CJK = re.compile(r"[぀-ヿ一-鿿가-힣]")
@@ -71,7 +72,8 @@ def _pair_table() -> np.ndarray:
 
 def _codes(text: str) -> np.ndarray:
     """Letters as 1..26 without accents, all else as 0."""
-    bare = unicodedata.normalize("NFKD", text.lower()).encode("ascii", "ignore")
+    low = text.lower()
+    bare = low.encode() if low.isascii() else unicodedata.normalize("NFKD", low).encode("ascii", "ignore")
     raw = np.frombuffer(bare, dtype=np.uint8).astype(np.int64) - 96
     return np.where((raw < 1) | (raw > 26), 0, raw)
 
@@ -90,6 +92,8 @@ def letter_pairs(text: str) -> float:
 def repetition(text: str) -> float:
     """Greatest share of units that stand again one short period later: words, or characters of an unbroken text."""
     units: list | str = text.split()
+    if len(units) >= 8 and len(set(units)) > 12 + len(units) // 5:
+        return 0.0
     if len(units) < 8:
         units = "".join(units)
         if len(units) < 24:
@@ -109,6 +113,37 @@ def _sentence(words: list[str], line: str) -> bool:
     return len(words) >= 5 and bool(_ENDS.search(line)) and sum(len(w) > 1 for w in words) >= 4
 
 
+def _class_table() -> np.ndarray:
+    """Class of each character of the basic plane: 1 letter, 2 digit, 4 other alphanumeric, 8 blank, 16 ideogram or kana."""
+    table = np.zeros(1 << 16, dtype=np.uint8)
+    for code in range(1 << 16):
+        c = chr(code)
+        if c.isalpha():
+            table[code] = 1
+        elif c.isdigit():
+            table[code] = 2
+        elif c.isalnum():
+            table[code] = 4
+        elif c.isspace():
+            table[code] = 8
+    for low, high in ((0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)):
+        table[low : high + 1] |= 16
+    return table
+
+
+_CLASSES = _class_table()
+
+
+def _counts(text: str) -> np.ndarray:
+    """Letters, digits, other alphanumerics, blanks and ideograms of a text; other planes count as symbols."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    found = np.bincount(_CLASSES[codes[codes < 1 << 16]], minlength=32)
+    return np.asarray([found[1] + found[17], found[2] + found[18], found[4] + found[20], found[8] + found[24], found[16:].sum()])
+
+
+_MARKED = re.compile(r"[|\t;\ufffd]|->|=>|[→⇒↦]| {2}|,.*,|\S{41}|=")
+
+
 def _columns(line: str) -> int:
     """Columns of a line in the layout that gives most of them, if its cells are short."""
     best = 0
@@ -135,13 +170,16 @@ def _columns(line: str) -> int:
 def line_kind(line: str) -> str:
     """Kind of one non-blank line."""
     bare = line.strip()
-    words = [w.lower() for w in _WORD.findall(bare)]
+    words = _WORD.findall(bare.lower())
+    if not _MARKED.search(bare) and bare.isascii() and not _BULLET.match(line) and _sentence(words, bare):
+        return "prose"
     letters = sum(map(len, words))
-    if len(_CJK.findall(bare)) * 2 > len(bare):
+    if not bare.isascii() and len(_CJK.findall(bare)) * 2 > len(bare):
         return "junk" if len(set(bare)) <= 3 and len(bare) > 8 else "prose" if len(bare) > 8 or _ENDS.search(bare) else "list"
     if _RULE.match(bare) and ("-" in bare or "=" in bare or "+" in bare):
         return "table" if "|" in bare or "+" in bare else "rule"
-    alnum = sum(map(str.isalnum, bare))
+    alnum = sum(map(len, _ALNUM.findall(bare)))
+    symbols = sum(map(len, bare.split())) - alnum
     if len(bare) > 30 and alnum * 8 < len(bare) and not re.fullmatch(r"\S{1,14} (?:->|=>|→) \S{1,14}", bare):
         return "junk"
     pair = _ARROW.search(bare)
@@ -151,13 +189,11 @@ def line_kind(line: str) -> str:
         return "junk"
     columns = _columns(line)
     if columns >= 3 and not (letters * 4 < len(bare) and not re.search(r"\d", bare) and columns < 4):
-        symbols = sum(not c.isalnum() and not c.isspace() for c in bare)
         if symbols * 2 < len(bare) or "|" in bare and letters * 5 > len(bare):
             return "table"
     if pair or _PHYSICS.match(bare):
         return "list"
     longest = max(map(len, bare.split()))
-    symbols = sum(not c.isalnum() and not c.isspace() for c in bare)
     if symbols * 2 > len(bare) and letters * 3 < len(bare) and len(bare) >= 6:
         return "junk"
     if longest > 40 and longest * 2 > len(bare):
@@ -212,19 +248,18 @@ def describe(text: str) -> tuple[dict[str, float], Counter]:
     # A short punctuated line ends a wrapped sentence where prose stands around it.
     kinds["prose" if kinds["prose"] >= kinds["list"] else "list"] += kinds.pop("short", 0)
     words = _WORD.findall(plain)
-    low = [w.lower() for w in words]
-    ideograms = len(_CJK.findall(plain))
+    low = _WORD.findall(plain.lower())
+    letters, digits, others, blanks, ideograms = map(int, _counts(plain))
     n, size = len(words), max(1, len(plain))
-    blanks = sum(map(str.isspace, plain))
     solid = max(1, len(plain) - blanks)
     total = max(1, sum(kinds.values()))
     raw = plain.encode("utf-8", "replace")
     stats = {
         "words": float(np.log1p(n + ideograms / 2)),
         "mean_word_length": sum(map(len, words)) / n if n else 0.0,
-        "symbol_share": sum(not c.isalnum() and not c.isspace() for c in plain) / solid,
-        "digit_share": sum(map(str.isdigit, plain)) / solid,
-        "letter_share": sum(map(str.isalpha, plain)) / solid,
+        "symbol_share": (len(plain) - blanks - letters - digits - others) / solid,
+        "digit_share": digits / solid,
+        "letter_share": letters / solid,
         "punctuated_line_share": sum(bool(_ENDS.search(x.rstrip())) for x in lines) / max(1, len(lines)),
         "common_word_share": min(1.0, (sum(w in FUNCTION for w in low) + ideograms / 4) / max(1.0, n + ideograms / 4)),
         **{f"{k}_line_share": kinds[k] / total for k in ("list", "table", "junk", "prose")},
@@ -241,11 +276,13 @@ def describe(text: str) -> tuple[dict[str, float], Counter]:
 
 def exact_kind(text: str, stats: dict[str, float], kinds: Counter) -> str:
     """The kind of a text by most of its lines; junk goes before the others."""
-    words = [w.lower() for w in _WORD.findall(text)]
     total = sum(kinds.values())
-    visible = [c for c in text if not c.isspace()]
+    visible = "".join(text.split())
     if not total or not visible:
         return "junk"
+    if kinds["prose"] == total and text.isascii() and stats["repetition"] < 0.5 and stats["letter_pairs"] > SCRAMBLED and stats["longest_word"] < 3.7:
+        return "prose"
+    words = [w.lower() for w in _WORD.findall(text)]
     if stats["markup_share"] > 0.5 and not kinds["table"] and len(words) and stats["words"] < np.log1p(3 + 0.02 * len(text)):
         return "junk"
     if len(visible) > 20 and len(set(visible)) <= 3:

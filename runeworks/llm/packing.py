@@ -133,8 +133,10 @@ def pack_documents(
     ]
     kind = documents.schema["doc_id"].dataType.simpleString()
     slots = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_rows = settle(
-        placed_documents(documents, path)
+    # The few numbers of each document are kept once: sampling for the ranges and the
+    # exchange both read them, and a lost task finds the same ranges again.
+    sorted_rows = (
+        settle(placed_documents(documents, path))
         .repartitionByRange(slots, "curve", "doc_id")
         .sortWithinPartitions("curve", "doc_id")
     )

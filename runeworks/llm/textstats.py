@@ -44,7 +44,10 @@ SCRAMBLED, SCRAMBLED_SHORT = -2.95, -3.3
 #: Characters that show nothing.
 BLANK = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0xAD, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))
 
-_ROLE = re.compile(r"<\|[^|>\n]{1,20}\|>[ \t]*(?:user|assistant|system|tool)?|^[ \t]*(?:\[?(?:user|assistant|system|human|bot|ai)\]?)[ \t]*[:>]?[ \t]*$", re.I | re.M)
+_ROLE = re.compile(r"<\|[^|>\n]{1,20}\|>[ \t]*(?:user|assistant|system|tool)?", re.I)
+
+# Lines that only name a speaker.
+_SPEAKERS = frozenset("user assistant system human bot ai tool".split())
 _TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]{0,200}/?>|&(?:[a-z]{2,8}|#\d{1,6});", re.S)
 _ROW = re.compile(r"<tr\b[^>]*>(.*?)(?=</tr|<tr\b|\Z)", re.S | re.I)
 _CELL = re.compile(r"<t[dh]\b", re.I)
@@ -106,9 +109,9 @@ def repetition(text: str) -> float:
     return best
 
 
-def _sentence(words: list[str], line: str) -> bool:
-    """Whether a line reads like a sentence or a stretch of one."""
-    if len(words) >= 4 and sum(w in FUNCTION for w in words) * 5 >= len(words):
+def _sentence(words: list[str], common: int, line: str) -> bool:
+    """Whether a line with ``common`` function words reads like a sentence or a stretch of one."""
+    if len(words) >= 4 and common * 5 >= len(words):
         return True
     return len(words) >= 5 and bool(_ENDS.search(line)) and sum(len(w) > 1 for w in words) >= 4
 
@@ -141,7 +144,12 @@ def _counts(text: str) -> np.ndarray:
     return np.asarray([found[1] + found[17], found[2] + found[18], found[4] + found[20], found[8] + found[24], found[16:].sum()])
 
 
-_MARKED = re.compile(r"[|\t;\ufffd]|->|=>|[→⇒↦]| {2}|,.*,|\S{41}|=")
+def _marked(line: str) -> bool:
+    """Whether a line has anything that columns, pairs or long units need."""
+    if "|" in line or "\t" in line or ";" in line or "=" in line or "->" in line or "  " in line or line.count(",") > 1:
+        return True
+    return len(max(line.split(), key=len)) > 40
+
 
 
 def _columns(line: str) -> int:
@@ -167,11 +175,13 @@ def _columns(line: str) -> int:
     return best
 
 
-def line_kind(line: str) -> str:
-    """Kind of one non-blank line."""
+def line_kind(line: str, words: list[str] | None = None, common: int = 0) -> str:
+    """Kind of one non-blank line; ``words`` are its lower-case words, ``common`` of them function words."""
     bare = line.strip()
-    words = _WORD.findall(bare.lower())
-    if not _MARKED.search(bare) and bare.isascii() and not _BULLET.match(line) and _sentence(words, bare):
+    if words is None:
+        words = _WORD.findall(bare.lower())
+        common = sum(w in FUNCTION for w in words)
+    if len(words) >= 4 and common * 5 >= len(words) and bare.isascii() and not _marked(bare) and not _BULLET.match(line):
         return "prose"
     letters = sum(map(len, words))
     if not bare.isascii() and len(_CJK.findall(bare)) * 2 > len(bare):
@@ -183,7 +193,7 @@ def line_kind(line: str) -> str:
     if len(bare) > 30 and alnum * 8 < len(bare) and not re.fullmatch(r"\S{1,14} (?:->|=>|→) \S{1,14}", bare):
         return "junk"
     pair = _ARROW.search(bare)
-    if pair and len(bare) < 160 and not _sentence(words, bare):
+    if pair and len(bare) < 160 and not _sentence(words, common, bare):
         return "list"
     if len(bare) > 24 and len(set(bare.replace(" ", ""))) <= 3:
         return "junk"
@@ -202,9 +212,9 @@ def line_kind(line: str) -> str:
         return "junk"
     if _BULLET.match(line):
         return "list"
-    if _sentence(words, bare):
+    if _sentence(words, common, bare):
         return "prose"
-    if len(words) >= 6 and sum(w in FUNCTION for w in words) * 8 >= len(words):
+    if len(words) >= 6 and common * 8 >= len(words):
         return "prose"
     if len(words) >= 8 and _gibberish(words):
         return "junk"
@@ -225,9 +235,15 @@ def _gibberish(words: list[str]) -> bool:
 
 
 def lines_of(text: str) -> list[str]:
-    """Non-blank lines without chat role markers; rows of an HTML table count as lines."""
-    text = _ROLE.sub("", text.replace("\r\n", "\n").replace("\r", "\n").replace("\x85", "\n").replace("\u2028", "\n").replace("\u2029", "\n"))
-    return [line for line in text.split("\n") if line.strip(BLANK)]
+    """Non-blank lines without chat role markers."""
+    if "<|" in text:
+        text = _ROLE.sub("", text)
+    if not text.isascii():
+        text = text.replace("\x85", "\n").replace("\u2028", "\n").replace("\u2029", "\n")
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    lines = [line for line in text.split("\n") if line.strip(BLANK)]
+    return [x for x in lines if len(x) > 24 or x.strip(" \t[]:>").lower() not in _SPEAKERS]
 
 
 def describe(text: str) -> tuple[dict[str, float], Counter]:
@@ -239,7 +255,9 @@ def describe(text: str) -> tuple[dict[str, float], Counter]:
     if markup * 4 < len(text):
         plain = text
     lines = lines_of(plain)
-    kinds = Counter(map(line_kind, lines))
+    by_line = [_WORD.findall(line.strip().lower()) for line in lines]
+    commons = [sum(map(FUNCTION.__contains__, words)) for words in by_line]
+    kinds = Counter(map(line_kind, lines, by_line, commons))
     kinds["table"] += kinds.pop("rule", 0) if kinds["table"] else 0
     if rows:
         tabled = sum(n >= 3 for n in rows)
@@ -247,21 +265,20 @@ def describe(text: str) -> tuple[dict[str, float], Counter]:
         kinds = Counter({"table": tabled, "list": len(rows) - tabled, "prose": max(0, kinds["prose"] - cells)})
     # A short punctuated line ends a wrapped sentence where prose stands around it.
     kinds["prose" if kinds["prose"] >= kinds["list"] else "list"] += kinds.pop("short", 0)
-    words = _WORD.findall(plain)
-    low = _WORD.findall(plain.lower())
+    low = [w for words in by_line for w in words]
     letters, digits, others, blanks, ideograms = map(int, _counts(plain))
-    n, size = len(words), max(1, len(plain))
+    n, size = len(low), max(1, len(plain))
     solid = max(1, len(plain) - blanks)
     total = max(1, sum(kinds.values()))
     raw = plain.encode("utf-8", "replace")
     stats = {
         "words": float(np.log1p(n + ideograms / 2)),
-        "mean_word_length": sum(map(len, words)) / n if n else 0.0,
+        "mean_word_length": sum(map(len, low)) / n if n else 0.0,
         "symbol_share": (len(plain) - blanks - letters - digits - others) / solid,
         "digit_share": digits / solid,
         "letter_share": letters / solid,
         "punctuated_line_share": sum(bool(_ENDS.search(x.rstrip())) for x in lines) / max(1, len(lines)),
-        "common_word_share": min(1.0, (sum(w in FUNCTION for w in low) + ideograms / 4) / max(1.0, n + ideograms / 4)),
+        "common_word_share": min(1.0, (sum(commons) + ideograms / 4) / max(1.0, n + ideograms / 4)),
         **{f"{k}_line_share": kinds[k] / total for k in ("list", "table", "junk", "prose")},
         "distinct_word_share": len(set(low)) / n if n else 0.0,
         "compression": min(1.5, len(zlib.compress(raw, 1)) / max(1, len(raw))),
@@ -282,15 +299,15 @@ def exact_kind(text: str, stats: dict[str, float], kinds: Counter) -> str:
         return "junk"
     if kinds["prose"] == total and text.isascii() and stats["repetition"] < 0.5 and stats["letter_pairs"] > SCRAMBLED and stats["longest_word"] < 3.7:
         return "prose"
-    words = [w.lower() for w in _WORD.findall(text)]
-    if stats["markup_share"] > 0.5 and not kinds["table"] and len(words) and stats["words"] < np.log1p(3 + 0.02 * len(text)):
+    if stats["markup_share"] > 0.5 and not kinds["table"] and _WORD.search(text) and stats["words"] < np.log1p(3 + 0.02 * len(text)):
         return "junk"
-    if len(visible) > 20 and len(set(visible)) <= 3:
+    if len(visible) > 20 and len(set(visible[:2000])) <= 3 and len(set(visible)) <= 3:
         return "junk"
-    if sum(map(len, _MOJIBAKE.findall(text))) * 4 > len(visible):
+    if not text.isascii() and sum(map(len, _MOJIBAKE.findall(text))) * 4 > len(visible):
         return "junk"
     if stats["repetition"] > 0.9:
         return "junk"
+    words = _WORD.findall(text.lower()) if stats["letter_pairs"] < SCRAMBLED else []
     latin = [w for w in words if w[0] < "\u0250"]
     if len(latin) >= 8 and len(latin) * 10 > len(words) * 9 and stats["letter_pairs"] < (SCRAMBLED if len(latin) >= 16 else SCRAMBLED_SHORT) and kinds["prose"] + kinds["junk"] > kinds["list"] + kinds["table"]:
         long = [w for w in latin if len(w) > 1]

@@ -25,6 +25,9 @@ TRAINING_ROWS = 2000
 #: Share of familiar n-grams below which a wording is strange to sound responses.
 STRANGE = 0.45
 
+#: Sound rows from which on wordings are judged; with fewer, the fixed phrases tell refusals.
+WORDED = 200
+
 #: Log odds that thresholds lie below what calibration gives; the exact check only removes.
 MARGIN = 2.0
 
@@ -273,13 +276,15 @@ PAIR_FEATURES, REFUSING_FEATURE = 14, 7
 class Classifier:
     """Multi-label linear classifier: weights of n-grams and pair features, thresholds of each defect.
 
-    ``familiar`` marks the n-grams that sound responses have.
+    ``familiar`` marks the n-grams that sound responses have; ``worded`` tells whether there
+    were enough of them (:data:`WORDED`) to judge a wording by.
     """
 
     grams: np.ndarray
     pair: np.ndarray
     thresholds: np.ndarray
     familiar: np.ndarray
+    worded: bool = True
 
     def scores(self, pairs: list[Pair]) -> tuple[np.ndarray, np.ndarray]:
         """Log odds of each defect and the share of familiar n-grams, a row for each pair."""
@@ -306,7 +311,7 @@ class Classifier:
         flagged = (scores >= self.thresholds).any(axis=1)
         prefers = scores[:, DEFECTS.index("refusal")] > scores[:, DEFECTS.index("truncated")]
         return [
-            pair.confirmed(bool(prefers[i]) or bool(share[i] < STRANGE and pair.own_share >= 0.5)) if flagged[i] else None
+            pair.confirmed(self.worded and bool(prefers[i] or share[i] < STRANGE and pair.own_share >= 0.5)) if flagged[i] else None
             for i, pair in enumerate(pairs)
         ]
 
@@ -389,7 +394,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 5, epochs: int = 4, recall: flo
     for ids, _, target in data:
         if not target.any():
             familiar[ids] = 1.0
-    return Classifier(grams.astype(np.float32), weights, thresholds, familiar)
+    return Classifier(grams.astype(np.float32), weights, thresholds, familiar, len(rows) >= WORDED)
 
 
 def response_pairs(records: DataFrame, evaluations: DataFrame, puzzles: DataFrame) -> DataFrame:

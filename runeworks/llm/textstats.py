@@ -317,6 +317,8 @@ def exact_kind(text: str, stats: dict[str, float], kinds: Counter) -> str:
         return "junk"
     if kinds["prose"] * 2 >= total:
         return "prose"
+    if total == 1 and kinds["list"] and not any(p.search(text) for p in (_BULLET, _ARROW, _NAMED, _PHYSICS)) and any(map(str.isalpha, text)):
+        return "prose"  # a single short entry is no list
     if kinds["junk"] > max(kinds["table"], kinds["list"], kinds["prose"]):
         return "junk"
     return "table" if kinds["table"] >= kinds["list"] and kinds["table"] else "list"

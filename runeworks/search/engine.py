@@ -93,7 +93,7 @@ def _number(text: str) -> Decimal | None:
     return numeric_value(text)
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=1 << 18)
 def similarity(text: str, wanted: str) -> float:
     """1 for equal texts, 0.98 for numbers within tolerance, else the share of matching blocks."""
     if text == wanted:
@@ -154,7 +154,9 @@ class Searcher:
                 first.setdefault(state.steps, state)
             beam = list(first.values())[: self.beam]
             done += beam
-            if not beam:
+            # Longer programs come after these, so neither the best nor the margin can change.
+            whole = sum(s.exact == 1.0 and s.legality == 1.0 for s in beam)
+            if not beam or whole >= max(top, 2) and not (self.start_prior or self.transition_prior):
                 break
         done.sort(key=State.order)
         margin = done[0].score - (done[1].score if len(done) > 1 else 0.0) if done else 0.0

@@ -35,3 +35,13 @@ def settle(df: DataFrame) -> DataFrame:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
         spark.sparkContext.setCheckpointDir(base + "/_checkpoints")
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work that is heavy on the CPU.
+
+    Only an input read in fewer partitions than cores is moved, and as one partition holds at
+    most ``spark.sql.files.maxPartitionBytes``, that input is small. Larger ones stay as read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

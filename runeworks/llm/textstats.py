@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from runeworks.llm.inspected import INSPECTED, PROSE
 from runeworks.llm.languages import FUNCTION
-from runeworks.session import settle
+from runeworks.session import settle, spread
 
 KINDS = ("prose", "list", "table", "junk")
 
@@ -451,7 +451,7 @@ def described(documents: DataFrame) -> DataFrame:
                 names=["doc_id", "x", "checked"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(describe_all, f"doc_id {kind}, x array<double>, checked string")
+    return spread(documents.select("doc_id", "text")).mapInArrow(describe_all, f"doc_id {kind}, x array<double>, checked string")
 
 
 def judged_documents(documents: DataFrame) -> DataFrame:

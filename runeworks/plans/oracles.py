@@ -269,6 +269,13 @@ PLAIN = {
       repair AS (SELECT record_id FROM record SEMI JOIN failed USING (id)),
       rest AS (SELECT record_id, row_number() OVER (ORDER BY record_id) AS rk FROM record ANTI JOIN failed USING (id))
       SELECT record_id, 'repair' AS bucket FROM repair UNION ALL SELECT record_id, 'replay' FROM rest WHERE rk <= (SELECT floor(count(*) * 0.25) FROM repair)""",
+    "rendered_records": rf"""WITH {PUZZLE}, {PROGRAM}, solved AS (
+        SELECT p.id, coalesce(p.family, 'unknown') AS family, p.subtype, coalesce(nullif(g.signature, ''), 'identity') AS signature,
+          '\boxed{{' || regexp_replace(p.target_answer, '^{_BLANK}|{_BLANK}$', '', 'g') || '}}' AS boxed, md5(regexp_replace(p.raw_prompt, '{_BLANK}$', '')) AS prompt_digest
+        FROM puzzle p LEFT JOIN program g ON g.id = p.id WHERE p.target_answer IS NOT NULL AND p.query <> '')
+      SELECT id, 'answer_only' AS trace_style, prompt_digest, boxed AS completion FROM solved
+      UNION ALL SELECT id, 'short_trace', prompt_digest, concat_ws('; ', 'family=' || family, 'sub=' || subtype, 'sig=' || signature, 'answer=' || boxed) FROM solved
+      UNION ALL SELECT id, 'token_trace', prompt_digest, 'fam=' || family || '|sub=' || coalesce(subtype, 'unknown') || '|sig=' || signature || '|' || boxed FROM solved""",
     "length_percentiles": f"""WITH {RECORD}, {_MEASURED} SELECT stage, family, count(*) AS n, {_percentile(0.5)}, {_percentile(0.95)}, {_percentile(0.99)},
       round(avg(total_words), 9) AS mean_words, max(total_words) AS most_words, round(avg((total_words > 128)::INT::DOUBLE), 9) AS over_share FROM measured GROUP BY stage, family""",
     "max_seq_recommend": f"""WITH {RECORD}, {_MEASURED} SELECT p95, CASE WHEN p95 <= 1024 THEN 1024 ELSE least(greatest(1536, p95), 2048) END AS max_length

@@ -17,7 +17,7 @@ from runeworks.functions.text import (
 from runeworks.operators import graph, lengths, selection, splits
 from runeworks.operators.latest import latest
 from runeworks.operators.puzzles import current_puzzles
-from runeworks.plans import evaluate, features, prompts, synth
+from runeworks.plans import evaluate, features, novelty, prompts, records, synth
 from runeworks.search.engine import annotated, search_programs
 from runeworks.sources.tables import table
 
@@ -409,6 +409,29 @@ def repair_replay(spark: SparkSession, folder: str) -> DataFrame:
     ).select("record_id", "bucket")
 
 
+def _solved(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    programs = _programs(spark, folder).select("id", "signature", "bucket")
+    return _puzzles(spark, folder, "family", "subtype", *columns).join(programs, "id", "left")
+
+
+def rendered_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Training records of every puzzle in the three styles, prompts as digests."""
+    p = _solved(spark, folder, "raw_prompt", "query", "parsed_examples", "target_answer")
+    made = [records.training_records(p, style, "stage2") for style in records.STYLES]
+    return made[0].unionByName(made[1]).unionByName(made[2]).select("id", "trace_style", F.md5("prompt").alias("prompt_digest"), "completion")
+
+
+def novelty_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """The six splits of all puzzles."""
+    return novelty.build_splits(_solved(spark, folder, "source"))
+
+
+def novelty_split_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes of the six splits by family and subtype."""
+    p = _solved(spark, folder, "source")
+    return novelty.split_stats(novelty.build_splits(p), p)
+
+
 # Graph and lengths.
 
 
@@ -467,6 +490,7 @@ def queries() -> dict[str, Query]:
         eval_rates, eval_coverage, eval_splits, error_taxonomy, hardcase_topk, curriculum_buckets,
         pair_features, puzzle_features, family_report, family_counts,
         split_by_rule, split_by_rule_balanced, split_random, split_leak_free, signature_cap, dedupe_records, oversampled_families, round_robin, repair_replay,
+        rendered_records, novelty_splits, novelty_split_stats,
         length_percentiles, max_seq_recommend, sft_summary, merged_weights, signature_buckets,
         search_beam, annotate_top1, synthetic_puzzles,
     ]

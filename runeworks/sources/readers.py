@@ -47,11 +47,10 @@ def read_table(spark: SparkSession, *paths: str) -> DataFrame:
     return out
 
 
-def pick(df: DataFrame, name: str) -> Column | None:
+def pick(df: DataFrame, name: str) -> str | None:
     """The column of ``df`` that stands for ``name``, whatever its case, or None."""
     present = {c.lower(): c for c in reversed(df.columns)}
-    found = next((present[a] for a in ALIASES[name] if a in present), None)
-    return None if found is None else F.col(f"`{found}`")
+    return next((present[a] for a in ALIASES[name] if a in present), None)
 
 
 def _pairs(field: Column) -> Column:
@@ -83,14 +82,15 @@ def parse_puzzles(df: DataFrame, source: str, split: str) -> DataFrame:
 
     def text(name: str) -> Column:
         found = pick(df, name)
-        return canonical_text(found.cast("string")) if found is not None else empty
+        return empty if found is None else canonical_text(F.col(f"`{found}`").cast("string"))
 
     prompt = F.coalesce(text("raw_prompt"), F.lit(""))
     fallback = F.concat(F.lit(f"{split}_"), F.hex(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])))
-    field = pick(df, "pairs")
+    name = pick(df, "pairs")
     given = F.array().cast(PAIR)
-    if field is not None:
-        is_array = dict(df.dtypes).get(str(field._jc.toString()).strip("`"), "").startswith("array")
+    if name is not None:
+        field = F.col(f"`{name}`")
+        is_array = dict(df.dtypes)[name].startswith("array")
         given = F.coalesce(field.cast(PAIR) if is_array else _pairs(field.cast("string")), given)
     rows = df.select(
         F.coalesce(F.nullif(text("id"), F.lit("")), fallback).alias("id"),

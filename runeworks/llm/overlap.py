@@ -20,7 +20,7 @@ FIELD, PAIR, HEAD, NOTHING = "\x01", "\x02", "\x03", "\x04"
 THRESHOLD = 0.7
 
 _BLANK = re.compile(r"[\s\u200b-\u200f\u2060\ufeff\u00ad]+")
-_NUMBER = re.compile(r"(?<![0-9.,])\d[\d,]*(?:\.\d*)?")
+_NUMBER = re.compile(r"(?<![0-9.,])(?:\d[\d,]*(?:\.\d*)?|\.\d+)")
 
 
 def _plain_number(match: re.Match) -> str:
@@ -28,7 +28,6 @@ def _plain_number(match: re.Match) -> str:
     if match.start() and match.string[match.start() - 1].isalpha():
         return text
     whole, _, part = text.partition(".")
-    tail = ""
     if "," in whole:
         if re.fullmatch(r"\d{1,3}(,\d{3})+", whole):
             whole = whole.replace(",", "")
@@ -37,7 +36,7 @@ def _plain_number(match: re.Match) -> str:
         else:
             return text
     part = part.rstrip("0")
-    return (whole.lstrip("0") or "0") + ("." + part if part else "") + tail
+    return (whole.lstrip("0") or "0") + ("." + part if part else "")
 
 
 def canonical_typing(text: str) -> str:

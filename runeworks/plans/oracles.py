@@ -117,7 +117,7 @@ OPERATORS = {
     "op_affine_transform": N.format("v * 2 + 5"),
     "op_digit_sum": N.format("list_sum([d::INT for d in regexp_extract_all(CAST(v AS VARCHAR), '[0-9]')])"),
     "op_filter_digits": P.format("regexp_replace(p_name, '[^0-9]', '', 'g')"),
-    "op_filter_letters": P.format(r"regexp_replace(p_name, '\P{L}'.replace('.', '.'), '', 'g')".replace(".replace('.', '.')", "")),
+    "op_filter_letters": P.format("regexp_replace(p_name, '[^a-zA-Z]', '', 'g')"),
     "op_filter_vowels": P.format(f"regexp_replace(p_name, '{_VOWEL}', '', 'g')"),
     "op_filter_consonants": P.format(r"regexp_replace(p_name, '[^b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]', '', 'g')"),
     "op_filter_alnum": P.format("regexp_replace(p_name, '[^a-zA-Z0-9]', '', 'g')"),

@@ -392,11 +392,25 @@ def oversampled_families(spark: SparkSession, folder: str) -> DataFrame:
     return selection.oversample(_records(spark, folder).select("record_id", "family"), times).select("record_id", "repeat_index")
 
 
+# Families in the order of a round, hard ones first.
+ROUND = ["cipher", "bit", "equation", "numeral", "unit", "gravity"]
+
+
 def round_robin(spark: SparkSession, folder: str) -> DataFrame:
-    """Records interleaved over the families, hard ones first."""
-    rows = _records(spark, folder).select("record_id", "family")
-    order = ["cipher", "bit", "equation", "numeral", "unit", "gravity"]
-    return selection.interleave(rows, "family", order, [F.col("record_id").asc()]).select("record_id", "turn", "place")
+    """Records that name a family, as the SQL has it, interleaved over the families, hard ones first; see balanced_records for all."""
+    rows = _records(spark, folder).select("record_id", "family").where("family IS NOT NULL")
+    return selection.interleave(rows, "family", ROUND, [F.col("record_id").asc()]).select("record_id", "turn", "place")
+
+
+def balanced_records(spark: SparkSession, folder: str) -> DataFrame:
+    """All records interleaved over the families, hard ones twice a turn and those without a family last, at most 64 of a program or else puzzle."""
+    rows = _records(spark, folder).select(
+        "record_id", "family", F.coalesce(F.nullif("signature", F.lit("")), F.concat(F.lit("id:"), F.coalesce("id", F.lit("unknown")))).alias("program")
+    )
+    twice = {f: 2 for f in ("cipher", "bit", "equation")}
+    return selection.interleave(rows, "family", ROUND, [F.col("record_id").asc()], visits=twice, cap=F.col("program"), most=64).select(
+        "record_id", "family", "turn", "place"
+    )
 
 
 def repair_replay(spark: SparkSession, folder: str) -> DataFrame:
@@ -489,7 +503,7 @@ def queries() -> dict[str, Query]:
         canonical_documents, boxed_flat, exact_forms, parsed_prompts, rendered_prompts, prompt_instructions, query_tokens, roman_numbers,
         eval_rates, eval_coverage, eval_splits, error_taxonomy, hardcase_topk, curriculum_buckets,
         pair_features, puzzle_features, family_report, family_counts,
-        split_by_rule, split_by_rule_balanced, split_random, split_leak_free, signature_cap, dedupe_records, oversampled_families, round_robin, repair_replay,
+        split_by_rule, split_by_rule_balanced, split_random, split_leak_free, signature_cap, dedupe_records, oversampled_families, round_robin, balanced_records, repair_replay,
         rendered_records, novelty_splits, novelty_split_stats,
         length_percentiles, max_seq_recommend, sft_summary, merged_weights, signature_buckets,
         search_beam, annotate_top1, synthetic_puzzles,

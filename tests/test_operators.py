@@ -76,6 +76,37 @@ def test_selection(spark):
     assert sorted((r.id, r.bucket) for r in mixed) == [(1, "repair"), (2, "repair"), (3, "repair"), (4, "replay")]
 
 
+def walked(records, priority, visits, most):
+    """The walk over the families, record by record."""
+    families = {}
+    for i, fam, key in sorted(records):
+        families.setdefault(fam or "unknown", []).append((i, key))
+    schedule = [f for f in priority if f in families] + sorted(set(families) - set(priority))
+    given, out, turn = {}, [], 0
+    while any(families.values()):
+        turn += 1
+        for fam in [f for f in schedule for _ in range(visits.get(f, 1))]:
+            while families[fam]:
+                i, key = families[fam].pop(0)
+                if most <= 0 or given.get(key, 0) < most:
+                    given[key] = given.get(key, 0) + 1
+                    out.append((i, fam, turn))
+                    break
+    return out
+
+
+def test_interleave_keeps_rows_without_group(spark):
+    rng = random.Random(3)
+    records = [(i, rng.choice(["a", "b", "b", "c", "z", "", None]), f"k{min(rng.randrange(12), 6)}") for i in range(300)]
+    rows = spark.createDataFrame(records, "id int, fam string, k string")
+    order = [F.col("id").asc()]
+    for visits, most in (({}, 0), ({"c": 2, "b": 3}, 0), ({"b": 2}, 9), ({"b": 2}, 1)):
+        placed = selection.interleave(rows, "fam", ["c", "b"], order, None, visits, F.col("k"), most).orderBy("place").collect()
+        assert [(r.id, r.fam, r.turn) for r in placed] == walked(records, ["c", "b"], visits, most)
+        assert [r.place for r in placed] == list(range(1, len(placed) + 1))
+    assert selection.interleave(rows.limit(0), "fam", [], order, None, {}, F.col("k"), 2).count() == 0
+
+
 def test_graph(spark):
     programs = spark.createDataFrame([("f", ["a", "b", "a"]), ("f", ["a"]), (None, []), ("g", ["b", "a"])], "family string, steps array<string>")
     nodes = {r.op: (r.n, r.weight) for r in graph.rule_nodes(programs).collect()}

@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType, StructType
 
 from runeworks.functions.text import detect_family, strip, tokens
 
@@ -16,6 +16,7 @@ _MEASURE = r"\A\s*[+-]?\d+(?:\.\d+)?\s*[A-Za-z]+\s*\z"
 _BINARY = r"\A\s*[01]+\s*\z"
 _ROMAN = r"\A\s*[IVXLCDM]+\s*\z"
 _EQUATION = r"\A\s*\d+\D\d+\s*\z"
+_UNIT = r"(?U)\A\s*[+-]?\d+(?:\.\d+)?\s*([A-Za-z]+)\s*\z"
 
 
 @F.pandas_udf(DoubleType())
@@ -24,6 +25,32 @@ def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def whole_number(text: str) -> int | None:
+    """Whole number of any size that a text spells, with ``0x``, ``0b`` or ``0o`` in that base; None for others."""
+    low = text.lower()
+    base = next((n for mark, n in (("0x", 16), ("0b", 2), ("0o", 8)) if low.startswith((mark, "-" + mark, "+" + mark))), 10)
+    try:
+        return int(text, base)
+    except ValueError:
+        return None
+
+
+def _whole_features(a: str, b: str) -> tuple[float, bool, bool]:
+    source, target = whole_number(a), whole_number(b)
+    base = source is not None and (target == source or b.lower() in {format(source, "b"), format(source, "o"), format(source, "x")})
+    solid = a.replace(" ", "")
+    words = a.split() if " " in a.strip() else a.strip()
+    counts = (len(a), len(solid), len(words), sum(map(str.isdigit, a)), sum(map(str.isalpha, a)), len(set(solid)))
+    return SequenceMatcher(None, a, b).ratio(), base, target is not None and target in counts
+
+
+@F.pandas_udf(StructType().add("similarity", DoubleType()).add("base_conversion", BooleanType()).add("counting", BooleanType()))
+def whole_features(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Share of matching blocks, whether ``b`` is the number ``a`` in some base, and whether it counts something of ``a``."""
+    found = [_whole_features(x, y) for x, y in zip(a, b)]
+    return pd.DataFrame(found, columns=["similarity", "base_conversion", "counting"])
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Overlap of two arrays as sets; 1 where both are empty."""
     union = F.size(F.array_union(a, b))
@@ -34,12 +61,20 @@ def _chars(x: Column) -> Column:
     return F.filter(F.split(x, ""), lambda c: c != "")
 
 
+def bijective(a: Column, b: Column) -> Column:
+    """Whether each character of ``a`` always stands for the same one of ``b``, and the other way round."""
+    links = F.size(F.array_distinct(F.arrays_zip(_chars(a), _chars(b))))
+    return (F.length(a) == F.length(b)) & (links == F.size(F.array_distinct(_chars(a)))) & (links == F.size(F.array_distinct(_chars(b))))
+
+
 def pair_features(puzzles: DataFrame) -> DataFrame:
     """One row per support pair: ``id, pos`` and its features. Null sides count as empty."""
     rows = puzzles.select("id", F.posexplode("parsed_examples").alias("pos", "__p")).select(
         "id", "pos", F.coalesce("__p.input", F.lit("")).alias("a"), F.coalesce("__p.output", F.lit("")).alias("b")
     )
     a, b = F.col("a"), F.col("b")
+    rows = rows.withColumn("__whole", whole_features(a, b))
+    unit_a, unit_b = F.lower(F.regexp_extract(a, _UNIT, 1)), F.lower(F.regexp_extract(b, _UNIT, 1))
     numeric_a, numeric_b = a.rlike(_NUMBER), b.rlike(_NUMBER)
     return rows.select(
         "id",
@@ -58,11 +93,16 @@ def pair_features(puzzles: DataFrame) -> DataFrame:
         (a.rlike(_BINARY) & b.rlike(_BINARY)).alias("binary"),
         (a.rlike(_MEASURE) & (numeric_b | b.rlike(_MEASURE))).alias("measured"),
         b.rlike(_ROMAN).alias("roman_output"),
+        F.round("__whole.similarity", 9).alias("similarity"),
+        (bijective(a, b) & (a != b) & F.concat(a, b).rlike(r"\p{L}")).alias("char_map"),
+        "__whole.base_conversion",
+        ((unit_a != "") & (unit_b != "") & (unit_a != unit_b)).alias("unit_conversion"),
+        "__whole.counting",
     )
 
 
 def with_block_ratio(puzzles: DataFrame) -> DataFrame:
-    """``id, pos, ratio``: the one pair feature that needs Python."""
+    """``id, pos, ratio``: the similarity alone, null where a side is."""
     rows = puzzles.select("id", F.posexplode("parsed_examples").alias("pos", "__p"))
     return rows.select("id", "pos", block_ratio(F.col("__p.input"), F.col("__p.output")).alias("ratio"))
 
@@ -71,7 +111,7 @@ def puzzle_features(puzzles: DataFrame) -> DataFrame:
     """Mean pair features of each puzzle; puzzles without pairs have zeros."""
     pairs = pair_features(puzzles)
     flags = [c for c, t in pairs.dtypes if t == "boolean"]
-    numbers = ["input_length", "output_length", "length_change", "char_overlap", "token_overlap"]
+    numbers = ["input_length", "output_length", "length_change", "char_overlap", "token_overlap", "similarity"]
     means = pairs.groupBy("id").agg(
         F.count(F.lit(1)).alias("pairs"),
         *[F.round(F.avg(c), 9).alias(c) for c in numbers],
@@ -147,18 +187,18 @@ def infer_subtype(family: Column, pairs: Column, query: Column, prompt: Column)
     def some(test) -> Column:
         return F.exists(pairs, lambda p: ok(test(strip(p["input"]), strip(p["output"]))))
 
+    def nibble(a: Column, b: Column) -> Column:
+        return (F.length(a) != 8) | (F.concat(F.substring(a, 5, 4), F.substring(a, 1, 4)) == b)
+
     masks = F.array_distinct(F.transform(pairs, lambda p: F.conv(strip(p["input"]), 2, 10).cast("long").bitwiseXOR(F.conv(strip(p["output"]), 2, 10).cast("long"))))
     bit = (
         F.when(every(rotation_of), "bit_rotate")
+        .when(some(lambda a, b: F.length(a) == 8) & every(nibble), "bit_nibble")
         .when(F.size(masks) == 1, "bit_xor_mask")
         .when((F.size(pairs) >= 3) & some(lambda a, b: a != b), "bit_permutation")
         .otherwise("bit_affine")
     )
 
-    def bijective(a: Column, b: Column) -> Column:
-        links = F.size(F.array_distinct(F.arrays_zip(_chars(a), _chars(b))))
-        return (F.length(a) == F.length(b)) & (links == F.size(F.array_distinct(_chars(a)))) & (links == F.size(F.array_distinct(_chars(b))))
-
     counts = every(lambda a, b: (F.size(F.split(a, r"\s+")) == F.size(F.split(b, r"\s+"))) & (F.size(F.split(a, r"\s+")) > 1))
     low = F.lower(F.coalesce(prompt, F.lit("")))
     cipher = (

@@ -1,6 +1,7 @@
 """Readers, prompt parsing and the stream."""
 
 import json
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,29 @@ def test_block_ratio(spark):
     assert [r.ratio for r in features.with_block_ratio(df).orderBy("pos").collect()] == [1.0, 0.0, None]
 
 
+def test_pair_features(spark):
+    pairs = [
+        ("abca", "xyzx", "char_map"), ("abca", "xyzz", ""), ("12", "34", ""), ("ab", "ab", ""), ("10", "1010", "base_conversion"), ("0x1F", "31", "base_conversion"), ("-0b11", "-0b11", "base_conversion"),
+        ("9" * 30, format(int("9" * 30), "X"), "base_conversion"), ("x1", "1", "counting"), ("3 km", "3000 M", "unit_conversion"), ("3 km", "30 KM", ""), ("a bc d", "3", "counting"), ("a bc d", "4", "counting"), ("a bc d", "7", ""), ("2.5", "2", "counting"),
+        ("", "", ""), (None, None, ""),
+    ]
+    df = spark.createDataFrame([("p", [x[:2] for x in pairs]), ("none", [])], "id string, parsed_examples array<struct<input:string,output:string>>")
+    got = features.pair_features(df).orderBy("pos").collect()
+    names = ("char_map", "base_conversion", "counting", "unit_conversion")
+    assert [" ".join(n for n in names if r[n]) for r in got] == [w for _, _, w in pairs]
+    want = [round(SequenceMatcher(None, a or "", b or "").ratio(), 9) for a, b, _ in pairs]
+    assert [r.similarity for r in got] == want
+    means = {r.id: r for r in features.puzzle_features(df).collect()}
+    assert means["p"].similarity == round(sum(want) / len(want), 9) and means["none"].similarity == 0
+    assert means["p"].char_map == round(1 / len(pairs), 9) and means["none"].counting == 0
+
+
+def test_nibble(spark):
+    cases = [[("11010010", "00101101"), ("110", "101"), ("100", "111")], [("11010010", "00101100"), ("110", "101")], [("110", "011")]]
+    df = spark.createDataFrame([(i, "bit", None, "", p) for i, p in enumerate(cases)], "id int, family string, query string, raw_prompt string, parsed_examples array<struct<input:string,output:string>>")
+    assert [r.tag_subtype for r in features.tagged(df).orderBy("id").collect()] == ["bit_nibble", "bit_affine", "bit_rotate"]
+
+
 def test_stream(spark, tmp_path):
     source = f"{DATA}/eval_records.parquet"
     schema = spark.read.parquet(source).schema

@@ -151,9 +151,14 @@ def tokens(col: Column) -> Column:
     return F.when(F.instr(col, " ") > 0, F.filter(F.split(strip(col), r"(?U)\s+"), lambda t: t != "")).otherwise(chars)
 
 
-def word_count(col: Column) -> Column:
+def words(col: Column) -> Column:
     """Words between blanks of any kind."""
-    return F.size(F.filter(F.split(col, r"(?U)\s+"), lambda t: t != ""))
+    return F.filter(F.split(col, r"(?U)\s+"), lambda t: t != "")
+
+
+def word_count(col: Column) -> Column:
+    """Number of :func:`words`."""
+    return F.size(words(col))
 
 
 def isomorph(word: Column) -> Column:

@@ -11,7 +11,7 @@ from runeworks.functions import ops
 from runeworks.functions.labels import family_label, label, language
 from runeworks.functions.signatures import bucket_key, signature_bucket
 from runeworks.functions.text import (
-    boxed_answers, canonical_text, detect_family, exact_form, instruction, isomorph, roman, single_box, tokens, with_contract, word_count,
+    boxed_answers, canonical_text, detect_family, exact_form, instruction, isomorph, roman, single_box, tokens, with_contract, word_count, words,
     wrap_boxed,
 )
 from runeworks.operators import graph, lengths, selection, splits
@@ -269,10 +269,10 @@ def prompt_instructions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def query_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """Tokens, isomorph pattern and boxed form of every query."""
+    """Tokens, isomorph pattern of each word, in order, and boxed form of every query."""
     p = _puzzles(spark, folder, "query").where("query IS NOT NULL")
     q = F.col("query")
-    return p.select("id", F.size(tokens(q)).alias("tokens"), isomorph(F.substring_index(q, " ", 1)).alias("pattern"), wrap_boxed(q).alias("boxed"))
+    return p.select("id", F.size(tokens(q)).alias("tokens"), F.transform(words(q), isomorph).alias("pattern"), wrap_boxed(q).alias("boxed"))
 
 
 def roman_numbers(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from runeworks.functions import labels, scoring, signatures, text
+from runeworks.plans.queries import query_tokens
+from tests.llm.helpers import build, puzzle
 
 
 def values(spark, column, *inputs):
@@ -13,6 +15,12 @@ def values(spark, column, *inputs):
     return [r[0] for r in df.orderBy("i").select(column(F.col("x"))).collect()]
 
 
+def build_puzzles(spark, folder, asked):
+    made = build(spark, "puzzles", [puzzle(f"p{i}", query=q) for i, q in enumerate(asked)])
+    made.write.parquet(str(folder / "puzzles.parquet"))
+    return str(folder)
+
+
 def test_labels(spark):
     assert values(spark, labels.label, " Bit-Xor  mask\t", "UNKNOWN", "", None, "a_b") == ["bit_xor_mask", None, None, None, "a_b"]
     assert values(spark, labels.family_label, "Bit_Operations", "cipher\t", None) == ["bit", "cipher", None]
@@ -50,6 +58,12 @@ def test_text_forms(spark):
     assert values(spark, lambda x: text.instruction(x, F.lit(None).cast("string")), "a\n\nb", "", "l1\nl2") == ["a", "", "l1\nl2"]
 
 
+def test_pattern_of_every_word(spark, tmp_path):
+    asked = ["abba cd  eed", "xyx", " ", "a\u00a0bb\tc"]
+    got = query_tokens(spark, build_puzzles(spark, tmp_path, asked)).orderBy("id").collect()
+    assert [r.pattern for r in got] == [["0.1.1.0", "0.1", "0.0.1"], ["0.1.0"], [], ["0", "0.0", "0"]]
+
+
 def test_contract_is_added_once(spark):
     once = values(spark, text.with_contract, "ask")[0]
     assert values(spark, text.with_contract, once) == [once]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runeworks.operators.ranking import running_total
+from runeworks.operators.ranking import running_total, salted_rank
 
 
 def shuffle_key(*cols: Column, seed: int) -> Column:
@@ -13,14 +13,15 @@ def shuffle_key(*cols: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *cols))
 
 
-def group_split(rows: DataFrame, group: str, ratio: float, seed: int, within: str | None = None) -> DataFrame:
+def group_split(rows: DataFrame, group: str, ratio: float, seed: int, within: str | None = None, key: str = "id") -> DataFrame:
     """Add ``role``: whole groups go to ``valid`` until it holds ``ratio`` of the rows, the rest is ``train``.
 
     Groups are taken from the smallest, ties by :func:`shuffle_key`, while fewer rows than
     the target are taken; the last one may overshoot. The target is the whole part of
     ``ratio`` times the rows, at least 1. With ``within`` the rule holds inside each of its
-    values. Rows with a null group, or a null value of ``within``, take no part. Only one row
-    for each group is ordered, and that in slices; an empty input gives an empty result.
+    values; a value that has one group only, or whose smallest group exceeds its target, is split by rows instead: its
+    first rows by :func:`shuffle_key` of ``key``, as many as the target, are ``valid``. Rows with a null group, or a null value of ``within``, take no part. One row
+    for each group, and the rows split by themselves, are ordered in slices; an empty input gives an empty result.
     """
     keys = [within] if within else []
     known = rows.where(F.col(group).isNotNull())
@@ -30,15 +31,26 @@ def group_split(rows: DataFrame, group: str, ratio: float, seed: int, within: st
         "__shuffle", shuffle_key(F.col(group), seed=seed)
     )
     placed = running_total(sizes, keys, [F.col("__n").asc(), F.col("__shuffle").asc(), F.col(group).asc()], "__n", "__taken")
-    if within:
-        totals = known.groupBy(within).agg(F.greatest(F.floor(F.count(F.lit(1)) * ratio), F.lit(1)).alias("__target"))
-        placed = placed.join(totals, within)
-    else:
+    if not within:
         placed = placed.withColumn("__target", F.lit(max(1, int(known.count() * ratio))))
-    roles = placed.select(
-        *keys, group, F.when(F.col("__taken") < F.col("__target"), "valid").otherwise("train").alias("role")
+        return known.join(_filled(placed).select(group, "role"), group)
+    totals = placed.groupBy(within).agg(
+        F.greatest(F.floor(F.sum("__n") * ratio), F.lit(1)).alias("__target"), F.count(F.lit(1)).alias("__groups"), F.min("__n").alias("__least")
     )
-    return known.join(roles, [*keys, group])
+    apart = (F.col("__groups") > 1) & (F.col("__least") <= F.col("__target"))
+    roles = _filled(placed.join(totals.where(apart).select(within, "__target"), within)).select(within, group, "role")
+    split = known.join(roles, [within, group])
+    alone = totals.where(~apart).select(within, "__target")
+    if alone.isEmpty():
+        return split
+    single = known.join(alone, within)
+    ranked = salted_rank(single, [within], [shuffle_key(F.col(key), seed=seed).asc(), F.col(key).asc()], "__taken").withColumn("__taken", F.col("__taken") - 1)
+    return split.unionByName(_filled(ranked).select(*known.columns, "role"))
+
+
+def _filled(placed: DataFrame) -> DataFrame:
+    """With ``role``: ``valid`` where fewer rows than the target are taken before."""
+    return placed.withColumn("role", F.when(F.col("__taken") < F.col("__target"), "valid").otherwise("train"))
 
 
 def random_split(rows: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """Relational operators: nulls, ties, repeats, empty tables and dominant groups."""
 
+import hashlib
 import random
 from datetime import datetime
 
@@ -56,6 +57,17 @@ def test_group_split(spark):
     assert splits.group_split(df.limit(0), "grp", 0.15, 7).count() == 0
 
 
+def test_group_split_falls_back_on_rows(spark):
+    rows = [(i, "only", "one") for i in range(100)] + [(100 + i, f"h{i % 2}", "halves") for i in range(100)] + [(200 + i, f"s{i % 20}", "many") for i in range(100)]
+    df = spark.createDataFrame(rows, "id int, grp string, fam string")
+    got = splits.group_split(df, "grp", 0.15, 7, "fam").collect()
+    assert len({r.id for r in got}) == len(got) == 300
+    valid = {f: sorted(r.id for r in got if r.fam == f and r.role == "valid") for f in ("one", "halves", "many")}
+    assert {f: len(v) for f, v in valid.items()} == {"one": 15, "halves": 15, "many": 15}
+    assert valid["one"] == sorted(sorted(range(100), key=lambda i: hashlib.md5(f"7|{i}".encode()).hexdigest())[:15])
+    assert len({(r.grp, r.role) for r in got if r.fam == "many"}) == 20
+
+
 def test_select_split(spark):
     rows = spark.createDataFrame([(1,), (2,), (3,)], "id int")
     members = spark.createDataFrame([(1, "train"), (2, "train"), (2, "valid")], "id int, role string")

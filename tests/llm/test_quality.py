@@ -78,6 +78,23 @@ def test_exact_kinds():
             assert textstats.exact_kind(text, stats, lines) == kind
 
 
+def test_long_fragments_over_and_over(spark):
+    names = "amber birch cedar delta ember flint grove haven inlet jetty knoll lodge manor north ocean plain quarry ridge stone tower".split()
+    for size in (13, 20, 40, 150):
+        fragment = "The keeper of the " + " and the ".join(f"{names[i % 20]}{'abcdefgh'[i // 20]}" for i in range((size - 3) // 3)) + " went home again."
+        for times in (5, 10):
+            text = "\n".join([fragment] * times)
+            assert textstats.repetition(text) > 0.9
+            stats, lines = textstats.describe(text)
+            assert textstats.exact_kind(text, stats, lines) == "junk"
+        assert textstats.repetition(text + " But this end is new.") > 0.9
+    assert textstats.repetition(" ".join(t for k, texts in INSPECTED if k == "prose" for t in texts)) == 0.0
+    more = build(spark, "documents", [{"doc_id": -7, "text": "\n".join(["We waited for an hour at the old station, and then the train came in from the north."] * 9)}])
+    documents = table(spark, DATA, "documents")
+    found = dict(rows(textstats.not_prose(documents.unionByName(more.select(documents.columns)))))
+    assert found[-7] == "junk"
+
+
 def test_documents(spark):
     given = [{"doc_id": i, "text": t} for i, (t, _) in enumerate(KINDS)] + [{"doc_id": -1, "text": None}, {"doc_id": -2, "text": " \u200b\n"}, {"doc_id": -3, "text": ""}]
     documents = build(spark, "documents", given * 1)

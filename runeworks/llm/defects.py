@@ -25,8 +25,8 @@ TRAINING_ROWS = 2000
 #: Share of familiar n-grams below which a wording is strange to sound responses.
 STRANGE = 0.45
 
-#: Sound rows from which on wordings are judged; with fewer, the fixed phrases tell refusals.
-WORDED = 200
+#: Share of held-out sound responses that must look familiar before wordings are judged; else the fixed phrases tell refusals.
+WORDED = 0.95
 
 #: Log odds that thresholds lie below what calibration gives; the exact check only removes.
 MARGIN = 2.0
@@ -276,8 +276,8 @@ PAIR_FEATURES, REFUSING_FEATURE = 14, 7
 class Classifier:
     """Multi-label linear classifier: weights of n-grams and pair features, thresholds of each defect.
 
-    ``familiar`` marks the n-grams that sound responses have; ``worded`` tells whether there
-    were enough of them (:data:`WORDED`) to judge a wording by.
+    ``familiar`` marks the n-grams that sound responses have; ``worded`` tells whether
+    held-out ones have enough of them (:func:`wordings_known`) to judge a wording by.
     """
 
     grams: np.ndarray
@@ -349,6 +349,20 @@ def synthetic_defects(rows: list[tuple[str, str]], seed: int = 5) -> list[tuple[
     return out
 
 
+def wordings_known(rows: list[tuple[str, str]]) -> bool:
+    """Whether sound responses look familiar by the others, each fifth of the distinct ones held out in turn.
+
+    At least :data:`WORDED` of them must reach :data:`STRANGE`, with one that does not added
+    to those seen, so that few responses prove little.
+    """
+    grams = [Pair(Prompt(prompt), response).grams() for prompt, response in dict((r, (p, r)) for p, r in rows).values()]
+    strange = 1
+    for fold in range(5):
+        familiar = {g for i, ids in enumerate(grams) if i % 5 != fold for g in ids}
+        strange += sum(sum(g in familiar for g in ids) < STRANGE * len(ids) for ids in grams[fold::5])
+    return strange <= (1 - WORDED) * (len(grams) + 1)
+
+
 def fit(rows: list[tuple[str, str]], seed: int = 5, epochs: int = 4, recall: float = 0.999) -> Classifier:
     """Fit on synthetic defects of sound ``rows`` by stochastic gradient steps, and calibrate thresholds.
 
@@ -394,7 +408,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 5, epochs: int = 4, recall: flo
     for ids, _, target in data:
         if not target.any():
             familiar[ids] = 1.0
-    return Classifier(grams.astype(np.float32), weights, thresholds, familiar, len(rows) >= WORDED)
+    return Classifier(grams.astype(np.float32), weights, thresholds, familiar, wordings_known(rows))
 
 
 def response_pairs(records: DataFrame, evaluations: DataFrame, puzzles: DataFrame) -> DataFrame:

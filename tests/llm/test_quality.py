@@ -50,6 +50,13 @@ def test_held_out_defects(spark, model):
     assert np.mean(right) > 0.97
 
 
+def test_wordings_are_judged_by_evidence():
+    """Responses that are alike tell wordings however few; such that share no words never do."""
+    alike = [(PROMPT, f"The first pair shows the rule, and the others follow it in step {i}. So the answer is \\boxed{{{i}}}.") for i in range(60)]
+    apart = [(PROMPT, " ".join(f"{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + j)}q" for j in range(8)) + f" \\boxed{{{i}}}") for i in range(300)]
+    assert defects.fit(alike).worded and not defects.wordings_known(apart) and not defects.wordings_known(alike[:3])
+
+
 def test_broken_pairs(spark):
     records = build(spark, "sft_records", [{"record_id": i, "prompt": p, "completion": r, "target_answer": "1"} for i, (p, r, _) in enumerate(CASES) if p] * 2 + [{"record_id": None, "prompt": "x"}])
     answers = build(spark, "eval_records", [{"record_id": 1, "example_id": "p", "prediction": "Now, determine the output for: 3"}, {"record_id": 1, "example_id": "p", "prediction": "Now, determine the output for: 3"}, {"record_id": 2, "example_id": "gone", "prediction": "\\boxed{1}"}, {"record_id": 3, "example_id": None, "prediction": None}])

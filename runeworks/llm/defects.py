@@ -88,6 +88,7 @@ _VALUE = re.compile(r"“[^”]*”|\"[^\"]*\"|`[^`]*`|\\boxed\s*\{[^{}]*\}")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[぀-ヿ一-鿿]|\d[\d.,]*|[^\w\s]")
 _LABEL = re.compile(r"^\s*(?:question|frage|pregunta|вопрос|質問|問題|prompt|task|q)\s*[:：]\s*", re.I)
 _QUOTE = re.compile(r"^\s*(?:>+|#+|[-*])\s*", re.M)
+_TRACE = re.compile(r"\s*fam(?:ily)?=[^|;\s]*(?:\s*[|;]\s*(?:(?:answer=)?\\boxed.*|(?:sub|subtype|sig|signature|answer)=[^|;\s]*|\w*))*\s*\Z", re.S)
 _CHAT = re.compile(r"<\|[^|>]*\|>(?:user|assistant|system)?|</?think>")
 
 
@@ -183,7 +184,7 @@ class Pair:
         given = [b for b in closed if (c := _INVISIBLE.sub("", b).lower()) and c not in PLACEHOLDERS]
         thinks = "think>" in text
         self.open_think = thinks and "<think>" in text and "</think>" not in text
-        self.nothing = self.copied = self.refusing = False
+        self.nothing = self.copied = self.refusing = bare = False
         self.copy_share = 0.0
         self.flat = _flat(_VALUE.sub(" ", text))
         plain = bool(given) and "boxed{...}" not in text and not (p.text and p.text[:24].lower() in text.lower())
@@ -211,7 +212,9 @@ class Pair:
                 stated = last is not None and p.is_value(_CLOSING.sub("", outside[last.end() :]))
             self.answered = not (self.nothing or self.copied) and (bool(given) or bare or stated)
             self.refusing = not self.answered and bool(REFUSING.search(text))
-        votes = word_votes(_VALUE.sub(" ", text)) if not self.copied and len(text) > 24 and text[:4] not in ("fam=", "fami") else {}
+        # A value by itself and a trace are no sentences; all other responses vote.
+        voting = not self.copied and not bare and not _TRACE.match(text)
+        votes = word_votes(_VALUE.sub(" ", text)) if voting else {}
         total = self.votes = sum(votes.values())
         own = votes.get(p.language, 0.0) if p.language else 0.0
         self.own_share = own / total if total else 0.0

@@ -50,6 +50,15 @@ def test_held_out_defects(spark, model):
     assert np.mean(right) > 0.97
 
 
+def test_short_and_familiar_responses_vote(model):
+    cases = [
+        (GERMAN, "So this is: \\boxed{1}", "wrong_language"), (PROMPT, "Das ist nun: \\boxed{1}", "wrong_language"), (PROMPT, "So this is: \\boxed{1}", None),
+        (GERMAN, "familiar as this rule is to all of us, the answer is \\boxed{1}.", "wrong_language"), (GERMAN, "fam=bit|sub=the|sig=for|\\boxed{this is the one}", None),
+        (GERMAN, "family=bit; sub=bit_rotate; sig=is; answer=\\boxed{1}", None), (PROMPT, "11101000", None),
+    ]
+    assert model.verdicts([defects.Pair(defects.Prompt(p), r) for p, r, _ in cases]) == [want for _, _, want in cases]
+
+
 def test_wordings_are_judged_by_evidence():
     """Responses that are alike tell wordings however few; such that share no words never do."""
     alike = [(PROMPT, f"The first pair shows the rule, and the others follow it in step {i}. So the answer is \\boxed{{{i}}}.") for i in range(60)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runeworks.functions.text import word_count
@@ -37,6 +37,40 @@ def length_percentiles(records: DataFrame, *by: str, limit: int = 512) -> DataFr
     )
 
 
+def _nearest(q: float, of: str) -> Column:
+    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {of})").cast("long")
+
+
+def part_percentiles(records: DataFrame, *by: str) -> DataFrame:
+    """Nearest-rank p50 and p95 of the prompt and of the completion words of :func:`measured` records, per group."""
+    parts = [(part, q) for part in ("prompt", "completion") for q in (0.5, 0.95)]
+    return measured(records).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), *[_nearest(q, f"{part}_words").alias(f"{part}_p{int(q * 100)}") for part, q in parts]
+    )
+
+
+def prompt_audit(records: DataFrame, *by: str, budget: int = 512) -> DataFrame:
+    """Prompts alone against ``budget`` words, per group: records, null or empty prompts, those beyond, nearest ranks, largest, mean.
+
+    Records without a completion count too. A group without prompts does not fit.
+    """
+    words = F.when(F.length("prompt") > 0, word_count(F.col("prompt")))
+    length = F.col("__words")
+    return (
+        records.withColumn("__words", words)
+        .groupBy(*by)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(length.isNull()).alias("missing"),
+            F.count_if(length > budget).alias("over_budget"),
+            *[_nearest(q, "__words").alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)],
+            F.coalesce(F.max(length), F.lit(0)).alias("most_words"),
+            F.round(F.coalesce(F.avg(length), F.lit(0.0)), 9).alias("mean_words"),
+            F.coalesce(F.max(length) <= budget, F.lit(False)).alias("fits"),
+        )
+    )
+
+
 def recommended_length(records: DataFrame, floor: int = 1024, usual: int = 1536, most: int = 2048) -> DataFrame:
     """One row: p95 of the total words and the sequence length it asks for."""
     p95 = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY total_words)").cast("long")

@@ -454,6 +454,16 @@ def length_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return lengths.length_percentiles(_records(spark, folder), "stage", "family", limit=128)
 
 
+def part_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompt and completion lengths of the records by stage and family."""
+    return lengths.part_percentiles(_records(spark, folder), "stage", "family")
+
+
+def prompt_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts of the records against a budget of 512 words, by stage."""
+    return lengths.prompt_audit(_records(spark, folder), "stage")
+
+
 def max_seq_recommend(spark: SparkSession, folder: str) -> DataFrame:
     """Recommended sequence length."""
     return lengths.recommended_length(_records(spark, folder))
@@ -505,7 +515,7 @@ def queries() -> dict[str, Query]:
         pair_features, puzzle_features, family_report, family_counts,
         split_by_rule, split_by_rule_balanced, split_random, split_leak_free, signature_cap, dedupe_records, oversampled_families, round_robin, balanced_records, repair_replay,
         rendered_records, novelty_splits, novelty_split_stats,
-        length_percentiles, max_seq_recommend, sft_summary, merged_weights, signature_buckets,
+        length_percentiles, part_percentiles, prompt_audit, max_seq_recommend, sft_summary, merged_weights, signature_buckets,
         search_beam, annotate_top1, synthetic_puzzles,
     ]
     graphs = {

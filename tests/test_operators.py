@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from runeworks.operators import graph, selection, splits
+from runeworks.operators import graph, lengths, selection, splits
 from runeworks.operators.latest import latest
 from runeworks.operators.ranking import running_total, salted_rank
 
@@ -135,3 +135,13 @@ def test_graph(spark):
     chains = spark.createDataFrame([("p", 0, 1.5, ["a", "b"])], "id string, rank int, score double, steps array<string>")
     vertices, links = graph.path_graph(chains)
     assert vertices.count() == 2 and links.first().target == "chain_0_step_1"
+
+
+def test_prompt_and_completion_lengths(spark):
+    records = [("s", " ".join("p" * n), " ".join("c" * (21 - n))) for n in range(1, 21)] + [("s", None, "c"), ("s", "", "c"), ("s", "p " * 40, None), ("t", None, None)]
+    df = spark.createDataFrame(records, "stage string, prompt string, completion string")
+    part = lengths.part_percentiles(df, "stage").collect()
+    assert [tuple(r) for r in part] == [("s", 20, 10, 19, 10, 19)]
+    audit = {r.stage: tuple(r)[1:] for r in lengths.prompt_audit(df, "stage", budget=15).collect()}
+    assert audit == {"s": (23, 2, 6, 11, 20, 40, 40, round(250 / 21, 9), False), "t": (1, 1, 0, None, None, None, 0, 0.0, False)}
+    assert lengths.prompt_audit(df.where("prompt != ''"), "stage", budget=40).first().fits

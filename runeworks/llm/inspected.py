@@ -1,6 +1,6 @@
 """Inspected examples: texts of known kind that the mixture starts from and is read by.
 
-Each group starts one component. Writing a group down means that its texts were looked at
+Each group starts one component of the mixture. Writing a group down means that its texts were looked at
 and belong together; the kind is what the component is read as.
 """
 
@@ -59,6 +59,14 @@ def _noise(size: int, alphabet: str) -> str:
 
 _ROWS = [(f"item-{i}", f"0.{i * 37 % 900 + 100}", str(i * 431 % 4000), ("fine", "late", "")[i % 3]) for i in range(1, 13)]
 _PAIRS = [(f"{i * 53 % 256:08b}", f"{i * 91 % 256:08b}") for i in range(1, 9)]
+_PLAIN = ("lamp stone river", "road willow", "boat lantern barn", "river road stone", "willow lamp", "barn boat")
+_CODED = tuple(w.translate(str.maketrans("abdeilmnoprstvw", "qxzkjvwyhgcfpbd")) for w in _PLAIN)
+_ASKED = (
+    ("In the old tower, every word is written in a secret way.\nSome cases:", "Now, read the following text: gjhc qxw"),
+    ("Im alten Turm schreibt man alle Wörter auf geheime Weise.\nEinige Beispiele:", "Lies nun den folgenden Text: gjhc qxw\nGib nur eine Antwort."),
+    ("Dans la vieille tour, on écrit tous les mots en secret.\nQuelques cas :", "Lis maintenant le texte suivant : gjhc qxw"),
+    ("En la vieja torre se escriben todas las palabras en secreto.\nAlgunos casos:", "Lee ahora el siguiente texto: gjhc qxw"),
+)
 _SYMBOLS = "<>[]{}()*/+-&%#@!?=~^|;:$_\\"
 
 #: (kind, texts) of each group.
@@ -68,10 +76,15 @@ INSPECTED: list[tuple[str, list[str]]] = [
     ("prose", [*_DE, *_FR, *_ES, "\n".join(_DE), "\n\n".join(_FR)]),
     ("prose", [*_RU, "\n".join(_RU)]),
     ("prose", [*_JA, "\n".join(_JA)]),
+    ("prose", ["ok", "Yes.", "fine with me", "Thanks!", "Not yet, sorry", "na gut", "pas encore", "Bis morgen"]),
     ("prose", ["It was late.", "Nobody came to the meeting after all.", "that is all there is to say about it", "Man weiß es nicht.", "C'est fini pour aujourd'hui."]),
-    ("prose", [" ".join(_EN).upper(), " ".join(_EN).lower().replace(".", ""), " ".join(_EN * 4), "# A Title\n\n" + _EN[0] + "\n\n" + _EN[1]]),
+    ("prose", [" ".join(_EN).upper(), " ".join(_DE).upper(), " ".join(_EN[:2]).upper()]),
+    ("prose", [" ".join(_EN).lower().replace(".", ""), " ".join(_FR).lower().replace(".", ""), _EN[1].lower().replace(",", "")]),
+    ("prose", ["# A Title\n\n" + _EN[0] + "\n\n" + _EN[1], "Notes of Monday\n" + _EN[2] + "\n" + _EN[3], "## Zweiter Teil\n\n" + " ".join(_DE), _ES[0] + "\n" + _ES[1] + "\nFin"]),
+    ("prose", [_EN[0] + " The value 12.5 became “otter” at step 7, and 00110101 stayed.", "With 14 pairs, 3 of 250 runs gave 0.31; that was all.", _DE[1] + " Nur 0.25 blieb übrig, und 17 Fälle fehlten."]),
     ("list", ["\n".join(f"{a} -> {b}" for a, b in _PAIRS), "\n".join(f"{i * 7}.20 m becomes {i * 9}.41" for i in range(1, 8))]),
     ("list", ["In the old tower, a rule changes every word.\nSome cases:\n" + "\n".join(f"{a} -> {b}" for a, b in _PAIRS) + "\nNow find the output for: 00110011"]),
+    ("list", [f"{head}\n" + "\n".join(f"{a} -> {b}" for a, b in zip(_CODED, _PLAIN)) + f"\n{tail}" for head, tail in _ASKED]),
     ("list", ["\n".join(f"For t = {i}.5s, distance = {i * 21}.40 m" for i in range(1, 8))]),
     ("list", ["- bread\n- milk 2\n- apples\n- soap", "1. open the box\n2. count the pairs\n3. close it\n4. write a note", "a) first\nb) second\nc) third"]),
     ("list", ["\n".join(f"* {s}" for s in _EN), "\n\n".join(f"{i}. {s}" for i, s in enumerate((*_EN, *_DE), 1))]),
@@ -83,7 +96,8 @@ INSPECTED: list[tuple[str, list[str]]] = [
     ("table", ["| name | score | count |\n|---|---|---|\n" + "\n".join("| " + " | ".join(r[:3]) + " |" for r in _ROWS)]),
     ("table", ["\n".join(f"{r[0]:<10}  {r[1]:>6}  {r[2]:>6}" for r in _ROWS), "\n".join(f"{r[1]:>8}   {r[0]:<12}   {r[2]}" for r in _ROWS)]),
     ("table", ["<table>\n" + "\n".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in _ROWS) + "\n</table>"]),
-    ("junk", ["x" * 120, "?" * 300, "=-" * 60, "あ" * 80, "ha " * 70, "row done " * 40, "\n".join(["same line again"] * 30)]),
+    ("junk", ["x" * 120, "?" * 300, "=-" * 60, "あ" * 80, "ha " * 70, "row done " * 40]),
+    ("junk", ["\n".join(["same line again"] * 30), " ".join([_EN[2]] * 5), "\n".join([_EN[3]] * 4), " ".join([_DE[0]] * 6), "\n\n".join([_EN[1]] * 4), " ".join([_FR[0]] * 3)]),
     ("junk", [_noise(220, _SYMBOLS), _noise(400, _SYMBOLS + " "), "\n".join(_noise(30, _SYMBOLS) for _ in range(8))]),
     ("junk", [base64.b64encode(_noise(400, "abcdefghij").encode()).decode(), "\n".join(_noise(76, "ABCDEFabcdefghiklmnopqrstuv0123456789+/") for _ in range(6))]),
     ("junk", ['<div class="a1"><p></p></div><br/>&nbsp;<span id=x2></span><!-- --><p></p>' * 4, "<p></p>\n<br/>\n<div></div>\n&nbsp;" * 5]),

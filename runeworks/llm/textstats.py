@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import operator
 import re
 import unicodedata
-import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -21,390 +18,445 @@ from runeworks.session import settle, spread
 
 KINDS = ("prose", "list", "table", "junk")
 
-#: Statistics of a document, in order; the mixture is fitted on them.
+#: Statistics of a document, in order; the mixture is fitted on them. All are measured, none is a verdict.
 STATISTICS = (
-    "words", "mean_word_length", "symbol_share", "digit_share", "letter_share", "punctuated_line_share", "common_word_share",
-    "list_line_share", "table_line_share", "junk_line_share", "prose_line_share", "distinct_word_share", "compression",
-    "longest_word", "markup_share", "mean_line_length", "letter_pairs", "repetition",
+    "words", "lines", "mean_word_length", "longest_word", "symbol_share", "digit_share", "letter_share", "capital_share", "ideogram_share",
+    "common_word_share", "common_word_line_share", "distinct_word_share", "distinct_characters", "repetition", "letter_pairs", "markup_share",
+    "damaged_share", "escape_share", "vowel_word_share", "punctuated_line_share", "sentences_per_line", "words_per_line", "line_length",
+    "line_length_spread", "itemised_line_share", "paired_line_share", "named_line_share", "short_line_share", "cells_per_line",
+    "celled_line_share", "even_cells_share", "solid_line_share",
 )
 
 #: Rounds of expectation-maximization at most, and the gain in mean log likelihood that ends them.
 ROUNDS, GAIN = 12, 1e-3
 
-#: Posterior of the components that are not prose from which a document is looked at exactly.
-SUSPECT = 0.02
+#: Share of all documents that the inspected examples of one component weigh, the variance they are
+#: given around their mean, and the least variance of a standardized statistic.
+ANCHOR, WIDTH, FLOOR = 0.005, 0.5, 0.1
 
-#: Mean squared standardized distance from its component beyond which the mixture does not explain a document.
-FAR = 2.0
+#: Share of the inspected examples' variance that is added to that of the documents, so that a statistic
+#: which hardly varies in the documents at hand is still standardized by a sensible unit.
+UNIT = 0.1
 
-#: Mean log probability of letter pairs below which words look scrambled, in texts of at
-#: least 16 words and in shorter ones.
-SCRAMBLED, SCRAMBLED_SHORT = -2.95, -3.3
+#: Characters measured at once; a longer text is measured alone.
+BLOCK = 1 << 21
 
 #: Characters that show nothing.
 BLANK = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0xAD, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))
 
-_ROLE = re.compile(r"<\|[^|>\n]{1,20}\|>[ \t]*(?:user|assistant|system|tool)?", re.I)
-
-# Lines that only name a speaker.
-_SPEAKERS = frozenset("user assistant system human bot ai tool".split())
-_TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]{0,200}/?>|&(?:[a-z]{2,8}|#\d{1,6});", re.S)
-_ROW = re.compile(r"<tr\b[^>]*>(.*?)(?=</tr|<tr\b|\Z)", re.S | re.I)
-_CELL = re.compile(r"<t[dh]\b", re.I)
-_ENDS = re.compile(r"[.!?。．！？…:;]['\"”’»)\]*_`]*\Z")
-_ALNUM = re.compile(r"[^\W_]+")
-_WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
-_MOJIBAKE = re.compile(r"[\u00c2-\u00f4][\u0080-\u00bf\u0152-\u0178\u02c6\u02dc\u2013-\u203a\u20ac\u2122]+")
-_CJK = re.compile(r"[぀-ヿ一-鿿가-힣]")
-_BULLET = re.compile(r"\s*(?:[-*•·‣◦▪●○–—+»→✓✗]|\(?(?:\d{1,4}|[a-zA-Z]|[ivxIVX]{1,5})[.):]|#\d+|\[\d+\]|\[[ xX]\])\s+\S")
-_ARROW = re.compile(r"\S\s*(?:->|=>|→|⇒|↦|\bbecomes\b|\t=\t)\s*\S")
-_PHYSICS = re.compile(r"^\s*\w+ \w+ = \S+, \w+ = \S+")
-_NAMED = re.compile(r"^\s*[\"'“`]?([^\s:=：][^:=：\n]{0,40}?)[\"'”`]?\s*(?::|=|：|\.{3,}|…)\s*(\S.*?)\s*,?\s*$")
-_RULE = re.compile(r"^[\s|+\-=:_]{3,}$")
-_WIDE = re.compile(r"\S(?: {2,}|\t+)\S")
+_ROLE = re.compile(r"<\|[^|>\n]*\|>[ \t]*(?:(?:user|assistant|system|tool)\b)?", re.I)
+
+# Words that, alone on a line, only name a speaker.
+_SPEAKERS = "user assistant system human bot ai tool".split()
+_TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>|&(?:[a-z]+|#\d+);", re.S)
+_CELL, _ROW_END = re.compile(r"<t[dh]\b[^<>]*>", re.I), re.compile(r"</tr\s*>|<tr\b[^<>]*>", re.I)
+_ODD_ENDS = re.compile("\r\n|[\r\x85  ]")
+
+# Bits of a character's class.
+_LETTER, _DIGIT, _ALNUM, _BLANK, _IDEOGRAM, _CAPITAL, _VOWEL, _STOP = (1 << i for i in range(8))
+
+
+def _class_table() -> tuple[np.ndarray, np.ndarray]:
+    """Class bits and lower case of each character of the basic plane."""
+    kinds, lower = np.zeros(1 << 16, dtype=np.uint8), np.arange(1 << 16, dtype=np.uint32)
+    for code in range(1 << 16):
+        c = chr(code)
+        kinds[code] = _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _ALNUM if c.isalnum() else _BLANK if c.isspace() or c in BLANK else 0
+        if c.isupper():
+            kinds[code] |= _CAPITAL
+            lower[code] = ord(c.lower()[0])
+        if unicodedata.normalize("NFKD", c.lower())[:1] in "aeiouyæœøаеёиоуыэюя":
+            kinds[code] |= _VOWEL
+    for low, high in ((0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)):
+        kinds[low : high + 1] |= _IDEOGRAM
+    kinds[[ord(c) for c in ".!?…:。！？：．"]] |= _STOP
+    return kinds, lower
+
+
+_CLASSES, _LOWER = _class_table()
+_CLOSERS = np.zeros(1 << 16, dtype=bool)
+_CLOSERS[[ord(c) for c in "'\"”’»)]*_`」』）"]] = True
+_BULLETS = np.zeros(1 << 16, dtype=bool)
+_BULLETS[[ord(c) for c in "-*•·‣◦▪●○–—+»→✓✗"]] = True
+_POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, dtype=np.uint64))
+
+
+def _bare_table() -> np.ndarray:
+    table = np.zeros(1 << 16, dtype=np.int64)
+    for code in range(0x250):
+        base = unicodedata.normalize("NFKD", chr(code).lower())[:1]
+        if "a" <= base <= "z":
+            table[code] = ord(base) - 96
+    return table
+
+
+_BARE = _bare_table()
+
+
+def _code_points(text: str) -> np.ndarray:
+    """Characters of the basic plane; those of other planes stand as the replacement for a symbol."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.where(codes < 1 << 16, codes, 0x2603)
 
 
 def _pair_table() -> np.ndarray:
     """Log probability of the second letter after the first, from sentences of four languages."""
     counts = np.full((27, 27), 0.3)
-    text = " ".join([*PROSE, " ".join(sorted(w for w in FUNCTION if len(w) > 2))])
-    codes = _codes(text)
+    codes = _BARE[_code_points(" ".join([*PROSE, " ".join(sorted(w for w in FUNCTION if len(w) > 2))]))]
     np.add.at(counts, (codes[:-1], codes[1:]), 1.0)
     return np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
-def _codes(text: str) -> np.ndarray:
-    """Letters as 1..26 without accents, all else as 0."""
-    low = text.lower()
-    bare = low.encode() if low.isascii() else unicodedata.normalize("NFKD", low).encode("ascii", "ignore")
-    raw = np.frombuffer(bare, dtype=np.uint8).astype(np.int64) - 96
-    return np.where((raw < 1) | (raw > 26), 0, raw)
+_PAIR_LOGS = _pair_table()
 
 
-_PAIR_LOGS = _pair_table()
+def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and one-past-last places of the runs of true values."""
+    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def letter_pairs(text: str) -> float:
-    """Mean log probability of the letter pairs inside the words of ``text``; a middling value where there are few."""
-    codes = _codes(text)
-    inside = (codes[:-1] > 0) & (codes[1:] > 0)
-    pairs = int(inside.sum())
-    return float(_PAIR_LOGS[codes[:-1][inside], codes[1:][inside]].mean()) if pairs >= 12 else -2.5
-
-
-def _periods(units: list) -> set[int]:
-    """Periods that ``units`` may have: their exact one, and the usual distances from a unit to the same one before."""
-    border, k = [0] * len(units), 0
-    for i in range(1, len(units)):
-        while k and units[i] != units[k]:
-            k = border[k - 1]
-        k += units[i] == units[k]
-        border[i] = k
-    last: dict[str, int] = {}
-    gaps: Counter = Counter()
-    for i, unit in enumerate(units):
-        if unit in last:
-            gaps[i - last[unit]] += 1
-        last[unit] = i
-    longer = [(n, gap) for gap, n in gaps.items() if gap > 12]
-    return {len(units) - k, *(gap for _, gap in sorted(longer, reverse=True)[:3])}
-
-
-def repetition(text: str) -> float:
-    """Greatest share of units that stand again one period later: words, or characters of an unbroken text.
-
-    The text has three periods at least. One of more than 12 words, however long, counts where
-    the text has five of it, for a passage that stands four times was inspected as prose, and
-    from a share of one half, so that the usual return of some words is none.
-    """
-    units: list | str = text.split()
-    if len(units) < 8:
-        units = "".join(units)
-        if len(units) < 24:
-            return 0.0
-    varied = len(set(units))
-    best = 0.0
-    for period in range(1, 13) if isinstance(units, str) or varied <= 12 + len(units) // 5 else ():
-        if len(units) < 3 * period:
-            break
-        best = max(best, sum(map(operator.eq, units, units[period:])) / (len(units) - period))
-    if best <= 0.9 and isinstance(units, list) and 2 * varied <= len(units):
-        for period in _periods(units):
-            if 12 < period <= len(units) // 5:
-                share = sum(map(operator.eq, units, units[period:])) / (len(units) - period)
-                best = max(best, share if share >= 0.5 else 0.0)
-    return best
+def _hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of characters; ``codes`` are zero outside the runs."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    place = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes)))) if starts[0] == 0 else None
+    if place is None:
+        place = np.concatenate((np.zeros(starts[0], dtype=np.int64), np.arange(starts[0], len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))))
+    mixed = (codes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ (codes.astype(np.uint64) << np.uint64(17))
+    sums = np.add.reduceat(mixed * _POWERS[place & 63], starts) + (ends - starts).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
+    return sums ^ (sums >> np.uint64(31))
 
 
-def _sentence(words: list[str], common: int, line: str) -> bool:
-    """Whether a line with ``common`` function words reads like a sentence or a stretch of one."""
-    if len(words) >= 4 and common * 5 >= len(words):
-        return True
-    return len(words) >= 5 and bool(_ENDS.search(line)) and sum(len(w) > 1 for w in words) >= 4
+def _word_hashes(words: Iterable[str]) -> np.ndarray:
+    codes = _LOWER[_code_points(" " + " ".join(words) + " ")]
+    starts, ends = _runs(codes != 32)
+    return np.unique(_hashes(np.where(codes != 32, codes, 0), starts, ends))
 
 
-def _class_table() -> np.ndarray:
-    """Class of each character of the basic plane: 1 letter, 2 digit, 4 other alphanumeric, 8 blank, 16 ideogram or kana."""
-    table = np.zeros(1 << 16, dtype=np.uint8)
-    for code in range(1 << 16):
-        c = chr(code)
-        if c.isalpha():
-            table[code] = 1
-        elif c.isdigit():
-            table[code] = 2
-        elif c.isalnum():
-            table[code] = 4
-        elif c.isspace():
-            table[code] = 8
-    for low, high in ((0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)):
-        table[low : high + 1] |= 16
-    return table
+_COMMON, _SPEAKER, _BECOMES = _word_hashes(FUNCTION), _word_hashes(_SPEAKERS), _word_hashes(["becomes"])
 
 
-_CLASSES = _class_table()
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(known, hashes)
+    return known[np.minimum(at, len(known) - 1)] == hashes
 
 
-def _counts(text: str) -> np.ndarray:
-    """Letters, digits, other alphanumerics, blanks and ideograms of a text; other planes count as symbols."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    found = np.bincount(_CLASSES[codes[codes < 1 << 16]], minlength=32)
-    return np.asarray([found[1] + found[17], found[2] + found[18], found[4] + found[20], found[8] + found[24], found[16:].sum()])
-
-
-def _marked(line: str) -> bool:
-    """Whether a line has anything that columns, pairs or long units need."""
-    if "|" in line or "\t" in line or ";" in line or "=" in line or "->" in line or "  " in line or line.count(",") > 1:
-        return True
-    return len(max(line.split(), key=len)) > 40
-
-
-
-def _columns(line: str) -> int:
-    """Columns of a line in the layout that gives most of them, if its cells are short."""
-    best = 0
-    bare = line.strip()
-    for mark in ("|", "\t", ";", ","):
-        if bare.count(mark) < 2:
-            continue
-        cells = [c.strip() for c in (bare.strip("|") if mark == "|" else line.strip("\r\n ")).split(mark)]
-        if mark in ";," and any(len(_WORD.findall(c)) > 4 for c in cells):
-            continue
-        if mark == "," and sum(c[:1] == " " for c in bare.split(",")[1:]) * 2 > len(cells) and not any(ch.isdigit() for ch in bare):
-            continue
-        filled = sum(len(c) <= 40 for c in cells)
-        if filled == len(cells):
-            best = max(best, len(cells))
-    gaps = len(_WIDE.findall(line.strip()))
-    if gaps >= 2 or gaps == 1 and line[:3] == "   ":
-        cells = [c for c in re.split(r" {2,}|\t+", line.strip()) if c]
-        if all(len(_WORD.findall(c)) <= 5 and len(c) <= 45 for c in cells):
-            best = max(best, gaps + 1 + (line[:3] == "   "))
-    return best
-
-
-def line_kind(line: str, words: list[str] | None = None, common: int = 0) -> str:
-    """Kind of one non-blank line; ``words`` are its lower-case words, ``common`` of them function words."""
-    bare = line.strip()
-    if words is None:
-        words = _WORD.findall(bare.lower())
-        common = sum(w in FUNCTION for w in words)
-    if len(words) >= 4 and common * 5 >= len(words) and bare.isascii() and not _marked(bare) and not _BULLET.match(line):
-        return "prose"
-    letters = sum(map(len, words))
-    if not bare.isascii() and len(_CJK.findall(bare)) * 2 > len(bare):
-        return "junk" if len(set(bare)) <= 3 and len(bare) > 8 else "prose" if len(bare) > 8 or _ENDS.search(bare) else "list"
-    if _RULE.match(bare) and ("-" in bare or "=" in bare or "+" in bare):
-        return "table" if "|" in bare or "+" in bare else "rule"
-    alnum = sum(map(len, _ALNUM.findall(bare)))
-    symbols = sum(map(len, bare.split())) - alnum
-    if len(bare) > 30 and alnum * 8 < len(bare) and not re.fullmatch(r"\S{1,14} (?:->|=>|→) \S{1,14}", bare):
-        return "junk"
-    pair = _ARROW.search(bare)
-    if pair and len(bare) < 160 and not _sentence(words, common, bare):
-        return "list"
-    if len(bare) > 24 and len(set(bare.replace(" ", ""))) <= 3:
-        return "junk"
-    columns = _columns(line)
-    if columns >= 3 and not (letters * 4 < len(bare) and not re.search(r"\d", bare) and columns < 4):
-        if symbols * 2 < len(bare) or "|" in bare and letters * 5 > len(bare):
-            return "table"
-    if pair or _PHYSICS.match(bare):
-        return "list"
-    longest = max(map(len, bare.split()))
-    if symbols * 2 > len(bare) and letters * 3 < len(bare) and len(bare) >= 6:
-        return "junk"
-    if longest > 40 and longest * 2 > len(bare):
-        return "junk"
-    if "�" in bare and bare.count("�") * 8 > len(bare):
-        return "junk"
-    if _BULLET.match(line):
-        return "list"
-    if _sentence(words, common, bare):
-        return "prose"
-    if len(words) >= 6 and common * 8 >= len(words):
-        return "prose"
-    if len(words) >= 8 and _gibberish(words):
-        return "junk"
-    named = _NAMED.match(bare)
-    if named and len(_WORD.findall(named.group(1))) <= 4:
-        return "list"
-    if len(words) <= 6 and len(bare) <= 60:
-        return "short" if _ENDS.search(bare) else "list"
-    return "prose" if letters * 2 > len(bare) else "junk" if letters * 4 < len(bare) and not re.search(r"\d", bare) else "list"
-
-
-def _gibberish(words: list[str]) -> bool:
-    """Words that hardly look like any language: no function words, few vowels or odd runs."""
-    if any(w in FUNCTION and len(w) > 1 for w in words):
-        return False
-    odd = sum(not re.search(r"[aeiouyäöüéèàáíóúаеиоуыэюя]", w) or bool(re.search(r"[bcdfghjklmnpqrstvwxz]{5}", w)) for w in words)
-    return odd * 3 > len(words)
-
-
-def lines_of(text: str) -> list[str]:
-    """Non-blank lines without chat role markers."""
+def readable(text: str) -> tuple[str, int]:
+    """The text as a reader sees it, and how many characters were mark-up.
+
+    Chat role markers go. Where mark-up takes a quarter of the text or more, its tags go too,
+    with cells of rendered tables set apart by tabs and their rows by line ends.
+    """
     if "<|" in text:
         text = _ROLE.sub("", text)
-    if not text.isascii():
-        text = text.replace("\x85", "\n").replace("\u2028", "\n").replace("\u2029", "\n")
-    if "\r" in text:
-        text = text.replace("\r\n", "\n").replace("\r", "\n")
-    lines = [line for line in text.split("\n") if line.strip(BLANK)]
-    return [x for x in lines if len(x) > 24 or x.strip(" \t[]:>").lower() not in _SPEAKERS]
-
-
-def describe(text: str) -> tuple[dict[str, float], Counter]:
-    """The statistics of a text, and how many of its lines are of each kind."""
-    rows = [len(_CELL.findall(r)) for r in _ROW.findall(text)] if "<tr" in text or "<TR" in text else []
-    tags = _TAG.findall(text) if "<" in text and ">" in text or "&" in text else []
-    markup = sum(map(len, tags))
-    plain = _TAG.sub(" ", text) if tags else text
-    if markup * 4 < len(text):
-        plain = text
-    lines = lines_of(plain)
-    by_line = [_WORD.findall(line.strip().lower()) for line in lines]
-    commons = [sum(map(FUNCTION.__contains__, words)) for words in by_line]
-    kinds = Counter(map(line_kind, lines, by_line, commons))
-    kinds["table"] += kinds.pop("rule", 0) if kinds["table"] else 0
-    if rows:
-        tabled = sum(n >= 3 for n in rows)
-        cells = sum(rows)
-        kinds = Counter({"table": tabled, "list": len(rows) - tabled, "prose": max(0, kinds["prose"] - cells)})
-    # A short punctuated line ends a wrapped sentence where prose stands around it.
-    kinds["prose" if kinds["prose"] >= kinds["list"] else "list"] += kinds.pop("short", 0)
-    low = [w for words in by_line for w in words]
-    letters, digits, others, blanks, ideograms = map(int, _counts(plain))
-    n, size = len(low), max(1, len(plain))
-    solid = max(1, len(plain) - blanks)
-    total = max(1, sum(kinds.values()))
-    raw = plain.encode("utf-8", "replace")
-    stats = {
-        "words": float(np.log1p(n + ideograms / 2)),
-        "mean_word_length": sum(map(len, low)) / n if n else 0.0,
-        "symbol_share": (len(plain) - blanks - letters - digits - others) / solid,
+    if not text.isascii() or "\r" in text:
+        text = _ODD_ENDS.sub("\n", text)
+    if not ("<" in text and ">" in text or "&" in text):
+        return text, 0
+    marked = sum(map(len, _TAG.findall(text)))
+    if marked * 4 < len(text):
+        return text, marked
+    return _TAG.sub(" ", _CELL.sub("\t", _ROW_END.sub("\n", text))), marked
+
+
+def periods(units: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each stretch of ``units``, the share of them that stand again one period later.
+
+    The period of a stretch is the distance that most often lies between a unit and the same
+    unit before, the shortest of several such; it may have any length. A stretch that holds
+    less than three periods has none, and neither has one of fewer than three units.
+    """
+    n = len(sizes)
+    out = np.zeros(n)
+    if not len(units):
+        return out
+    group = np.repeat(np.arange(n), sizes)
+    begin = np.cumsum(sizes) - sizes
+    order = np.lexsort((units, group))
+    same = (group[order][1:] == group[order][:-1]) & (units[order][1:] == units[order][:-1])
+    later, gap = order[1:][same], (order[1:] - order[:-1])[same]
+    if not len(later):
+        return out
+    gap_order = np.lexsort((gap, group[later]))
+    g, d = group[later][gap_order], gap[gap_order]
+    first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])))
+    counts = np.diff(np.append(first, len(g)))
+    g, d = g[first], d[first]
+    best = np.lexsort((d, -counts, g))
+    lead = best[np.append(True, g[best][1:] != g[best][:-1])]
+    period = np.zeros(n, dtype=np.int64)
+    period[g[lead]] = d[lead]
+    period[sizes < 3 * period] = 0
+    back = np.arange(len(units)) - np.repeat(period, sizes)
+    reach = (np.repeat(period, sizes) > 0) & (back >= np.repeat(begin, sizes))
+    at = np.flatnonzero(reach)
+    hits = at[units[at] == units[back[at]]]
+    return np.bincount(group[hits], minlength=n) / np.maximum(np.where(period > 0, sizes - period, 1), 1)
+
+
+def measure(texts: list[str]) -> np.ndarray:
+    """The :data:`STATISTICS` of each text, a row for each; all texts are measured together, character by character."""
+    n = len(texts)
+    read = [readable(t) for t in texts]
+    joined = "\n".join([p for p, _ in read])
+    sizes = np.fromiter((len(p) + 1 for p, _ in read), dtype=np.int64, count=n)
+    codes = _code_points(joined + "\n")
+    kinds = _CLASSES[codes]
+    end = len(codes)
+    padded = np.concatenate((codes, np.full(8, 10, dtype=codes.dtype)))
+    doc = np.repeat(np.arange(n), sizes)
+
+    def per_doc(where: np.ndarray) -> np.ndarray:
+        return np.bincount(doc[where], minlength=n).astype(float)
+
+    letter, digit, blank = (kinds & _LETTER) > 0, (kinds & _DIGIT) > 0, (kinds & _BLANK) > 0
+    visible = np.flatnonzero(~blank)
+    solid = np.maximum(per_doc(visible), 1.0)
+    letters, digits = per_doc(letter), per_doc(digit)
+    others = per_doc((kinds & _ALNUM) > 0)
+    ideograms = per_doc((kinds & _IDEOGRAM) > 0)
+    # Signs of a text read in a wrong encoding: the replacement sign, control signs, and a lead byte before a following one.
+    follow = np.append(((codes[1:] >= 0x80) & (codes[1:] < 0xC0)) | ((codes[1:] >= 0x2013) & (codes[1:] < 0x2123)) | ((codes[1:] >= 0x152) & (codes[1:] < 0x179)) | (codes[1:] == 0x2C6), False)
+    damaged = per_doc((codes == 0xFFFD) | (codes < 9) | ((codes >= 0xC2) & (codes < 0xF5) & follow))
+    escapes = per_doc((codes == 92) | (codes == 37))
+
+    # Lines with something to see, but for those that only name a speaker.
+    line_end = np.flatnonzero(codes == 10)
+    line_start = np.append(0, line_end[:-1] + 1)
+    lo, hi = np.searchsorted(visible, line_start), np.searchsorted(visible, line_end)
+    seen = hi - lo
+    word_start, word_end = _runs(letter)
+    low = np.where(letter, _LOWER[codes], 0)
+    words = _hashes(low, word_start, word_end)
+    word_length = word_end - word_start
+    common = _among(words, _COMMON)
+    line_words_lo, line_words_hi = np.searchsorted(word_start, line_start), np.searchsorted(word_start, line_end)
+    line_words = line_words_hi - line_words_lo
+    if len(words):
+        one = np.minimum(line_words_lo, len(words) - 1)
+        speaker = (line_words == 1) & (seen <= word_length[one] + 2) & _among(words[one], _SPEAKER)
+    else:
+        speaker = np.zeros(len(line_start), dtype=bool)
+    kept = np.flatnonzero((seen > 0) & ~speaker)
+    of = doc[line_start[kept]]
+    lines = np.bincount(of, minlength=n).astype(float)
+    per_line = np.maximum(lines, 1.0)
+
+    def sums(flags: np.ndarray) -> np.ndarray:
+        """True values in each kept line."""
+        total = np.concatenate(([0], np.cumsum(flags)))
+        return (total[line_end] - total[line_start])[kept]
+
+    def mean(values: np.ndarray) -> np.ndarray:
+        return np.bincount(of, weights=values.astype(float), minlength=n) / per_line
+
+    def word_sums(flags: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(flags)))
+        return (total[line_words_hi] - total[line_words_lo])[kept]
+
+    seen, line_words = seen[kept], line_words[kept]
+    first, last = visible[lo[kept]], visible[hi[kept] - 1]
+    from_, to = line_start[kept], line_end[kept]
+    seen_ideograms = sums((kinds & _IDEOGRAM) > 0)
+    commons = word_sums(common)
+    # The last sign that closes nothing: a closing mark gives way to the sign before it, twice at most.
+    tail = last.copy()
+    for _ in range(2):
+        tail = np.where(_CLOSERS[codes[tail]] & (tail > first), tail - 1, tail)
+    punctuated = ((kinds[tail] & _STOP) > 0) & (codes[tail] != 0x3A)
+    stops = ((kinds & _STOP) > 0) & (codes != 0x3A) & (blank[np.minimum(np.arange(end) + 1, end - 1)] | (codes >= 0x3000) | _CLOSERS[padded[1 : end + 1]])
+    sentences = sums(stops)
+
+    c = [padded[first + i] for i in range(6)]
+    k = [_CLASSES[x] for x in c]
+    is_blank, is_digit = [(x & _BLANK) > 0 for x in k], [(x & _DIGIT) > 0 for x in k]
+    is_letter = [((x & _LETTER) > 0) & ((x & _IDEOGRAM) == 0) for x in k]
+    mark = [np.isin(x, (41, 46, 58)) for x in c]  # ) . :
+    shut = [np.isin(x, (41, 93)) for x in c]  # ) ]
+    numbered = is_digit[0] & (mark[1] & is_blank[2] | is_digit[1] & (mark[2] & is_blank[3] | is_blank[2] & _BULLETS[c[3]] | is_digit[2] & mark[3] & is_blank[4]))
+    lettered = is_letter[0] & (mark[1] & is_blank[2] & (c[1] != 58) | is_letter[1] & (shut[2] & is_blank[3] | is_letter[2] & shut[3] & is_blank[4]))
+    opened = np.isin(c[0], (40, 91)) & (shut[2] & is_blank[3] | shut[3] & is_blank[4])
+    itemised = (_BULLETS[c[0]] & is_blank[1]) | numbered | lettered | opened | (c[0] == 35) & is_digit[1]
+
+    arrow = ((codes == 0x3E) & np.isin(np.append(0, codes[:-1]), (0x2D, 0x3D))) | np.isin(codes, (0x2192, 0x21D2, 0x21A6))
+    paired = (sums(arrow) > 0) | (word_sums(_among(words, _BECOMES)) > 0)
+    names = np.flatnonzero(np.isin(codes, (0x3A, 0x3D, 0xFF1A)) & np.append(blank[1:], True) | (codes == 0x2026) | ((codes == 46) & (np.append(codes[1:], 0) == 46)))
+    at = np.searchsorted(names, first)
+    name = names[np.minimum(at, max(0, len(names) - 1))] if len(names) else np.zeros(len(first), dtype=np.int64)
+    named = (name > first) & (name < last) & (name - first <= 40) if len(names) else np.zeros(len(first), dtype=bool)
+    named &= (np.searchsorted(word_start, name) - np.searchsorted(word_start, from_) <= 4) & (seen <= 100)
+
+    # Cells: gaps of the kind that a line has most of.
+    near = np.append(blank[1:], True)
+    wide_start, wide_end = _runs(blank & (codes != 10))
+    inner = wide_end - wide_start >= 2
+    wide = np.zeros(end, dtype=np.int8)
+    wide[wide_end[inner] - 1] = 1
+    edge = np.concatenate(([0], np.cumsum(wide)))
+    gaps = edge[last] - edge[first] + (first - from_ >= 3) * (edge[last] - edge[first] > 0)
+    bars = np.maximum(sums(codes == 0x7C) - (codes[first] == 0x7C) - (codes[last] == 0x7C), 0)
+    cells = 1 + np.maximum.reduce([bars, sums(codes == 9), sums(codes == 0x3B), sums((codes == 0x2C) & ~near), gaps])
+    cell = seen / cells
+    celled = (cells >= 3) & (cell <= 25)
+    # Share of lines with the number of cells that most lines of the text have, where that is three or more.
+    many = np.flatnonzero(celled)
+    keys, hits = np.unique(of[many] * (1 << 20) + np.minimum(cells[many], (1 << 20) - 1), return_counts=True)
+    even = np.zeros(n)
+    np.maximum.at(even, keys >> 20, hits)
+
+    token_start, token_end = _runs(~blank)
+    tokens = _hashes(np.where(blank, 0, codes), token_start, token_end)
+    token_length = token_end - token_start
+    token_of = doc[token_start]
+    token_count = np.bincount(token_of, minlength=n)
+    repetition = periods(tokens, token_count)
+    unbroken = np.flatnonzero((token_count < 8) & (solid >= 24))
+    if len(unbroken):
+        chosen = visible[np.isin(doc[visible], unbroken)]
+        repetition[unbroken] = np.maximum(repetition[unbroken], periods(codes[chosen], np.bincount(doc[chosen], minlength=n)[unbroken]))
+    longest = np.zeros(n)
+    np.maximum.at(longest, token_of, np.where((kinds[token_start] & _IDEOGRAM) > 0, 10, token_length))
+    longest_in_line = np.zeros(len(kept))
+    line_of_token = np.searchsorted(from_, token_start, side="right") - 1
+    inside = (line_of_token >= 0) & (token_start < to[np.maximum(line_of_token, 0)]) & ((kinds[token_start] & _IDEOGRAM) == 0) if len(kept) else np.zeros(len(token_start), dtype=bool)
+    np.maximum.at(longest_in_line, line_of_token[inside], token_length[inside])
+
+    word_of = doc[word_start]
+    word_count = np.bincount(word_of, minlength=n).astype(float)
+    all_words = np.maximum(word_count, 1.0)
+    distinct = np.zeros(n)
+    if len(words):
+        order = np.lexsort((words, word_of))
+        new = np.append(True, (words[order][1:] != words[order][:-1]) | (word_of[order][1:] != word_of[order][:-1]))
+        distinct = np.bincount(word_of[order][new], minlength=n).astype(float)
+    voiced = np.concatenate(([0], np.cumsum((kinds & _VOWEL) > 0)))
+    vowels = (voiced[word_end] - voiced[word_start] > 0) | ((kinds[word_start] & _IDEOGRAM) > 0)
+    signs = np.unique(doc[visible] * (1 << 16) + codes[visible]) >> 16
+
+    bare = _BARE[codes]
+    pair = np.flatnonzero((bare[:-1] > 0) & (bare[1:] > 0))
+    pairs = np.bincount(doc[pair], minlength=n)
+    logs = np.bincount(doc[pair], weights=_PAIR_LOGS[bare[pair], bare[pair + 1]], minlength=n)
+    # Few pairs tell little: each text has a dozen middling ones besides its own.
+    letter_pairs = (logs - 2.5 * 12) / (pairs + 12)
+
+    weight = word_count + ideograms / 4
+    length = np.log1p(seen)
+    spread_ = np.sqrt(np.maximum(mean(length**2) - mean(length) ** 2, 0.0))
+    marked = np.asarray([m for _, m in read], dtype=float) / np.maximum(np.fromiter(map(len, texts), dtype=float, count=n), 1.0)
+    columns = {
+        "words": np.log1p(word_count + ideograms / 2),
+        "lines": np.log1p(lines),
+        "mean_word_length": np.minimum(np.where(ideograms * 2 > letters, 5.0, np.bincount(word_of, weights=word_length, minlength=n) / all_words), 20.0),
+        "longest_word": np.log1p(longest),
+        "symbol_share": (solid - letters - digits - others) / solid,
         "digit_share": digits / solid,
         "letter_share": letters / solid,
-        "punctuated_line_share": sum(bool(_ENDS.search(x.rstrip())) for x in lines) / max(1, len(lines)),
-        "common_word_share": min(1.0, (sum(commons) + ideograms / 4) / max(1.0, n + ideograms / 4)),
-        **{f"{k}_line_share": kinds[k] / total for k in ("list", "table", "junk", "prose")},
-        "distinct_word_share": len(set(low)) / n if n else 0.0,
-        "compression": min(1.5, len(zlib.compress(raw, 1)) / max(1, len(raw))),
-        "longest_word": float(np.log1p(max(map(len, plain.split()), default=0) if not ideograms else 10)),
-        "markup_share": markup / max(1, len(text)),
-        "mean_line_length": float(np.log1p(size / max(1, len(lines)))),
-        "letter_pairs": letter_pairs(plain),
-        "repetition": repetition(plain),
-    }
-    return stats, kinds
-
-
-def exact_kind(text: str, stats: dict[str, float], kinds: Counter) -> str:
-    """The kind of a text by most of its lines; junk goes before the others."""
-    total = sum(kinds.values())
-    visible = "".join(text.split())
-    if not total or not visible:
-        return "junk"
-    if kinds["prose"] == total and text.isascii() and stats["repetition"] < 0.5 and stats["letter_pairs"] > SCRAMBLED and stats["longest_word"] < 3.7:
-        return "prose"
-    if stats["markup_share"] > 0.5 and not kinds["table"] and _WORD.search(text) and stats["words"] < np.log1p(3 + 0.02 * len(text)):
-        return "junk"
-    if len(visible) > 20 and len(set(visible[:2000])) <= 3 and len(set(visible)) <= 3:
-        return "junk"
-    if not text.isascii() and sum(map(len, _MOJIBAKE.findall(text))) * 4 > len(visible):
-        return "junk"
-    if stats["repetition"] > 0.9:
-        return "junk"
-    words = _WORD.findall(text.lower()) if stats["letter_pairs"] < SCRAMBLED else []
-    latin = [w for w in words if w[0] < "\u0250"]
-    if len(latin) >= 8 and len(latin) * 10 > len(words) * 9 and stats["letter_pairs"] < (SCRAMBLED if len(latin) >= 16 else SCRAMBLED_SHORT) and kinds["prose"] + kinds["junk"] > kinds["list"] + kinds["table"]:
-        long = [w for w in latin if len(w) > 1]
-        if sum(w in FUNCTION for w in long) * 4 < len(long):
-            return "junk"
-    if kinds["junk"] * 2 > total or kinds["junk"] * 2 == total and not kinds["prose"]:
-        return "junk"
-    if kinds["prose"] * 2 >= total:
-        return "prose"
-    if total == 1 and kinds["list"] and not any(p.search(text) for p in (_BULLET, _ARROW, _NAMED, _PHYSICS)) and any(map(str.isalpha, text)):
-        return "prose"  # a single short entry is no list
-    if kinds["junk"] > max(kinds["table"], kinds["list"], kinds["prose"]):
-        return "junk"
-    return "table" if kinds["table"] >= kinds["list"] and kinds["table"] else "list"
+        "capital_share": per_doc((kinds & _CAPITAL) > 0) / np.maximum(letters, 1.0),
+        "ideogram_share": ideograms / solid,
+        "common_word_share": np.minimum(1.0, (np.bincount(word_of, weights=common, minlength=n) + ideograms / 8) / np.maximum(weight, 1.0)),
+        "common_word_line_share": mean((commons * 5 >= line_words) & (line_words >= 4) | (seen_ideograms * 2 > seen) & (seen > 8)),
+        "distinct_word_share": distinct / all_words,
+        "distinct_characters": np.log1p(np.bincount(signs, minlength=n)),
+        "repetition": repetition,
+        "letter_pairs": letter_pairs,
+        "markup_share": marked,
+        "damaged_share": np.minimum(damaged / solid, 0.3),
+        "escape_share": np.minimum(escapes / solid, 0.2),
+        "vowel_word_share": np.bincount(word_of, weights=vowels, minlength=n) / all_words,
+        "punctuated_line_share": mean(punctuated),
+        "sentences_per_line": np.log1p(mean(np.minimum(sentences, 50))),
+        "words_per_line": mean(np.log1p(line_words + seen_ideograms / 2)),
+        "line_length": mean(length),
+        "line_length_spread": spread_,
+        "itemised_line_share": mean(itemised),
+        "paired_line_share": mean(paired),
+        "named_line_share": mean(named),
+        "short_line_share": mean((seen <= 30) & (line_words <= 4) & (seen_ideograms * 2 <= seen)),
+        "cells_per_line": mean(np.log(np.minimum(cells, 20))),
+        "celled_line_share": mean(celled),
+        "even_cells_share": even / per_line,
+        "solid_line_share": mean((longest_in_line > 40) | (sums(letter | digit) * 3 < seen) & (seen >= 6)),
+    }
+    return np.stack([columns[name] for name in STATISTICS], axis=1)
+
+
+def measure_all(texts: list[str]) -> np.ndarray:
+    """:func:`measure` in blocks of about :data:`BLOCK` characters, so that memory stays bounded."""
+    parts, block, size = [np.zeros((0, len(STATISTICS)))], [], 0
+    for text in texts:
+        if block and size + len(text) > BLOCK:
+            parts.append(measure(block))
+            block, size = [], 0
+        block.append(text)
+        size += len(text)
+    if block:
+        parts.append(measure(block))
+    return np.concatenate(parts)
 
 
 @dataclass(frozen=True)
 class Mixture:
-    """Gaussian mixture with diagonal covariances over standardized statistics."""
+    """Gaussian mixture with diagonal covariances over standardized statistics, and the kind of each component."""
 
+    center: np.ndarray
+    scale: np.ndarray
     weights: np.ndarray
     means: np.ndarray
     variances: np.ndarray
+    kinds: tuple[str, ...] = ()
 
-    def log_joint(self, x: np.ndarray) -> np.ndarray:
-        """Log of weight times density, a row for each point and a column for each component."""
-        inverse = 1.0 / self.variances
+    def posterior(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Responsibilities of the components, a row for each point, and log likelihoods of the points."""
+        x, inverse = self.standard(points), 1.0 / self.variances
         far = (x**2) @ inverse.T - 2.0 * x @ (self.means * inverse).T + (self.means**2 * inverse).sum(axis=1)
-        return np.log(self.weights) - 0.5 * (far + np.log(2 * np.pi * self.variances).sum(axis=1))
-
-    def distance(self, x: np.ndarray, component: np.ndarray) -> np.ndarray:
-        """Mean squared standardized distance of each point from its ``component``."""
-        return ((x - self.means[component]) ** 2 / self.variances[component]).mean(axis=1)
-
-    def posterior(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Responsibilities of the components and log likelihoods of the points."""
-        joint = self.log_joint(x)
+        joint = np.log(self.weights) - 0.5 * (far + np.log(2 * np.pi * self.variances).sum(axis=1))
         top = joint.max(axis=1, keepdims=True)
         shares = np.exp(joint - top)
         total = shares.sum(axis=1, keepdims=True)
         return shares / total, (top + np.log(total))[:, 0]
 
+    def standard(self, points: np.ndarray) -> np.ndarray:
+        """``points`` standardized."""
+        return (points - self.center) / self.scale
+
+    def kind_shares(self, points: np.ndarray) -> np.ndarray:
+        """Posterior of each of :data:`KINDS`, a row for each point: the sum over the components read as that kind."""
+        shares, _ = self.posterior(points)
+        return shares @ np.asarray([[kind == k for k in KINDS] for kind in self.kinds], dtype=float)
+
 
 def inspected_points() -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Statistics of the inspected examples, the group of each, and the kind of each group."""
-    points, groups = [], []
-    for g, (_, texts) in enumerate(INSPECTED):
-        for text in texts:
-            stats, _ = describe(text)
-            points.append([stats[name] for name in STATISTICS])
-            groups.append(g)
-    return np.asarray(points), np.asarray(groups), [kind for kind, _ in INSPECTED]
+    groups = np.repeat(np.arange(len(INSPECTED)), [len(texts) for _, texts in INSPECTED])
+    return measure_all([t for _, texts in INSPECTED for t in texts]), groups, [kind for kind, _ in INSPECTED]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
 
 
-def fit_mixture(points: DataFrame, center: np.ndarray, scale: np.ndarray, rounds: int = ROUNDS) -> Mixture:
+def fit_mixture(points: DataFrame, rounds: int = ROUNDS) -> Mixture:
     """Expectation-maximization over all rows of ``points`` (column ``x``), one component for each inspected group.
 
     A round is one pass: tasks send the sums of responsibilities, of weighted points and of
     weighted squares, which Spark adds up by slot, so the driver gets one row for each slot
-    however many tasks there are.
+    however many tasks there are. In every round the inspected examples of each component weigh
+    :data:`ANCHOR` of all documents, which keeps components where their examples are, at any
+    number of documents alike.
     """
     examples, groups, kinds = inspected_points()
-    examples = (examples - center) / scale
     k, d = len(kinds), len(STATISTICS)
-    means = np.stack([examples[groups == g].mean(axis=0) for g in range(k)])
-    mixture = Mixture(np.full(k, 1.0 / k), means, np.full((k, d), 0.5))
+    moments = points.select(
+        *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)], *[F.var_pop(F.col("x")[i]).alias(f"v{i}") for i in range(d)]
+    ).first()
+    center = np.asarray([moments[f"m{i}"] or 0.0 for i in range(d)])
+    scale = np.sqrt(np.asarray([moments[f"v{i}"] or 0.0 for i in range(d)]) + UNIT * examples.var(axis=0) + 1e-6)
+    examples = (examples - center) / scale
+    anchors = np.stack([examples[groups == g].mean(axis=0) for g in range(k)])
+    widths = np.stack([examples[groups == g].var(axis=0) for g in range(k)]) + WIDTH
+    mixture = Mixture(center, scale, np.full(k, 1.0 / k), anchors, widths)
     before = -np.inf
     for _ in range(rounds):
 
@@ -413,8 +465,9 @@ def fit_mixture(points: DataFrame, center: np.ndarray, scale: np.ndarray, rounds
             extra = np.zeros(2)
             for batch in batches:
                 if batch.num_rows:
-                    x = (_matrix(batch.column(0)) - center) / scale
-                    shares, likelihood = current.posterior(x)
+                    points_ = _matrix(batch.column(0))
+                    x = current.standard(points_)
+                    shares, likelihood = current.posterior(points_)
                     sums[:, 0] += shares.sum(axis=0)
                     sums[:, 1 : d + 1] += shares.T @ x
                     sums[:, d + 1 :] += shares.T @ (x**2)
@@ -429,108 +482,80 @@ def fit_mixture(points: DataFrame, center: np.ndarray, scale: np.ndarray, rounds
         likelihood, count = found[-2:]
         if not count:
             break
-        sums = found[:-2].reshape(k, 1 + 2 * d)
-        # The inspected examples keep every component alive with the weight of one point each.
-        mass = sums[:, :1] + 1.0
-        new = (sums[:, 1 : d + 1] + means) / mass
-        spread = (sums[:, d + 1 :] + means**2 + 0.5) / mass - new**2
-        mixture = Mixture((mass / mass.sum())[:, 0], new, np.maximum(spread, 0.02))
+        sums, anchor = found[:-2].reshape(k, 1 + 2 * d), ANCHOR * count
+        mass = sums[:, :1] + anchor
+        means = (sums[:, 1 : d + 1] + anchor * anchors) / mass
+        squares = (sums[:, d + 1 :] + anchor * (anchors**2 + widths)) / mass
+        mixture = Mixture(center, scale, (mass / mass.sum())[:, 0], means, np.maximum(squares - means**2, FLOOR))
         if likelihood / count - before < GAIN:
             break
         before = likelihood / count
-    return mixture
+    return Mixture(center, scale, mixture.weights, mixture.means, mixture.variances, component_kinds(mixture))
 
 
-def component_kinds(mixture: Mixture, center: np.ndarray, scale: np.ndarray) -> list[str]:
+def component_kinds(mixture: Mixture) -> tuple[str, ...]:
     """The kind of each component: that of the inspected examples it holds most of, else of the nearest one."""
     examples, groups, kinds = inspected_points()
-    examples = (examples - center) / scale
     shares, _ = mixture.posterior(examples)
     held = np.zeros((len(mixture.weights), len(KINDS)))
     for row, g in zip(shares, groups):
         held[:, KINDS.index(kinds[g])] += row
-    out = []
+    standard, out = mixture.standard(examples), []
     for c, row in enumerate(held):
-        if row.max() > 0.1:
-            out.append(KINDS[int(row.argmax())])
-        else:
-            near = ((examples - mixture.means[c]) ** 2).sum(axis=1).argmin()
-            out.append(kinds[groups[near]])
-    return out
+        near = ((standard - mixture.means[c]) ** 2).sum(axis=1).argmin()
+        out.append(KINDS[int(row.argmax())] if row.max() > 0.1 else kinds[groups[near]])
+    return tuple(out)
 
 
 def described(documents: DataFrame) -> DataFrame:
-    """``doc_id, x, checked``: statistics and exact kind of every text that is not null or blank."""
+    """``doc_id, x``: the statistics of every text that is not null or blank."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def describe_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, points, checked = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text is None or not text.strip(BLANK):
-                    continue
-                stats, lines = describe(text)
-                ids.append(doc)
-                points.append([stats[name] for name in STATISTICS])
-                checked.append(exact_kind(text, stats, lines))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.column(0).type), pa.array(points, pa.list_(pa.float64())), pa.array(checked, pa.string())],
-                names=["doc_id", "x", "checked"],
-            )
-
-    return spread(documents.select("doc_id", "text")).mapInArrow(describe_all, f"doc_id {kind}, x array<double>, checked string")
+            texts = batch.column(1).to_pylist()
+            kept = [i for i, text in enumerate(texts) if text is not None and text.strip(BLANK)]
+            points = measure_all([texts[i] for i in kept])
+            x = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(points.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), x], names=["doc_id", "x"])
+
+    return spread(documents.select("doc_id", "text")).mapInArrow(describe_all, f"doc_id {kind}, x array<double>")
 
 
 def judged_documents(documents: DataFrame) -> DataFrame:
-    """``doc_id, x, kind, component_kind, not_prose`` of every document with text."""
+    """``doc_id, x, kind, not_prose`` of every document with text."""
     points = settle(described(documents))
-    d = len(STATISTICS)
-    moments = points.select(
-        *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)], *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(d)]
-    ).first()
-    center = np.asarray([moments[f"m{i}"] or 0.0 for i in range(d)])
-    scale = np.maximum(np.asarray([moments[f"s{i}"] or 1.0 for i in range(d)]), 1e-3)
-    mixture = fit_mixture(points, center, scale)
-    names = component_kinds(mixture, center, scale)
-    prose = np.asarray([n == "prose" for n in names])
+    mixture = fit_mixture(points)
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = (_matrix(batch.column(1)) - center) / scale
-            shares, _ = mixture.posterior(x)
-            other = 1.0 - shares[:, prose].sum(axis=1)
-            first = shares.argmax(axis=1)
-            best = [names[c] for c in first]
-            looked_at = (other >= SUSPECT) | (mixture.distance(x, first) > FAR)
-            kinds = [c if look else "prose" for look, c in zip(looked_at, batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(kinds), pa.array(best), pa.array(other)],
-                names=["doc_id", "x", "kind", "component_kind", "not_prose"],
-            )
-
-    return points.select("doc_id", "x", "checked").mapInArrow(
-        judge, f"doc_id {kind}, x array<double>, kind string, component_kind string, not_prose double"
-    )
+            if batch.num_rows:
+                shares = mixture.kind_shares(_matrix(batch.column(1)))
+                kinds = pa.array([KINDS[i] for i in shares.argmax(axis=1)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), kinds, pa.array(1.0 - shares[:, 0])], names=["doc_id", "x", "kind", "not_prose"]
+                )
+
+    return points.mapInArrow(judge, f"doc_id {kind}, x array<double>, kind string, not_prose double")
 
 
 def text_statistics(documents: DataFrame) -> DataFrame:
     """Per document: ``doc_id``, a column for each of :data:`STATISTICS`, ``kind`` and the mixture's ``not_prose``.
 
-    ``words`` and the two other sizes are logarithms of one more than the size. A Gaussian
-    mixture is fitted by expectation-maximization on the standardized statistics of all
-    documents and its components are read as prose, list, table or junk by inspected
-    examples. Documents whose posterior outside prose reaches :data:`SUSPECT`, and those that
-    lie far from every component, get the kind of most of their lines by an exact check; the
-    others are prose. Null, empty and blank
-    texts have no row. Texts are read whole. An empty table gives an empty result.
+    ``words``, ``lines`` and ``longest_word`` are counts. A Gaussian mixture is fitted by
+    expectation-maximization on the standardized statistics of all documents; its components
+    are read as prose, list, table or junk by inspected examples, and a document's ``kind`` is
+    the one whose components have the largest posterior together. Null, empty and blank texts
+    have no row. Texts are read whole. A text stands for itself however often it is repeated.
+    An empty table gives an empty result.
     """
+    counts = ("words", "lines", "longest_word")
     rows = judged_documents(documents)
-    return rows.select("doc_id", *[F.col("x")[i].alias(n) for i, n in enumerate(STATISTICS)], "kind", "not_prose")
+    values = [(F.round(F.expm1(F.col("x")[i]), 1) if n in counts else F.col("x")[i]).alias(n) for i, n in enumerate(STATISTICS)]
+    return rows.select("doc_id", *values, "kind", "not_prose")
 
 
 def not_prose(documents: DataFrame) -> DataFrame:
-    """``doc_id, kind`` of the documents that are not running prose (p9_found)."""
+    """``doc_id, kind`` of the documents that the mixture does not take for running prose (p9_found)."""
     return judged_documents(documents).where(F.col("kind") != "prose").select("doc_id", "kind")

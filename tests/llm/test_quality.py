@@ -1,10 +1,9 @@
-"""Broken pairs and text kinds on literal cases and held-out texts."""
+"""Broken pairs on literal cases and held-out responses."""
 
 import numpy as np
 import pytest
 
-from runeworks.llm import defects, textstats
-from runeworks.llm.inspected import INSPECTED
+from runeworks.llm import defects
 from runeworks.sources.tables import table
 from tests.conftest import DATA
 from tests.llm.helpers import build, puzzle, rows
@@ -74,64 +73,3 @@ def test_broken_pairs(spark):
     want = [("sft_records", i, d) for i, (p, _, d) in enumerate(CASES) if p and d] + [("eval_records", 1, "copy"), ("eval_records", 3, "empty")]
     assert found == sorted(want, key=repr)
     assert defects.broken_pairs(records.limit(0), answers.limit(0), puzzles.limit(0)).count() == 0
-
-
-KINDS = [
-    ("It was late. Nobody came.", "prose"), ("ok", "prose"), ("WE WAITED FOR AN HOUR AND THEN WENT HOME ON FOOT", "prose"), ("# Title\n\nWe waited for an hour. Then it rained and we left.", "prose"),
-    ("- eggs\n- milk\n- flour", "list"), ("a: 1\nb: 2\nc: 3", "list"), ("1010 -> 0101\n1100 -> 0011", "list"), ("lamp\nroad\nstone\nriver", "list"), ("<|im_start|>user\nWe waited for an hour and then it rained.<|im_end|>", "prose"),
-    ("a,1,2\nb,3,4\nc,5,6", "table"), ("x\t1\t2\ny\t3\t4", "table"), ("| a | b | c |\n|---|---|---|\n| 1 | 2 | 3 |", "table"), ("name   score   n\nfoo    0.31    12\nbar    0.77    9", "table"), ("<table><tr><td>1</td><td>2</td><td>3</td></tr></table>", "table"),
-    ("x" * 200, "junk"), ("na " * 50, "junk"), ("<div><p></p></div>&nbsp;<br/>" * 5, "junk"), ("]{]^>\\/_+_@{=\\[&_~%&>+:)[%#=()]//#>:(^\\[#)*]![{!)#=", "junk"), ("Þ" * 1000, "junk"), ("Ð¢Ð°Ð±Ð»Ð¸Ñ\x86Ñ\x83 ÐµÑ\x89Ñ\x91 Ñ\x80Ð°Ð·", "junk"),
-]
-
-
-def test_exact_kinds():
-    for text, kind in KINDS:
-        stats, lines = textstats.describe(text)
-        assert (text, textstats.exact_kind(text, stats, lines)) == (text, kind)
-    for kind, texts in INSPECTED:
-        for text in texts:
-            stats, lines = textstats.describe(text)
-            assert textstats.exact_kind(text, stats, lines) == kind
-
-
-def test_long_fragments_over_and_over(spark):
-    names = "amber birch cedar delta ember flint grove haven inlet jetty knoll lodge manor north ocean plain quarry ridge stone tower".split()
-    for size in (13, 20, 40, 150):
-        fragment = "The keeper of the " + " and the ".join(f"{names[i % 20]}{'abcdefgh'[i // 20]}" for i in range((size - 3) // 3)) + " went home again."
-        for times in (5, 10):
-            text = "\n".join([fragment] * times)
-            assert textstats.repetition(text) > 0.9
-            stats, lines = textstats.describe(text)
-            assert textstats.exact_kind(text, stats, lines) == "junk"
-        assert textstats.repetition(text + " But this end is new.") > 0.9
-    assert textstats.repetition(" ".join(t for k, texts in INSPECTED if k == "prose" for t in texts)) == 0.0
-    more = build(spark, "documents", [{"doc_id": -7, "text": "\n".join(["We waited for an hour at the old station, and then the train came in from the north."] * 9)}])
-    documents = table(spark, DATA, "documents")
-    found = dict(rows(textstats.not_prose(documents.unionByName(more.select(documents.columns)))))
-    assert found[-7] == "junk"
-
-
-def test_documents(spark):
-    given = [{"doc_id": i, "text": t} for i, (t, _) in enumerate(KINDS)] + [{"doc_id": -1, "text": None}, {"doc_id": -2, "text": " \u200b\n"}, {"doc_id": -3, "text": ""}]
-    documents = build(spark, "documents", given * 1)
-    found = dict(rows(textstats.not_prose(documents)))
-    assert set(found.values()) <= {"list", "table", "junk"} and not {-1, -2, -3} & set(found)
-    assert found == {i: k for i, (_, k) in enumerate(KINDS) if k != "prose"}
-    stats = textstats.text_statistics(documents)
-    assert stats.count() == len(KINDS) and {*textstats.STATISTICS, "kind", "doc_id"} < set(stats.columns)
-    assert textstats.not_prose(documents.limit(0)).count() == 0
-
-
-def test_mixture_agrees_with_lines(spark):
-    """The components alone tell the kind of nearly all documents."""
-    judged = textstats.judged_documents(table(spark, "/root/testdata/sf0.01", "documents")).toPandas()
-    assert (judged.kind == judged.component_kind).mean() > 0.95
-
-
-def test_expectation_maximization_gains(spark):
-    points = textstats.described(table(spark, "/root/testdata/sf0.01", "documents")).cache()
-    x = np.asarray([r.x for r in points.select("x").collect()])
-    center, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-    z = (x - center) / scale
-    gains = [textstats.fit_mixture(points, center, scale, n).posterior(z)[1].mean() for n in (1, 3, 6)]
-    assert gains[0] < gains[1] <= gains[2] + 1e-6

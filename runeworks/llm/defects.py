@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -14,250 +15,258 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runeworks.llm.languages import FUNCTION, dominant, word_votes
+from runeworks.llm.wordings import FOREIGN, PLACEHOLDERS, REFUSALS
 from runeworks.operators.latest import latest
 from runeworks.operators.puzzles import current_puzzles
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "wrong_language")
 
-#: Bound on the rows the classifier is fitted on, before synthetic defects are made of them.
+#: Bound on the labelled rows the classifier is fitted on, before synthetic defects are made of them.
 TRAINING_ROWS = 2000
 
-#: Share of familiar n-grams below which a wording is strange to sound responses.
-STRANGE = 0.45
-
-#: Share of held-out sound responses that must look familiar before wordings are judged; else the fixed phrases tell refusals.
-WORDED = 0.95
-
-#: Log odds that thresholds lie below what calibration gives; the exact check only removes.
-MARGIN = 2.0
-
-#: Buckets of the hashed n-grams.
-BUCKETS = 1 << 16
-
-# Texts that stand in the place of an answer.
-PLACEHOLDERS = frozenset(
-    "n/a na null none nan nil tbd todo - -- --- _ __ . .. ... … ? ?? ??? unknown undefined empty blank answer "
-    "your answer [answer] <answer> (answer) (none) (empty) [none] no answer pending placeholder".split()
-    + ["your answer", "no answer", "your answer here", "answer here", "n.a.", "keine", "k.a.", "s/o", "нет", "なし"]
-)
-
-# Phrases that lead to a final answer, by language.
-LEADS = (
-    r"final answer|so the answer|the answer|answer|therefore|thus|hence|result|applying it to the query gives|the query gives|it follows that"
-    r"|also lautet die antwort|die antwort|antwort|ergebnis|ergibt das|damit ergibt sich|somit|folglich"
-    r"|la réponse est donc|la réponse|réponse|résultat|elle donne|donc|ainsi"
-    r"|la respuesta|respuesta|resultado|a la pregunta da|por lo tanto|solución"
-    r"|значит, ответ|ответ|получаем|результат|итак"
-)
-LEADS_JA = "したがって答えは|答えは|答え|結果は|結果|解答"
-_LEAD = re.compile(rf"(?:(?:{LEADS})(?![^\W\d_])|{LEADS_JA})(?:\s|is\b|are\b|ist\b|lautet\b|est\b|es\b|[:：=—-])*", re.I)
-_CLOSING = re.compile(r"(?:です|である)?[。.]*\Z")
-
-# Ways to decline, by language.
-REFUSING = re.compile(
-    r"\b(?:can(?:'|’)?t|cannot|can not|could not|couldn't|unable to|not able to|won(?:'|’)t|will not|would rather not|refuse|decline)\b"
-    r"(?!\s*\Z|\s+(?:u|us|use|e|ex|exp|expl|expla|explai|explain|be (?:the )?right|hold)\b)"
-    r"|not possible for me|nothing i can|no answer can|not (?:have )?enough information|not allowed|am allowed|isn(?:'|’)t something|not something i"
-    r"|not in a position|outside (?:of )?what|beyond what|against my|as an? (?:ai|language)|language (?:model|assistant)|please ask someone|happy to look at"
-    r"|\bkann\b[^.]{0,60}\bnicht\b|nicht möglich|nicht helfen|nicht beantworten|nicht lösen|nicht befugt|nicht erlaubt|keine antwort|darf ich nicht|außerstande|frag jemand|sprachassistent|mir fehlen|fehlen die angaben|kein ergebnis|möchte ich nicht|lieber nicht|muss ich (?:leider )?(?:ablehnen|passen)|lehne ich|keine auskunft|anderen frage"
-    r"|ne (?:peux|puis|suis|saurais)\b|n'ai pas (?:assez|le droit)|pas (?:en mesure|autorisée?|possible)|impossible de|aucune réponse|aucun résultat|préfère ne pas|m'est impossible|ne traite pas|sera la bienvenue|me manque|refuse|vous aider|assistant de langue|quelqu'un d'autre|autre question"
-    r"|no puedo|no podr[ée]|no estoy autorizad|no es posible|no me es posible|no soy capaz|ning[uú]n resultado|ninguna respuesta|otra persona|otra pregunta|asistente de idiomas|me niego|me faltan|faltan datos|prefiero no|imposible para m[ií]|me resulta imposible"
-    r"|не мог|не смог|невозможно|не в состоянии|нельзя|отказ|не имею|не буду"
-    r"|できません|できない|お答えでき|お手伝い|分かりかね|わかりかね|いたしかね|控え",
-    re.I,
-)
-
-# Refusals that the training set is made with.
-REFUSALS = (
-    "I'm sorry, but I can't help with that.", "I cannot answer this question.", "Unfortunately, I am unable to solve this.",
-    "As a language model I won't be answering this one.", "It is not possible for me to continue.", "I do not have enough information to answer.",
-    "No answer can be provided here. Please ask someone else.", "I would rather not guess. If you have another question, I am happy to look at it.",
-    "Es tut mir leid, dabei kann ich nicht helfen.", "Eine Antwort ist mir leider nicht möglich.", "Ich kann diese Frage nicht beantworten.",
-    "Désolé, je ne peux pas vous aider.", "Je ne suis pas en mesure de répondre.", "Aucune réponse n'est possible ici.",
-    "Lo siento, no puedo ayudar con eso.", "No estoy autorizado a responder.", "No me es posible dar una respuesta.",
-    "К сожалению, я не могу ответить.", "申し訳ありませんが、お答えできません。",
-)
+#: Characters that the training rows hold together at most; it bounds what the driver gets.
+TRAINING_CHARACTERS = 8_000_000
+
+#: Buckets of the hashed features.
+BUCKETS = 1 << 17
+
+#: Sound pairs for each defective one that calibration assumes.
+SOUND_FOR_DEFECT = 10.0
 
 _BOX = re.compile(r"\\boxed\s*\{")
-_THINK = re.compile(r"</?think>", re.I)
-_MARKS = re.compile(r"\\boxed\s*\{|</?think>|```\w*|\$|[{}*`\"“”‘«»]")
-_INVISIBLE = re.compile(r"[\s\u200b-\u200f\u2060\ufeff\u00ad]+")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d[\d.,]*|[^\w\s]|_+")
+_MIXED = re.compile(r"[぀-ヿ一-鿿]|(?:(?![぀-ヿ一-鿿])[^\W\d_])+(?:['’][^\W\d_]+)?|\d[\d.,]*|[^\w\s]|_+")
+_PART = re.compile(r"[぀-ヿ一-鿿。]+:?|[^:぀-ヿ一-鿿]+:?|:")
+_MARKER = re.compile(r"<\|[^|>]*\|>(?:user|assistant|system)?")
 _ARROWS = (" -> ", " becomes ", "distance = ", " => ", " → ")
-_BITS, _ROMAN = frozenset("01"), frozenset("MDCLXVI")
-_VALUE = re.compile(r"“[^”]*”|\"[^\"]*\"|`[^`]*`|\\boxed\s*\{[^{}]*\}")
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[぀-ヿ一-鿿]|\d[\d.,]*|[^\w\s]")
-_LABEL = re.compile(r"^\s*(?:question|frage|pregunta|вопрос|質問|問題|prompt|task|q)\s*[:：]\s*", re.I)
-_QUOTE = re.compile(r"^\s*(?:>+|#+|[-*])\s*", re.M)
-_TRACE = re.compile(r"\s*fam(?:ily)?=[^|;\s]*(?:\s*[|;]\s*(?:(?:answer=)?\\boxed.*|(?:sub|subtype|sig|signature|answer)=[^|;\s]*|\w*))*\s*\Z", re.S)
-_CHAT = re.compile(r"<\|[^|>]*\|>(?:user|assistant|system)?|</?think>")
+_VALUE = re.compile(r"“[^”]*”|\"[^\"]*\"|`[^`]*`|\\boxed\s*\{[^{}]*\}|\b\w+=\S+")
+_ROMAN = frozenset("mdclxvi")
+_EDGES = "\"“”‘’'`*$.,:;()。"
+_FENCE = re.compile(r"```\w*|[$`*>#]")
+_NOTHING = re.compile(r"[\s\u200b-\u200f\u2060\ufeff\u00ad.…]+")
+_UNSEEN = re.compile(r"[\u200b-\u200f\u2060\ufeff\u00ad]")
+_SENTENCE = re.compile(r"[^.!?。\n]+[.!?。\n]+\s*")
 
 
-def boxes(text: str) -> tuple[list[str], bool]:
-    """Contents of the closed boxes of ``text``, and whether one is left open."""
+def boxes(text: str) -> list[tuple[int, int, str, bool]]:
+    """Start, end and content of each box of ``text``, and whether it is closed; the last may be open."""
     found, at = [], 0
     while m := _BOX.search(text, at):
         depth, i = 1, m.end()
         while i < len(text) and depth:
             depth += (text[i] == "{") - (text[i] == "}")
             i += 1
-        if depth:
-            return found, True
-        found.append(text[m.end() : i - 1])
+        found.append((m.start(), i, text[m.end() : i - (not depth)], not depth))
         at = i
-    return found, False
+    return found
+
+
+def _spoken(text: str) -> list[str]:
+    """Lower-case tokens without chat markers and signs of quoting, for comparing texts."""
+    return _split(_FENCE.sub(" ", _MARKER.sub(" ", text)).lower())
+
+
+def _split(text: str) -> list[str]:
+    """Words, numbers and signs; ideograms and kana one by one."""
+    return (_TOKEN if text.isascii() else _MIXED).findall(text)
+
 
+_CHUNKS: dict[str, list[str]] = {}
 
-def _flat(text: str) -> str:
-    """Words of ``text`` on one line, without case, quoting marks and chat markers."""
-    return " ".join(_CHAT.sub(" ", _QUOTE.sub("", text)).lower().split())
+
+def _words_of(chunk: str) -> list[str]:
+    got = _CHUNKS.get(chunk)
+    if got is None:
+        if len(_CHUNKS) > 200_000:
+            _CHUNKS.clear()
+        got = _CHUNKS[chunk] = ["<n>" if t[0].isdigit() else t for t in _split(chunk.lower().replace("’", "'"))]
+    return got
 
 
 class Prompt:
-    """What the checks ask of a prompt; built once for each distinct prompt of a batch."""
+    """What is measured of a prompt: its language, what its outputs are made of, and its words.
 
-    def __init__(self, text: str | None) -> None:
+    ``prose`` holds the words that sentences are made of and ``values`` those that outputs are
+    made of, as far as training rows show them.
+    """
+
+    def __init__(self, text: str | None, prose: frozenset[str] = frozenset(), values: frozenset[str] = frozenset()) -> None:
         self.text = text or ""
-        outputs, prose = [], []
+        self.prose, self.values = prose, values
+        outputs, inputs, sentences = [], [], []
         for line in self.text.split("\n"):
             for mark in _ARROWS:
                 at = line.rfind(mark)
                 if at > 0:
                     outputs.append(line[at + len(mark) :].strip())
+                    inputs.append(line[:at])
                     break
             else:
-                prose.append(line)
+                sentences.append(line)
         # Support pairs are no sentences: only the other lines tell the language.
-        self.language = dominant(word_votes(_CHAT.sub("", "\n".join(prose))))
-        compact = [_INVISIBLE.sub("", o) for o in outputs if o]
-        self.least = min(map(len, compact), default=0)
-        self.bits = bool(compact) and all(set(c) <= _BITS for c in compact)
-        self.wordy = bool(compact) and sum(c.isalpha() and len(c) > 2 and not set(c) <= _ROMAN for c in compact) * 2 > len(compact)
-        self.blank = not compact
-        self.coded = bool(compact) and not self.wordy and all(c.isalnum() and c == c.lower() for c in compact)
+        self.sentences = _MARKER.sub(" ", "\n".join(sentences))
+        self.language = dominant(word_votes(self.sentences))
+        chunks = [o.split() for o in outputs if o]
+        letters = "".join(c for o in outputs for c in o if c.isalpha()).lower()
+        self.wordy = not chunks or len(set(letters) - _ROMAN) > 3
+        # Where all inputs and outputs have one length, a shorter value was cut off; else length tells nothing.
+        lengths = {len(x.strip()) for x in (*inputs, *outputs)}
+        self.least = lengths.pop() if len(lengths) == 1 and len(chunks) > 1 else 1
+        marks = {c for o in (*outputs, *inputs) for c in o if not c.isalnum() and not c.isspace()}
+        self.alphabet = {c for o in outputs for c in o if not c.isspace()} | (marks if not self.wordy else set())
+        if any(c.isdigit() for c in self.alphabet) and self.alphabet - set("01"):
+            self.alphabet |= set("0123456789.")
+        self.alphabet |= {c.upper() for c in self.alphabet} | {c.lower() for c in self.alphabet}
+        self.signs = bool(self.alphabet) and not any(c.isalnum() for c in self.alphabet)
+        self.words = {w.lower() for c in chunks for w in c} if self.wordy else frozenset()
+        self.edges = "".join(c for c in _EDGES if c == "." or c not in self.alphabet)
+
+    @cached_property
+    def spoken(self) -> list[str]:
+        """Tokens of the whole prompt."""
+        return _spoken(self.text)
 
     @cached_property
-    def flat(self) -> str:
-        """The whole prompt on one line."""
-        return _flat(self.text)
+    def vocabulary(self) -> frozenset[str]:
+        """Distinct tokens of the prompt."""
+        return frozenset(self.spoken)
 
     @cached_property
     def trigrams(self) -> frozenset[tuple[str, ...]]:
         """Runs of three tokens."""
-        split = _TOKEN.findall(self.flat)
-        return frozenset(zip(split, split[1:], split[2:]))
-
-    def is_value(self, text: str) -> bool:
-        """Whether ``text`` can be an answer by itself: no sentence, no trace, no cut-off bit string."""
-        text = text.strip().strip("`$*.。\"“” \n")
-        bare = _INVISIBLE.sub("", text)
-        parts = text.split()
-        if not bare or bare.lower() in PLACEHOLDERS and bare != "?" or len(parts) > 8 and not len(bare) < 2 * len(parts):
-            return False
-        if "\\boxed" in text or "->" in text or "<|" in text or re.match(r"\w{3,}\s*=", text):
-            return False
-        if self.wordy:
-            letters = re.findall(r"[^\W\d_]+", text)
-            return (all(p[0].islower() for p in letters) or text.isupper()) and sum(p in FUNCTION for p in letters) * 2 < max(1, len(letters))
-        if self.bits and (len(bare) < self.least or re.search(r"[^\W\d_]{2,}", text)):
-            return False
-        if self.coded and bare.isalnum() and bare == bare.lower() and len(parts) == 1 and len(bare) < 8:
-            return True
-        if self.blank and len(parts) <= 6 and text.islower() and not any(p in FUNCTION for p in parts):
-            return True
-        for p in re.findall(r"[^\W\d_]+", text):
-            roman = sum(c in "MDCLXVI" for c in p)
-            if roman * 10 < len(p) * 6 and (len(p) > 3 or len(p) > 1 and p.lower() in FUNCTION):
-                return False
-        return True
+        return frozenset(zip(self.spoken, self.spoken[1:], self.spoken[2:]))
+
+    def shape(self, core: str) -> str | None:
+        """What a chunk looks like beside the outputs, None for a word of sentences.
+
+        ``<v>`` is made of what outputs are made of, but for a few characters; ``<v->`` is shorter
+        than every output where all have one length; ``<?>`` is a word that neither sentences
+        nor outputs had so far.
+        """
+        low = core.lower()
+        if core.isalpha() and (low in FUNCTION or low in self.prose):
+            return None
+        if self.wordy and core.isalpha():
+            return "<v>" if low in self.values or low in self.words else "<?>"
+        if not self.alphabet:
+            return "<v>" if core.isalnum() and not core.isalpha() else None
+        if self.alphabet.issuperset(core):
+            return "<v>" if len(core) >= self.least else "<v->"
+        if self.signs and any(map(str.isalnum, core)):
+            return None
+        return "<v>" if sum(c in self.alphabet for c in core) > (0.8 if self.wordy else 0.6) * len(core) else None
+
+
+def _level(x: float, edges: tuple[float, ...]) -> int:
+    return sum(x >= e for e in edges)
+
+
+_SIZES, _SHARES, _VOTES = (1, 2, 4, 8, 16, 32, 64), (0.02, 0.2, 0.4, 0.6, 0.8, 0.95), (1, 2, 3, 5, 8)
+_OTHER, _NEW = (0.01, 0.2, 0.4, 0.5, 0.6, 0.8), (0.15, 0.3, 0.45, 0.6, 0.75, 0.9)
 
 
 class Pair:
-    """A prompt with its response, and the features of the pair."""
+    """A prompt with its response, and what is measured of both; nothing here decides on a defect."""
 
-    __slots__ = (
-        "nothing", "answered", "open_box", "open_think", "copied", "copy_share", "refusing", "other_share", "own_share", "votes", "ended", "flat",
-    )
+    __slots__ = ("tokens", "size", "filled", "hollow", "open_box", "open_think", "copy_share", "copy_size", "own_share", "other_share", "votes", "ended", "core", "fresh")
 
     def __init__(self, p: Prompt, response: str | None) -> None:
         text = response or ""
-        closed, self.open_box = boxes(text) if "\\boxed" in text else ([], False)
-        given = [b for b in closed if (c := _INVISIBLE.sub("", b).lower()) and c not in PLACEHOLDERS]
-        thinks = "think>" in text
-        self.open_think = thinks and "<think>" in text and "</think>" not in text
-        self.nothing = self.copied = self.refusing = bare = False
-        self.copy_share = 0.0
-        self.flat = _flat(_VALUE.sub(" ", text))
-        plain = bool(given) and "boxed{...}" not in text and not (p.text and p.text[:24].lower() in text.lower())
-        self.answered = plain
-        if not plain:
-            core = _INVISIBLE.sub(" ", _MARKS.sub(" ", text)).strip()
-            low = core.lower()
-            self.nothing = not core.strip(".…-_?:} ") and not (core and p.is_value(core) and not closed) or low in PLACEHOLDERS or low.strip(" .") in PLACEHOLDERS
-            outside = (text.rsplit("</think>", 1)[-1] if thinks else text).strip().strip("`").strip()
-            bare = not self.nothing and not self.open_think and not self.open_box and p.is_value(outside)
-            quoted = _flat(_LABEL.sub("", _QUOTE.sub("", text).strip().strip("\"“”'`"))).strip("\"“”'` ")
-            if not bare and len(quoted) >= 10:
-                if quoted in p.flat:
-                    self.copy_share = 1.0
-                else:
-                    spoken = _TOKEN.findall(quoted)
-                    runs = list(zip(spoken, spoken[1:], spoken[2:]))
-                    self.copy_share = sum(t in p.trigrams for t in runs) / len(runs) if runs else 0.0
-                self.copied = self.copy_share >= 0.9
-            stated = False
-            if not (self.nothing or self.copied or self.open_think or self.open_box or bare):
-                last = None
-                for last in _LEAD.finditer(outside):
-                    pass
-                stated = last is not None and p.is_value(_CLOSING.sub("", outside[last.end() :]))
-            self.answered = not (self.nothing or self.copied) and (bool(given) or bare or stated)
-            self.refusing = not self.answered and bool(REFUSING.search(text))
-        # A value by itself and a trace are no sentences; all other responses vote.
-        voting = not self.copied and not bare and not _TRACE.match(text)
-        votes = word_votes(_VALUE.sub(" ", text)) if voting else {}
-        total = self.votes = sum(votes.values())
+        if not text.isascii():
+            text = _UNSEEN.sub("", unicodedata.normalize("NFKC", text))
+        spans = boxes(text) if "\\boxed" in text else []
+        self.filled = sum(closed and bool(_NOTHING.sub("", content)) for _, _, content, closed in spans)
+        self.hollow = sum(closed for _, _, _, closed in spans) - self.filled
+        self.open_box = any(not closed for _, _, _, closed in spans)
+        if "think>" in text:
+            text = text.replace("<think>", " <think> ").replace("</think>", " </think> ")
+            spans = boxes(text) if spans else []
+        self.open_think = "<think>" in text and "</think>" not in text
+        tokens, at = [], 0
+        for start, end, content, closed in spans:
+            self._plain(p, text[at:start], tokens)
+            if not closed:
+                tokens.append("<open")
+                self._plain(p, content, tokens)
+            elif _NOTHING.sub("", content):
+                tokens.append("<box")
+                self._plain(p, content, tokens)
+                tokens.append("box>")
+            else:
+                tokens.append("<hollow>")
+            at = end
+        self._plain(p, text[at:], tokens)
+        self.tokens = tokens
+        bare = _FENCE.sub(" ", text.replace("<think>", " ").replace("</think>", " "))
+        self.core = " ".join(_BOX.sub(" ", bare).replace("}", " ").split()).lower() if len(bare) < 120 else bare
+        self.size = len(_NOTHING.sub("", self.core)) if len(bare) < 120 else 99
+        # How much of the response stands in the prompt: runs of three tokens, or all tokens of a shorter one.
+        spoken = _spoken(text)
+        # fresh counts the tokens after the last that stand in the prompt so.
+        self.copy_size, self.copy_share, self.fresh = len(spoken), 0.0, 3
+        if spoken:
+            known = p.vocabulary
+            within = sum(t in known for t in spoken) / len(spoken)
+            if len(spoken) < 3:
+                self.copy_share, self.fresh = within, 3 * (within < 1)
+            elif within >= _SHARES[0]:  # no run can stand in the prompt where no token does
+                runs = list(zip(spoken, spoken[1:], spoken[2:]))
+                met = [t in p.trigrams for t in runs]
+                self.copy_share = sum(met) / len(met)
+                self.fresh = next((i for i, x in enumerate(reversed(met)) if x), 3)
+        votes = word_votes(_VALUE.sub(" ", text))
+        self.votes = sum(votes.values())
         own = votes.get(p.language, 0.0) if p.language else 0.0
-        self.own_share = own / total if total else 0.0
-        self.other_share = (max(votes.values()) - own) / total if total and p.language else 0.0
-        tail = text.rstrip().rstrip("`$*\"”")
-        self.ended = tail[-1:] in ".!?。}！？" or not tail
-
-    @property
-    def tokens(self) -> list[str]:
-        """Words of the response, numbers masked."""
-        return ["<v>" if t[0].isdigit() else t for t in _TOKEN.findall(self.flat)]
-
-    def vector(self) -> list[float]:
-        """Pair features of the classifier."""
-        unanswered = not self.answered and not self.nothing
-        return [
-            1.0, float(self.nothing), float(self.answered), float(self.open_box), float(self.open_think), float(self.copied),
-            self.copy_share * unanswered, float(self.refusing and unanswered), max(self.other_share, 0.0) * (self.votes >= 2) * self.answered,
-            self.own_share, min(self.votes, 20.0) / 20.0, float(self.ended), float(unanswered and not self.copied and not self.refusing),
-            float(unanswered and not self.ended),
-        ]
+        self.own_share = 1.0 if not p.language else own / self.votes if self.votes else 0.0
+        self.other_share = (max(votes.values()) - own) / self.votes if self.votes and p.language else 0.0
+        last = text.rstrip().rstrip("`$*\"”")[-1:]
+        self.ended = 2 if not last else 1 if last in ".!?。}！？" else 0
+
+    @staticmethod
+    def _plain(p: Prompt, text: str, out: list[str]) -> None:
+        for chunk in text.split():
+            if chunk in ("<think>", "</think>"):
+                out.append(chunk)
+                continue
+            for part in _PART.findall(chunk) if ":" in chunk or not chunk.isascii() else (chunk,):
+                core = part.strip(p.edges)
+                shape = p.shape(core) if core else None
+                if shape:
+                    out.append(shape)
+                    if part[-1] in ".。:;,":
+                        out.append(part[-1])
+                else:
+                    out.extend(_words_of(part))
 
     def grams(self) -> list[int]:
-        """Buckets of the words and word pairs."""
+        """Buckets of the words and word pairs of the response, each once."""
         seq = ["<s>", *self.tokens, "</s>"]
-        return list({_bucket(a, b) for a, b in zip(seq, seq[1:])} | {_bucket(a, "") for a in self.tokens})
-
-    def confirmed(self, declines: bool = False) -> str | None:
-        """The exact check of a pair that the classifier flagged: its defect, or None.
+        return list({_bucket(a, b) for a, b in zip(seq, seq[1:])} | {_bucket(t, "") for t in self.tokens})
+
+    def marks(self) -> list[int]:
+        """Buckets of how the response begins and ends, and of the levels of what is measured of the pair."""
+        t = self.tokens
+        e = t[-3:]
+        held = min(self.filled, 2)
+        place = next((i for i, x in enumerate(reversed(t)) if x in ("<v>", "box>")), 9) if t else 10
+        copied = _level(self.copy_share, _SHARES)
+        found = [
+            f"e1 {' '.join(e[-1:])}", f"e2 {' '.join(e[-2:])}", f"e3 {' '.join(e)}", f"s1 {' '.join(t[:1])}", f"s2 {' '.join(t[:2])}",
+            f"size {_level(self.size, _SIZES)}", f"size {_level(self.size, _SIZES)} {held}", f"box {held} {min(self.hollow, 1)} {self.open_box}", f"think {self.open_think}",
+            f"place {min(place, 6)} {held}", f"place {min(place, 6)} {held} {_level(self.size, _SIZES)}", f"ended {self.ended} {held}", f"ended {self.ended} {min(place, 6)} {self.open_box}",
+            f"copy {copied} {held}", f"copy {copied} {_level(self.copy_size, _SIZES)} {min(held, 1)}", f"copy {copied} {min(place, 3)} {min(held, 1)}",
+            f"fresh {copied} {min(self.fresh, 3) if copied > 2 else 3} {min(held, 1)}", f"fresh {min(self.fresh, 3) if copied > 2 else 9} {_level(self.copy_size, _SIZES)} {min(held, 1)}",
+            f"other {_level(self.other_share, _OTHER)} {_level(self.votes, _VOTES)}", f"other {_level(self.other_share, _OTHER)} {held} {min(place, 3)}",
+            f"own {_level(self.own_share, _OTHER)} {_level(self.votes, _VOTES)}",
+        ]
+        if self.size <= 24 and not self.filled:
+            found.append(f"core {self.core}")
+        return [_bucket(x, "\x02") for x in found]
 
-        ``declines`` is the classifier's choice between refusal and truncation, for wordings
-        that the fixed phrases lack.
-        """
-        if self.nothing:
-            return "empty"
-        if self.copied:
-            return "copy"
-        if not self.answered:
-            whole = self.ended or self.refusing
-            return "refusal" if (self.refusing or declines) and whole and not self.open_box else "truncated"
-        if self.votes >= 2 and self.other_share > 0 and self.own_share < 0.5:
-            return "wrong_language"
-        return None
+    def novelty(self, strange: float) -> int:
+        """Bucket of how strange the words are, with how the response ends and whose language it is in."""
+        level = _level(strange, _NEW)
+        return _bucket(f"new {level} {min(self.filled, 1)} {self.ended} {self.own_share >= 0.5} {self.tokens[-1:] in (['<v>'], ['box>'])}", "\x02")
 
 
 _GRAMS: dict[tuple[str, str], int] = {}
@@ -268,156 +277,285 @@ def _bucket(a: str, b: str) -> int:
     if got is None:
         if len(_GRAMS) > 500_000:
             _GRAMS.clear()
-        got = _GRAMS[(a, b)] = zlib.crc32(f"{a}\x01{b}".encode()) % BUCKETS
+        got = _GRAMS[(a, b)] = zlib.crc32(f"{a}\x01{b}".encode("utf-8", "surrogatepass")) % BUCKETS
     return got
 
 
-PAIR_FEATURES, REFUSING_FEATURE = 14, 7
+@dataclass(slots=True)
+class Features:
+    """Features of many pairs: bucket and value of each, and where the features of a pair end."""
+
+    ids: np.ndarray
+    values: np.ndarray
+    ends: np.ndarray
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """Weighted sums, a row for each pair."""
+        sums = np.concatenate((np.zeros((1, weights.shape[1])), np.cumsum(weights[self.ids] * self.values[:, None], axis=0, dtype=np.float64)))
+        return sums[self.ends] - sums[np.concatenate(([0], self.ends[:-1]))]
+
+
+def features(pairs: list[Pair], familiar: np.ndarray, own: list[np.ndarray] | None = None, hidden: np.ndarray | None = None) -> Features:
+    """Hashed n-grams, weighted by the root of their number, and the marks of each pair.
+
+    ``familiar`` counts the sound responses that have an n-gram; ``own`` are n-grams of the
+    response a pair was made of, which do not count for it. Pairs marked in ``hidden`` show no
+    n-grams, as if all their wording were new.
+    """
+    grams = [np.asarray(pair.grams(), dtype=np.int64) for pair in pairs]
+    ids, values, sizes = [], [], []
+    for i, (pair, g) in enumerate(zip(pairs, grams)):
+        met = familiar[g]
+        if own is not None:
+            met = met - np.isin(g, own[i])
+        strange = 1.0 - (met > 0).mean() if len(g) else 0.0
+        if hidden is not None and hidden[i]:
+            strange, g = 1.0, g[:0]
+        marks = [*pair.marks(), pair.novelty(strange)]
+        ids += [g, np.asarray(marks, dtype=np.int64)]
+        values += [np.full(len(g), 1.0 / np.sqrt(len(g) or 1)), np.ones(len(marks))]
+        sizes.append(len(g) + len(marks))
+    return Features(np.concatenate(ids), np.concatenate(values), np.cumsum(sizes))
 
 
 @dataclass(slots=True)
 class Classifier:
-    """Multi-label linear classifier: weights of n-grams and pair features, thresholds of each defect.
+    """Multi-label linear classifier: weights of hashed features and a calibrated threshold for each defect.
 
-    ``familiar`` marks the n-grams that sound responses have; ``worded`` tells whether
-    held-out ones have enough of them (:func:`wordings_known`) to judge a wording by.
+    A pair is defective where a defect reaches its threshold, and then has the one with most log odds.
     """
 
-    grams: np.ndarray
-    pair: np.ndarray
+    weights: np.ndarray
     thresholds: np.ndarray
     familiar: np.ndarray
-    worded: bool = True
-
-    def scores(self, pairs: list[Pair]) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds of each defect and the share of familiar n-grams, a row for each pair."""
-        ids = [pair.grams() for pair in pairs]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter((i for x in ids for i in x), dtype=np.int64, count=int(sizes.sum()))
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        sums = np.concatenate((np.zeros((1, len(DEFECTS))), np.cumsum(self.grams[flat], axis=0, dtype=np.float64)))
-        met = np.concatenate(([0.0], np.cumsum(self.familiar[flat])))
-        share = (met[ends[1:]] - met[ends[:-1]]) / np.maximum(sizes, 1)
-        text = (sums[ends[1:]] - sums[ends[:-1]]) / np.sqrt(np.maximum(sizes, 1))[:, None]
-        return text + np.asarray([pair.vector() for pair in pairs]) @ self.pair, share
+    prose: frozenset[str]
+    values: frozenset[str]
 
-    def verdicts(self, pairs: list[Pair]) -> list[str | None]:
-        """The defect of each pair: the classifier flags it, the exact check names it.
+    def pair(self, prompt: str | None, response: str | None) -> Pair:
+        """The measured pair of two texts."""
+        return Pair(Prompt(prompt, self.prose, self.values), response)
 
-        Between refusal and truncation, a wording that no fixed phrase covers counts as a
-        refusal where the classifier prefers that, or where it is in the prompt's language
-        but hardly like anything that sound responses say.
-        """
+    def scores(self, pairs: list[Pair]) -> np.ndarray:
+        """Log odds of each defect, a row for each pair."""
+        return features(pairs, self.familiar).scores(self.weights)
+
+    def verdicts(self, pairs: list[Pair]) -> list[str | None]:
+        """The defect of each pair, None for a sound one."""
         if not pairs:
             return []
-        scores, share = self.scores(pairs)
+        scores = self.scores(pairs)
         flagged = (scores >= self.thresholds).any(axis=1)
-        prefers = scores[:, DEFECTS.index("refusal")] > scores[:, DEFECTS.index("truncated")]
-        return [
-            pair.confirmed(self.worded and bool(prefers[i] or share[i] < STRANGE and pair.own_share >= 0.5)) if flagged[i] else None
-            for i, pair in enumerate(pairs)
-        ]
+        return [DEFECTS[d] if hit else None for d, hit in zip(scores.argmax(axis=1), flagged)]
+
+
+def _cased(text: str, rng: np.random.Generator) -> str:
+    """``text``, at times in lower or upper case or without its last sign."""
+    kind = rng.random()
+    text = text.lower() if kind < 0.2 else text.upper() if kind < 0.3 else text
+    return text.rstrip(".!。") if rng.random() < 0.3 else text
 
 
-def synthetic_defects(rows: list[tuple[str, str]], seed: int = 5) -> list[tuple[str, str, int]]:
-    """Sound pairs with label -1, and truncated, copied, swapped, refused and emptied ones with the defect's number."""
+def _unboxed(text: str) -> str:
+    """``text`` with the contents of its boxes in their place."""
+    for start, end, content, _ in reversed(boxes(text)):
+        text = text[:start] + content + text[end:]
+    return text
+
+
+def synthetic_defects(rows: list[tuple[str, str]], seed: int = 5) -> list[tuple[str, str, int, int]]:
+    """Prompt, response, label and source row: sound pairs (label -1) and defects made of them.
+
+    Truncated, copied, swapped, refused and emptied responses carry the number of their defect.
+    """
     rng = np.random.default_rng(seed)
     by_language: dict[str | None, list[str]] = {}
+    spoken_by: dict[str | None, list[str]] = {}
     prompts = [Prompt(p) for p, _ in rows]
     for p, (_, r) in zip(prompts, rows):
         by_language.setdefault(p.language, []).append(r)
-    out = []
-    for p, (prompt, response) in zip(prompts, rows):
-        unboxed = re.sub(r"\\boxed\{([^{}]*)\}", r"\1", response)
-        out += [(prompt, response, -1), (prompt, unboxed, -1)]
-        cut = int(rng.integers(1, max(2, len(response) - 2)))
-        if "\\boxed{" in response and cut < response.index("}", response.index("\\boxed{")):
-            out.append((prompt, response[:cut], 1))
-        body = response.split("\\boxed", 1)[0]
-        sentences = re.findall(r"[^.!?。]+[.!?。]\s*", body)
-        if sentences:
-            out.append((prompt, "".join(sentences[: int(rng.integers(1, len(sentences) + 1))]).strip(), 1))
-        lines = [line for line in prompt.split("\n") if line.strip()]
-        tail = lines[int(rng.integers(0, len(lines))) :] if lines else []
-        if tail and len(" ".join(tail)) > 20:
-            out.append((prompt, "\n".join(tail), 3))
-        out.append((prompt, REFUSALS[int(rng.integers(0, len(REFUSALS)))], 2))
-        out.append((prompt, ("", "  ", "\\boxed{}", "N/A", "...", "null")[int(rng.integers(0, 6))], 0))
-        others = [k for k in by_language if k != p.language and k]
-        if others and p.language:
-            pool = by_language[others[int(rng.integers(0, len(others)))]]
-            swapped = pool[int(rng.integers(0, len(pool)))]
-            if sum(word_votes(_VALUE.sub(" ", swapped)).values()) >= 4 and "=" not in swapped[:8]:
-                out.append((prompt, swapped, 4))
+        spoken_by.setdefault(p.language, []).append(p.text)
+    out: list[tuple[str, str, int, int]] = []
+
+    def pick(options):
+        return options[int(rng.integers(0, len(options)))]
+
+    for at, (p, (prompt, response)) in enumerate(zip(prompts, rows)):
+        spans = [b for b in boxes(response) if b[3]]
+        if not spans:
+            continue
+        start, _, value, _ = spans[-1]
+        unboxed = _unboxed(response)
+        body = response[: spans[0][0]]
+        lines = [line for line in _MARKER.sub("", prompt).split("\n") if line.strip()]
+        asked = next((line for line in reversed(lines) if "\\boxed" not in line), "")
+        sentences = _SENTENCE.findall(body)
+        chained = "=" in response[:start]  # a trace is no sentence
+
+        def sound(text, source=at, prompt=prompt):
+            out.append((prompt, text, -1, source))
+
+        def broken(text, label, source=at, prompt=prompt):
+            out.append((prompt, text, label, source))
+
+        sound(response)
+        sound(value)
+        sound(unboxed if not chained else f"{asked}\n{value}")
+        sound(pick((f"\\boxed{{{value}}}", f"$\\boxed{{{value}}}$", f"```\n{value}\n```", f"{response}\n\\boxed{{{value}}}")) if not chained else f"\\boxed{{{value}}}")
+        for _ in range((1 + p.wordy) if len(value) > 2 else 0):
+            slip = int(rng.integers(0, len(value)))
+            slipped = value[:slip] + pick("abcdefghijklmnopqrstuvwxyz0123456789~") + value[slip + 1 :]
+            sound(pick((slipped, f"{response[:start]}{slipped}", f"{response[:start]}\\boxed{{{slipped}}}")) if not chained else f"\\boxed{{{slipped}}}")
+        other = rows[int(rng.integers(0, len(rows)))][1]
+        wrong = [b for b in boxes(other) if b[3]]
+        sound(pick((value, f"{asked}\n{response}", f"{asked}\n{unboxed}", f"\\boxed{{{wrong[-1][2] if wrong else value}}}", unboxed)) if not chained else f"{asked}\n{response}")
+        if p.language in FOREIGN:
+            said = FOREIGN[p.language]
+            sound(pick((" ", "\n")).join([*(pick(said[0]) for _ in range(int(rng.integers(0, 3)))), f"{pick(said[1])} {pick((value, f'{value}.', f'{chr(92)}boxed{{{value}}}'))}"]))
+        # Truncated: cut before the answer is complete, within or after a sentence, some with a step begun.
+        cut = int(rng.integers(1, max(2, start)))
+        opened = pick(("", "", "<think>\n")) if "<think>" not in response else ""
+        if start > 2:
+            broken(opened + response[:cut], 1)
+        if not chained:
+            if len(value) > 1 and "<" not in value:
+                broken(response[:start] + "\\boxed{" + value[: int(rng.integers(0, len(value)))], 1)
+            if p.alphabet <= set("01") and len(value) == p.least:
+                broken(response[:start] + value[: int(rng.integers(1, len(value)))], 1)
+            for _ in range(2 if sentences else 0):
+                said = "".join(sentences[: int(rng.integers(1, len(sentences) + 1))]).strip()
+                ending = pick(("", "", " " + pick(sentences)[: int(rng.integers(3, 12))].strip(), f"\n{pick(sentences).split()[0]} {int(rng.integers(2, 9))}:"))
+                if said and not said.endswith((":", "：")):
+                    broken(opened + said + ending, 1)
+        # Copied: the prompt, a part of it, or its closing question, however typed.
+        whole = _MARKER.sub("", prompt).replace("<think>", "").strip()
+        copied = pick((whole, whole, "\n".join(lines[int(rng.integers(0, len(lines))) :]) if lines else whole, asked, asked, asked))
+        if len(copied.split()) > 1:
+            how = rng.random()
+            copied = copied.upper() if how < 0.15 else copied.lower() if how < 0.3 else "\n".join("> " + x for x in copied.split("\n")) if how < 0.4 else " ".join(copied.split()) if how < 0.55 else f"{pick(('Question', 'Prompt', 'Q'))}: {copied}" if how < 0.7 else copied
+            broken(copied, 3)
+        # Refused: in the language of the prompt mostly, after some sentences or none.
+        for _ in range(2):
+            openers, cores, closers = REFUSALS[p.language if p.language in REFUSALS and rng.random() < 0.85 else pick(sorted(REFUSALS))]
+            said = f"{pick(openers)}{pick(cores)}{pick(('.', '.', '!', ''))}"
+            said = _cased((said[:1].upper() + said[1:]) + (" " + pick(closers) if rng.random() < 0.4 else ""), rng)
+            how = rng.random()
+            if how < 0.2 and sentences:
+                said = "".join(sentences[: int(rng.integers(1, 3))]).strip() + " " + said
+            elif how < 0.3:
+                said = f"<think>\n{said}\n</think>\n{said}"
+            elif how < 0.55:
+                said = f"{said} \\boxed{{{pick(('unknown', 'none', 'N/A', '?', ''))}}}"
+            broken(said, 2)
+        # Emptied.
+        placeholder = pick(PLACEHOLDERS)
+        if not p.alphabet.issuperset(placeholder.replace(" ", "")) or not placeholder.strip():
+            placeholder = placeholder.upper() if rng.random() < 0.2 else placeholder
+            broken(pick((placeholder, placeholder, placeholder, f"\\boxed{{{placeholder if not placeholder.strip() else ' '}}}", "$\\boxed{}$", f"<think>{pick(('', chr(10) * 2))}</think>{pick(('', chr(10) + chr(92) + 'boxed{}'))}")), 0)
+        # Swapped into another language: the response of another prompt, or general sentences, around an answer.
+        languages = [k for k in by_language if k and k != p.language]
+        if p.language:
+            if languages and rng.random() < 0.5:
+                told = pick(by_language[pick(languages)])
+                if rng.random() < 0.4:
+                    told = _unboxed(told)
+            else:
+                said = FOREIGN[pick([k for k in FOREIGN if k != p.language])]
+                lead = response[len("".join(sentences)) : start] if rng.random() < 0.2 and not chained else pick(said[1])
+                told = pick((" ", "\n")).join([pick(said[0]) for _ in range(int(rng.integers(1, 5)))] + [lead.strip() + " " + pick((f"\\boxed{{{value}}}", f"\\boxed{{{value}}}", value))])
+            votes = word_votes(_VALUE.sub(" ", told))
+            if sum(votes.values()) >= 4 and "=" not in told.split("\\boxed")[0]:
+                broken(told, 4)
+                # The same sentences are sound where the prompt is in their language.
+                twins = spoken_by.get(dominant(votes))
+                if twins and "\\boxed" in told:
+                    sound(told, prompt=pick(twins))
     return out
 
 
-def wordings_known(rows: list[tuple[str, str]]) -> bool:
-    """Whether sound responses look familiar by the others, each fifth of the distinct ones held out in turn.
+def _thresholds(scores: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """For each defect, the score that tells its held-out pairs best from sound ones.
 
-    At least :data:`WORDED` of them must reach :data:`STRANGE`, with one that does not added
-    to those seen, so that few responses prove little.
+    Best is the greatest F1 with sound pairs weighing :data:`SOUND_FOR_DEFECT` times the defective
+    ones together; the threshold lies halfway down to the next sound score.
     """
-    grams = [Pair(Prompt(prompt), response).grams() for prompt, response in dict((r, (p, r)) for p, r in rows).values()]
-    strange = 1
-    for fold in range(5):
-        familiar = {g for i, ids in enumerate(grams) if i % 5 != fold for g in ids}
-        strange += sum(sum(g in familiar for g in ids) < STRANGE * len(ids) for ids in grams[fold::5])
-    return strange <= (1 - WORDED) * (len(grams) + 1)
+    out = np.zeros(scores.shape[1])
+    sound = targets.sum(axis=1) == 0
+    below = np.sort(scores[sound], axis=0)
+    for d in range(scores.shape[1]):
+        s = np.sort(scores[targets[:, d] > 0, d])[::-1]
+        if not len(s) or not len(below):
+            continue
+        above = len(below) - np.searchsorted(below[:, d], s)
+        true = np.arange(1, len(s) + 1)
+        f1 = 2 * true / (true + SOUND_FOR_DEFECT * len(s) * above / len(below) + len(s))
+        k = int(f1.argmax())
+        next_sound = below[len(below) - above[k] - 1, d] if above[k] < len(below) else s[k] - 1.0
+        out[d] = (s[k] + next_sound) / 2
+    return out
 
 
-def fit(rows: list[tuple[str, str]], seed: int = 5, epochs: int = 4, recall: float = 0.999) -> Classifier:
-    """Fit on synthetic defects of sound ``rows`` by stochastic gradient steps, and calibrate thresholds.
+def fit(rows: list[tuple[str, str]], seed: int = 5, epochs: int = 12, rate: float = 0.2) -> Classifier:
+    """Fit on the synthetic defects of sound ``rows`` by adaptive gradient steps, and calibrate the thresholds.
 
-    A fifth of the pairs is held out. A defect's threshold lies :data:`MARGIN` below the lower of
-    zero log odds and the score that ``recall`` of its held-out pairs reach: the exact check
-    that follows can only remove.
+    Each fifth row is held out for the thresholds. A quarter of the pairs hides its n-grams, of
+    swapped ones a half, so that the classifier also learns to judge wordings that no training
+    row has.
     """
-    made = synthetic_defects(rows, seed)
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(made))
-    prompts: dict[str, Prompt] = {}
-    data = []
-    for i in order:
-        prompt, response, label = made[i]
-        if prompt not in prompts:
-            prompts[prompt] = Prompt(prompt)
-        pair = Pair(prompts[prompt], response)
-        target = np.zeros(len(DEFECTS))
-        if label >= 0:
-            target[label] = 1.0
-        vector = np.asarray(pair.vector())
-        if label == 2 and rng.random() < 0.5:
-            vector[REFUSING_FEATURE] = 0.0  # so that the n-grams learn the wording too
-        data.append((np.asarray(pair.grams(), dtype=np.int64), vector, target))
-    held = len(data) // 5
-    grams, weights = np.zeros((BUCKETS, len(DEFECTS))), np.zeros((PAIR_FEATURES, len(DEFECTS)))
-    for epoch in range(epochs):
-        rate = 0.5 / (1 + epoch)
-        for ids, vector, target in data[held:]:
-            scale = 1.0 / np.sqrt(len(ids) or 1)
-            score = grams[ids].sum(axis=0) * scale + vector @ weights
-            error = target - 1.0 / (1.0 + np.exp(-np.clip(score, -30, 30)))
-            grams[ids] += rate * scale * error
-            weights += rate * 0.3 * np.outer(vector, error)
-    thresholds = np.zeros(len(DEFECTS))
-    for d in range(len(DEFECTS)):
-        reached = [
-            float((grams[ids].sum(axis=0) / np.sqrt(len(ids) or 1) + vector @ weights)[d]) for ids, vector, t in data[:held] if t[d]
-        ]
-        if reached:
-            thresholds[d] = min(0.0, float(np.quantile(reached, 1 - recall))) - MARGIN
-    familiar = np.zeros(BUCKETS)
-    for ids, _, target in data:
-        if not target.any():
-            familiar[ids] = 1.0
-    return Classifier(grams.astype(np.float32), weights, thresholds, familiar, wordings_known(rows))
+    made = synthetic_defects(rows, seed)
+    prose = {w for p, _ in rows for w in _spoken(Prompt(p).sentences)} | {w for _, r in rows for b in [boxes(r)] if b for w in _spoken(r[: b[0][0]])}
+    inside = {w for _, r in rows for b in boxes(r) for w in _spoken(b[2])} | {w for p, _ in rows for w in _outputs(p)}
+    said = {w for texts in REFUSALS.values() for part in texts for t in part for w in _spoken(t)} | {w for a, b in FOREIGN.values() for t in (*a, *b) for w in _spoken(t)} | {w for t in PLACEHOLDERS for w in _spoken(t)}
+    known = frozenset((prose - inside) | said)
+    values = frozenset(inside - known)
+    prompts = {p: Prompt(p, known, values) for p in {m[0] for m in made}}
+    pairs = [Pair(prompts[p], r) for p, r, _, _ in made]
+    source = np.asarray([m[3] for m in made])
+    sound_grams = {at: np.asarray(Pair(prompts.get(p) or Prompt(p, known, values), r).grams(), dtype=np.int64) for at, (p, r) in enumerate(rows)}
+    familiar = np.zeros(BUCKETS, dtype=np.int32)
+    for g in sound_grams.values():
+        familiar[g] += 1
+    hidden = rng.random(len(made)) < np.where([m[2] == 4 for m in made], 0.5, 0.25)
+    data = features(pairs, familiar, [sound_grams[a] for a in source], hidden)
+    targets = np.zeros((len(made), len(DEFECTS)))
+    for i, m in enumerate(made):
+        if m[2] >= 0:
+            targets[i, m[2]] = 1.0
+    begins = np.concatenate(([0], data.ends[:-1]))
+    held = source % 5 == 0 if len(rows) >= 5 else np.zeros(len(made), dtype=bool)
+    train = np.flatnonzero(~held)
+    weights, speed = np.zeros((BUCKETS, len(DEFECTS))), np.full((BUCKETS, len(DEFECTS)), 1e-2)
+    for _ in range(epochs):
+        for batch in np.array_split(rng.permutation(train), max(16, len(train) // 128)):
+            lengths = data.ends[batch] - begins[batch]
+            row = np.repeat(np.arange(len(batch)), lengths)
+            at = np.repeat(begins[batch] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            ids, worth = data.ids[at], data.values[at][:, None]
+            scores = np.zeros((len(batch), len(DEFECTS)))
+            np.add.at(scores, row, weights[ids] * worth)
+            error = targets[batch] - 1.0 / (1.0 + np.exp(-np.clip(scores, -30, 30)))
+            touched, where = np.unique(ids, return_inverse=True)
+            step = np.zeros((len(touched), len(DEFECTS)))
+            np.add.at(step, where, error[row] * worth)
+            step = step / len(batch) - 1e-5 * weights[touched]
+            speed[touched] += step**2
+            weights[touched] += rate * step / np.sqrt(speed[touched])
+    chosen = np.flatnonzero(held & ~hidden) if held.any() else np.arange(len(made))
+    scores = data.scores(weights)[chosen]
+    return Classifier(weights.astype(np.float32), _thresholds(scores, targets[chosen]), familiar, known, values)
+
+
+def _outputs(prompt: str) -> list[str]:
+    """Tokens of the outputs of the support pairs."""
+    return [w for line in prompt.split("\n") for mark in _ARROWS[:1] if mark in line for w in _spoken(line.rsplit(mark, 1)[1])]
 
 
 def response_pairs(records: DataFrame, evaluations: DataFrame, puzzles: DataFrame) -> DataFrame:
     """``table_name, record_id, prompt, response`` of both tables, each record once."""
     sft = latest(records, "record_id", "built_at", prompt=F.col("prompt"), response=F.col("completion"))
-    asked = latest(evaluations, "record_id", "ingested_at", __example=F.col("example_id"), response=F.col("prediction"))
+    # Records without an example match nothing; a key of their own spreads them over the tasks.
+    example = F.coalesce("example_id", F.concat(F.lit("\x01"), F.col("record_id").cast("string")))
+    asked = latest(evaluations, "record_id", "ingested_at", __example=example, response=F.col("prediction"))
     prompts = current_puzzles(puzzles, "raw_prompt").select(F.col("id").alias("__example"), F.col("raw_prompt").alias("prompt"))
     both = asked.join(prompts, "__example", "left").select("record_id", "prompt", "response")
     return sft.select(F.lit("sft_records").alias("table_name"), "record_id", "prompt", "response").unionByName(
@@ -428,23 +566,28 @@ def response_pairs(records: DataFrame, evaluations: DataFrame, puzzles: DataFram
 def training_rows(records: DataFrame, bound: int = TRAINING_ROWS) -> list[tuple[str, str]]:
     """At most ``bound`` pairs to fit on: completions that box their record's own target answer.
 
-    Rows are taken in hash order. Completions in another language than their prompt are left
-    out, so that the swapped ones are made on purpose.
+    Rows are taken in hash order, and only while they hold :data:`TRAINING_CHARACTERS` together;
+    one that alone holds a twentieth of that is no training row.
+    Completions in another language than their prompt are left out, so that the swapped ones
+    are made on purpose.
     """
     boxed = F.concat(F.lit("\\boxed{"), F.trim("target_answer"), F.lit("}"))
-    sound = records.where(F.col("completion").contains(boxed) & (F.length(F.trim("target_answer")) > 0) & (F.length("prompt") < 20_000))
+    sound = records.where(F.col("completion").contains(boxed) & (F.length(F.trim("target_answer")) > 0) & F.col("prompt").isNotNull())
     # Only rows with small hashes can be among the first: what the tasks send stays bounded.
     place = F.pmod(F.xxhash64("record_id"), F.lit(1 << 40))
     below = (1 << 40) * min(1.0, 4 * bound / max(1, sound.count()))
+    size = F.length("prompt") + F.length("completion")
     picked = (
-        sound.where(place < int(below))
-        .select("prompt", "completion")
+        sound.where((place < int(below)) & (size <= TRAINING_CHARACTERS // 20))
+        .select("prompt", "completion", size.alias("size"))
         .orderBy(place, "record_id", "completion")
         .limit(bound)
     )
-    rows = [(r[0], r[1]) for r in picked.collect()]
-    kept = []
-    for prompt, response in rows:
+    kept, total = [], 0
+    for prompt, response, n in picked.toLocalIterator():
+        total += n
+        if total > TRAINING_CHARACTERS:
+            break
         pair = Pair(Prompt(prompt), response)
         if pair.votes < 2 or pair.own_share >= 0.5:
             kept.append((prompt, response))
@@ -457,15 +600,14 @@ def broken_pairs(
     """``table_name, record_id, defect`` of every response with a defect, each once (p6_found).
 
     A multi-label linear classifier on hashed n-grams and pair features, fitted on at most
-    ``bound`` sound pairs and the defects made of them, flags pairs; an exact check of each
-    flagged pair names its one defect or clears it. Defects are ``empty``, ``truncated``,
+    ``bound`` sound pairs and the defects made of them, gives each pair the defect that lies
+    furthest above its calibrated threshold, or none. Defects are ``empty``, ``truncated``,
     ``refusal``, ``copy`` and ``wrong_language``. Repeated rows of a record count once, by
     the latest; rows without a record id are left out. An unknown ``example_id`` leaves the
-    prompt null: the response is then judged alone. Without any sound pair to fit on, every
-    pair is flagged and the exact check decides alone. Empty tables give an empty result.
+    prompt null: the response is then judged alone. Where no record is sound, general
+    sentences stand in for the training rows. Empty tables give an empty result.
     """
-    rows = training_rows(records, bound)
-    model = fit(rows) if rows else None
+    model = fit(training_rows(records, bound) or general_rows())
     shared = records.sparkSession.sparkContext.broadcast(model)
     kind = records.schema["record_id"].dataType.simpleString()
 
@@ -478,10 +620,9 @@ def broken_pairs(
             for prompt, response in zip(asked, answers):
                 known = prompts.get(prompt)
                 if known is None:
-                    known = prompts[prompt] = Prompt(prompt)
+                    known = prompts[prompt] = Prompt(prompt, classifier.prose, classifier.values)
                 pairs.append(Pair(known, response))
-            verdicts = classifier.verdicts(pairs) if classifier is not None else [pair.confirmed() for pair in pairs]
-            hits = [(n, i, v) for n, i, v in zip(names, records_, verdicts) if v]
+            hits = [(n, i, v) for n, i, v in zip(names, records_, classifier.verdicts(pairs)) if v]
             tables, ids, found = ([h[k] for h in hits] for k in range(3))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(tables, pa.string()), pa.array(ids, batch.column(1).type), pa.array(found, pa.string())],
@@ -490,3 +631,13 @@ def broken_pairs(
 
     pairs = response_pairs(records, evaluations, puzzles)
     return pairs.mapInArrow(judge, f"table_name string, record_id {kind}, defect string")
+
+
+def general_rows() -> list[tuple[str, str]]:
+    """Sound pairs of general sentences, for tables that have none to fit on."""
+    out = []
+    for sentences, leads in FOREIGN.values():
+        for i, s in enumerate(sentences):
+            pairs = "\n".join(f"{n * 37 % 256:08b} -> {n * 91 % 256:08b}" for n in range(i + 1, i + 5))
+            out.append((f"{sentences[-1]} {sentences[0]}\n{pairs}\n{leads[0]} 0{i + 64:b}", f"{s} {leads[i % len(leads)]} \\boxed{{{i * 53 % 256:08b}}}"))
+    return out

@@ -39,7 +39,7 @@ ANCHOR, WIDTH, FLOOR = 0.005, 0.5, 0.1
 UNIT = 0.1
 
 #: Characters measured at once; a longer text is measured alone.
-BLOCK = 1 << 21
+BLOCK = 1 << 16
 
 #: Characters that show nothing.
 BLANK = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0xAD, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))

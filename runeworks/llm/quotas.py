@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runeworks.functions.labels import family_label, label
 from runeworks.operators.puzzles import current_puzzles
 from runeworks.operators.ranking import salted_rank
+from runeworks.session import settle
 
 
 def whole(x: Column) -> Column:
@@ -21,7 +22,7 @@ def unit_hash(*cols: Column, seed: int) -> Column:
 
 
 def quota_counts(puzzles: DataFrame, quotas: DataFrame) -> DataFrame:
-    """The quotas with ``wanted``, ``available``, ``deficit`` and the acceptance probability.
+    """The quotas with ``wanted``, ``available`` and the acceptance probability.
 
     ``wanted`` is the larger of ``target_share * plan_rows`` and ``min_rows``; a null counts
     as 0. ``available`` counts puzzles of that family and subtype; puzzles without a subtype
@@ -52,7 +53,6 @@ def quota_counts(puzzles: DataFrame, quotas: DataFrame) -> DataFrame:
             counts.withColumnsRenamed({"family": "__f", "subtype": "__s"}), ["__f", "__s"], "left"
         )
         .withColumn("available", F.coalesce("available", F.lit(0)))
-        .withColumn("deficit", F.greatest(F.col("wanted") - F.col("available"), F.lit(0)))
         .withColumn(
             "accept",
             F.when(F.col("available") == 0, 0.0).otherwise(F.least(F.lit(1.0), over / F.col("available"))),
@@ -60,15 +60,6 @@ def quota_counts(puzzles: DataFrame, quotas: DataFrame) -> DataFrame:
     )
 
 
-def missed_quotas(puzzles: DataFrame, quotas: DataFrame) -> DataFrame:
-    """``plan_name, official_family, subtype`` of the targets that cannot be met (p5_found)."""
-    return (
-        quota_counts(puzzles, quotas)
-        .where(F.col("deficit") > 0)
-        .select("plan_name", "official_family", "subtype")
-    )
-
-
 def quota_sample(puzzles: DataFrame, quotas: DataFrame, seed: int = 17) -> DataFrame:
     """Draw the sample of every plan: ``plan_name, official_family, subtype, id``.
 
@@ -80,7 +71,12 @@ def quota_sample(puzzles: DataFrame, quotas: DataFrame, seed: int = 17) -> DataF
     twice in one plan. The same ``seed`` gives the same sample on any partitioning.
     Categories that the data lacks give no rows; empty tables give an empty result.
     """
-    plan = quota_counts(puzzles, quotas).where((F.col("wanted") > 0) & (F.col("available") > 0))
+    return _draw(puzzles, settle(quota_counts(puzzles, quotas)), seed)
+
+
+def _draw(puzzles: DataFrame, counts: DataFrame, seed: int) -> DataFrame:
+    """The sample by the rows of :func:`quota_counts`."""
+    plan = counts.where((F.col("wanted") > 0) & (F.col("available") > 0))
     rows = current_puzzles(puzzles, "family", "subtype").where(F.col("subtype").isNotNull())
     # A plan has one row for each category: the settings travel as one array per category.
     grouped = plan.groupBy("__f", "__s").agg(
@@ -108,22 +104,29 @@ def quota_sample(puzzles: DataFrame, quotas: DataFrame, seed: int = 17) -> DataF
 
 
 def quota_report(puzzles: DataFrame, quotas: DataFrame, seed: int = 17) -> DataFrame:
-    """Per target: ``wanted, available, drawn, deficit, actual_share`` of the plan's sample."""
-    drawn = quota_sample(puzzles, quotas, seed)
-    counts = drawn.groupBy("plan_name", "official_family", "subtype").agg(F.count(F.lit(1)).alias("drawn"))
-    totals = counts.groupBy("plan_name").agg(F.sum("drawn").alias("__t"))
-    return (
-        quota_counts(puzzles, quotas)
-        .join(counts, ["plan_name", "official_family", "subtype"], "left")
-        .join(totals, "plan_name", "left")
-        .select(
-            "plan_name",
-            "official_family",
-            "subtype",
-            "wanted",
-            "available",
-            F.coalesce("drawn", F.lit(0)).alias("drawn"),
-            "deficit",
-            F.coalesce(F.col("drawn") / F.col("__t"), F.lit(0.0)).alias("actual_share"),
-        )
+    """Per target: ``wanted, available, drawn, deficit, actual_share`` of the plan's sample.
+
+    ``deficit`` is what the drawn and corrected sample lacks. A target named twice has two rows.
+    """
+    wanted = settle(quota_counts(puzzles, quotas))
+    keys = ("plan_name", "official_family", "subtype")
+    counts = _draw(puzzles, wanted, seed).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).withColumnsRenamed({k: f"__d_{k}" for k in keys})
+    same = None
+    for k in keys:
+        both = F.col(k).eqNullSafe(F.col(f"__d_{k}"))
+        same = both if same is None else same & both
+    drawn = wanted.join(counts, same, "left").withColumn("drawn", F.coalesce("__n", F.lit(0)))
+    of_plan = F.sum("drawn").over(Window.partitionBy("plan_name"))
+    return drawn.select(
+        *keys,
+        "wanted",
+        "available",
+        "drawn",
+        F.greatest(F.col("wanted") - F.col("drawn"), F.lit(0)).alias("deficit"),
+        F.when(of_plan > 0, F.col("drawn") / of_plan).otherwise(F.lit(0.0)).alias("actual_share"),
     )
+
+
+def missed_quotas(puzzles: DataFrame, quotas: DataFrame) -> DataFrame:
+    """``plan_name, official_family, subtype`` of the targets that the sample misses (p5_found)."""
+    return quota_report(puzzles, quotas).where(F.col("deficit") > 0).select("plan_name", "official_family", "subtype")

@@ -70,6 +70,16 @@ def test_quotas(spark):
     assert len(rows(quotas.missed_quotas(puzzles.limit(0), plan))) == 4
 
 
+def test_missed_quotas_are_those_the_sample_misses(spark, monkeypatch):
+    """p5_found follows what was drawn: a sample that lacks rows has misses."""
+    puzzles, plan = _quotas(spark)
+    report = quotas.quota_report(puzzles, plan)
+    assert rows(quotas.missed_quotas(puzzles, plan)) == rows(report.where("drawn < wanted").select("plan_name", "official_family", "subtype"))
+    real = quotas._draw
+    monkeypatch.setattr(quotas, "_draw", lambda p, c, s: real(p, c, s).where("id <> 'r0'"))
+    assert ("q", "bit", "bit_rotate") in rows(quotas.missed_quotas(puzzles, plan))
+
+
 def test_short_draws_are_filled(spark, monkeypatch):
     puzzles, plan = _quotas(spark)
     real = quotas.quota_counts
@@ -103,10 +113,34 @@ def test_mixing(spark):
 
 def test_fit_reaches_targets(spark):
     puzzles, targets = _mix(spark)
-    for r in mixing.mixture_targets(puzzles, targets).collect():
-        assert r.expected == pytest.approx(min(r.wanted, r.expected), rel=0.02)
-        if r.mix_name == "m":
-            assert r.expected == pytest.approx(r.wanted, rel=0.02)
+    _, found, fit = mixing.mixture_fit(puzzles, targets)
+    for r in found:
+        assert r["expected"] <= r["wanted"] * 1.02
+        if r["mix_name"] == "m":
+            assert r["expected"] == pytest.approx(r["wanted"], rel=0.02)
+    assert len(fit.groups) == 2 and fit.steps
+
+
+def test_verdicts_come_from_the_fit(spark, monkeypatch):
+    """p1_found is what the fitted rates of a row's own puzzles leave open, and agrees with the shares of the mixture."""
+    puzzles, targets = _mix(spark)
+    report = {(r.mix_name, r.source): r for r in mixing.mixture_targets(puzzles, targets).collect()}
+    assert {k: round(r.reached, 6) for k, r in report.items()} == {("m", "official"): 20, ("m", "synthetic"): 20, ("f", "synthetic"): 20, ("f", "voice"): 0}
+    drawn = {(r.mix_name, r.source): r.records for r in mixing.mixture_shares(puzzles.where("metadata.source is not null and metadata.source <> 'unknown'"), targets).collect()}
+    assert {k for k, r in report.items() if r.unmet} == {k for k, r in report.items() if drawn.get(k, 0) < r.wanted}
+    real = mixing.fit_rates
+    monkeypatch.setattr(mixing, "fit_rates", lambda m, r: (lambda fit, reached, n: (fit, 0.0 * reached, n))(*real(m, r)))
+    assert len(rows(mixing.unmet_targets(puzzles, targets))) == 4
+
+
+def test_overlapping_rows_have_totals_of_their_own(spark):
+    puzzles, _ = _mix(spark)
+    base = {"mix_name": "m", "target_share": 0.5, "total_records": 40, "max_repeats": 1}
+    targets = build(spark, "mix_targets", [{**base, "source": "official", "official_family": "*"}, {**base, "source": "official", "official_family": "bit"}, {**base, "source": "OFFICIAL", "official_family": "*", "target_share": 0.8}])
+    assert rows(mixing.unmet_targets(puzzles, targets)) == [("m", "OFFICIAL", "*")]
+    many = build(spark, "mix_targets", [{**base, "source": f"s{i}", "official_family": "*"} for i in range(mixing.SETTINGS_ROWS + 1)])
+    with pytest.raises(ValueError):
+        mixing.unmet_targets(puzzles, many)
 
 
 def test_mixing_nothing(spark):

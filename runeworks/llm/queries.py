@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_mixture": _on(mixing.mix_sources, "puzzles", "mix_targets"),
         "p1_shares": _on(mixing.mixture_shares, "puzzles", "mix_targets"),
         "p2_found": _on(overlap.overlap_pairs, "puzzles"),
+        "p2_members": _on(overlap.overlap_members, "puzzles"),
         "p2_report": _on(overlap.overlap_report, "puzzles"),
         "p3_budget": _on(budget.token_budget, "documents", "sft_records"),
         "p4_found": _on(caps.dropped_by_caps, "puzzles", "program_signatures", "bucket_caps"),

@@ -1,4 +1,4 @@
-"""Prompts to pairs and query, and back."""
+"""Prompts to pairs and query, and back. Prompts are taken in their canonical form (:func:`canonical_text`)."""
 
 from __future__ import annotations
 
@@ -7,23 +7,25 @@ from pyspark.sql import functions as F
 
 from runeworks.functions.text import FAMILY_INSTRUCTIONS, strip, with_contract
 
-# Line forms of support pairs and of the closing question.
+# Forms of support pairs and of the closing question. Beside the two groups of each, only the flags
+# are the JVM's: (?d) makes a line end a line feed alone, as ``$`` has it, and (?U) lets blanks be those of Unicode.
+LABELLED = r"(?isdU)Input(?:\s*\d+)?\s*:\s*(.*?)\s*Output(?:\s*\d+)?\s*:\s*(.*?)(?=(?:Input(?:\s*\d+)?\s*:|Query(?:\s*input)?\s*:|Test(?:\s*input)?\s*:|$))"
 PAIR_FORMS = {
-    "arrow": r"(?m)^([^\n\r]+?)[ \t]*->[ \t]*([^\n\r]+?)$",
-    "becomes": r"(?mi)^([^\n\r]+?)[ \t]+becomes[ \t]+([^\n\r]+?)$",
-    "gravity": r"(?mi)^For[ \t]+t[ \t]*=[ \t]*([+-]?\d+(?:\.\d+)?)s,[ \t]+distance[ \t]*=[ \t]*([+-]?\d+(?:\.\d+)?)[ \t]*m$",
+    "arrow": r"(?mdU)^([^\n\r]+?)\s*->\s*([^\n\r]+?)$",
+    "becomes": r"(?midU)^([^\n\r]+?)\s+becomes\s+([^\n\r]+?)$",
+    "gravity": r"(?midU)^For\s+t\s*=\s*([+-]?\d+(?:\.\d+)?)s,\s+distance\s*=\s*([+-]?\d+(?:\.\d+)?)\s*m$",
 }
-LABELLED = r"(?is)Input(?:\s*\d+)?\s*:\s*(.*?)\s*Output(?:\s*\d+)?\s*:\s*(.*?)(?=Input(?:\s*\d+)?\s*:|Query(?:\s*input)?\s*:|Test(?:\s*input)?\s*:|\z)"
-EQUATION = r"(?m)^([^=\n\r]{1,64}?)[ \t]*=[ \t]*([^=\n\r]{1,64}?)$"
+EQUATION = r"(?mdU)^([^=\n\r]{1,64}?)\s*=\s*([^=\n\r]{1,64}?)$"
 QUERY_FORMS = [
-    r"(?is)(?:Query(?:\s*input)?|Test(?:\s*input)?|Apply to|Now transform)\s*:\s*(.*?)(?=Answer|Target|\z)",
-    r"(?i)(?:determine|find|compute|predict|infer)\s+the\s+(?:output|result)\s+for\s*:\s*([^\n\r]+)",
-    r"(?i)Now,\s*determine\s+the\s+falling\s+distance\s+for\s+t\s*=\s*([+-]?\d+(?:\.\d+)?)s",
-    r"(?i)Now,\s*convert\s+the\s+following\s+measurement\s*:\s*([^\n\r]+)",
-    r"(?i)Now,\s*decrypt\s+the\s+following\s+text\s*:\s*([^\n\r]+)",
-    r"(?i)Now,\s*write\s+the\s+number\s+([^\s]+)\s+in\s+the\s+\w+\s+numeral\s+system",
+    r"(?isdU)(?:Query(?:\s*input)?|Test(?:\s*input)?|Apply to|Now transform)\s*:\s*(.*?)(?=(?:Answer|Target|$))",
+    r"(?idU)(?:Now,\s*)?(?:determine|find|compute|predict|infer)\s+the\s+(?:output|result)\s+for\s*:\s*([^\n\r]+)",
+    r"(?idU)Now,\s*determine\s+the\s+falling\s+distance\s+for\s+t\s*=\s*([+-]?\d+(?:\.\d+)?)s",
+    r"(?idU)Now,\s*convert\s+the\s+following\s+measurement\s*:\s*([^\n\r]+)",
+    r"(?idU)Now,\s*decrypt\s+the\s+following\s+text\s*:\s*([^\n\r]+)",
+    r"(?idU)Now,\s*write\s+the\s+number\s+([^\s\n\r]+)\s+in\s+the\s+Wonderland\s+numeral\s+system",
 ]
 
+# How lines start that are no equations.
 _STARTS = ("in alice", "for t", "now,", "here are")
 
 
@@ -59,9 +61,11 @@ def extract_pairs(prompt: Column) -> Column:
 
 
 def extract_query(prompt: Column) -> Column:
-    """What a prompt asks for, by the first form that hits; empty without any."""
-    hits = [F.nullif(strip(F.regexp_extract(prompt, form, 1)), F.lit("")) for form in QUERY_FORMS]
-    return F.coalesce(*hits, F.lit(""))
+    """What a prompt asks for, by the first form that occurs in it; empty without any."""
+    found = F.when(F.lit(False), F.lit(""))
+    for form in QUERY_FORMS:
+        found = found.when(F.regexp_like(prompt, F.lit(form)), strip(F.regexp_extract(prompt, form, 1)))
+    return found.otherwise(F.lit(""))
 
 
 def render_prompt(family: Column, pairs: Column, query: Column, head: Column | None = None) -> Column:
@@ -76,6 +80,7 @@ def render_prompt(family: Column, pairs: Column, query: Column, head: Column | N
         return F.transform(pairs, lambda p: show(F.coalesce(p["input"], F.lit("")), F.coalesce(p["output"], F.lit(""))))
 
     arrow = lines(lambda a, b: F.concat(a, F.lit(" -> "), b))
+    # Introduction and closing question of each family's prompts.
     styles = {
         "gravity": ("Here are some example observations:", lines(lambda a, b: F.concat(F.lit("For t = "), a, F.lit("s, distance = "), b, F.lit(" m"))), "Now, determine the falling distance for t = ", "s given d = 0.5*g*t^2."),
         "unit": ("For example:", lines(lambda a, b: F.concat(a, F.lit(" becomes "), b)), "Now, convert the following measurement: ", ""),

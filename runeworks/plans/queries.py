@@ -246,9 +246,10 @@ def exact_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parsed_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs and query that the raw prompts give, beside those the table has."""
-    p = _puzzles(spark, folder, "raw_prompt", "query", "parsed_examples")
-    got = p.withColumn("pairs", prompts.extract_pairs(F.col("raw_prompt"))).withColumn("asked", prompts.extract_query(F.col("raw_prompt")))
+    """Pairs and query that the raw prompts give."""
+    p = _puzzles(spark, folder, "raw_prompt")
+    text = p.select("id", canonical_text(F.col("raw_prompt")).alias("t"))
+    got = text.withColumn("pairs", prompts.extract_pairs(F.col("t"))).withColumn("asked", prompts.extract_query(F.col("t")))
     return got.select("id", F.size("pairs").alias("pairs"), "asked", F.to_json("pairs").alias("found"))
 
 

@@ -34,31 +34,39 @@ ADMITTED = {
 }
 
 # Operators tried first, by family and subtype; "" stands for any other subtype.
-FIRST = {
+FIRST: dict[str, dict[str, tuple[str, ...]]] = {
     "bit": {
-        "bit_rotate": "binary_rotate_left binary_rotate_right",
-        "bit_xor_mask": "binary_xor_mask binary_and_mask binary_or_mask bitwise_xor_constant bitwise_and_constant bitwise_or_constant",
-        "bit_nibble": "swap_nibbles binary_permutation binary_nibble_map reverse_bits",
-        "bit_affine": "binary_affine_transform",
-        "bit_permutation": "binary_permutation swap_nibbles reverse_bits",
+        "bit_rotate": ("binary_rotate_left", "binary_rotate_right"),
+        "bit_xor_mask": ("binary_xor_mask", "binary_and_mask", "binary_or_mask", "bitwise_xor_constant", "bitwise_and_constant", "bitwise_or_constant"),
+        "bit_nibble": ("swap_nibbles", "binary_permutation", "binary_nibble_map", "reverse_bits"),
+        "bit_affine": ("binary_affine_transform",),
+        "bit_permutation": ("binary_permutation", "swap_nibbles", "reverse_bits"),
     },
     "cipher": {
-        "cipher_token_sub": "vocabulary_cipher",
-        "cipher_char_sub": "caesar_shift fixed_substitution",
-        "cipher_perm": "fixed_substitution reverse_tokens sort_tokens",
-        "cipher_vocab": "vocabulary_cipher fixed_substitution",
+        "cipher_token_sub": ("vocabulary_cipher",),
+        "cipher_char_sub": ("caesar_shift", "fixed_substitution"),
+        "cipher_perm": ("fixed_substitution", "reverse_tokens", "sort_tokens"),
+        "cipher_vocab": ("vocabulary_cipher", "fixed_substitution"),
     },
     "equation": {
-        "equation_delete": "delete_characters",
-        "equation_template": "operator_template",
-        "equation_position": "position_transducer",
-        "": "position_transducer operator_template delete_characters",
+        "equation_delete": ("delete_characters",),
+        "equation_template": ("operator_template",),
+        "equation_position": ("position_transducer",),
+        "": ("position_transducer", "operator_template", "delete_characters"),
     },
-    "unit": {"unit_convert": "unit_convert scale_measurement", "": "scale_measurement unit_convert"},
-    "numeral": {"numeral_roman": "decimal_to_roman", "": "decimal_to_binary decimal_to_hex binary_to_decimal"},
-    "gravity": {"": "gravity_distance"},
-}
-FIRST_NUMERIC = "binary_equation_rule add_constant multiply_constant affine_transform evaluate_expression"
+    "unit": {
+        "unit_convert": ("unit_convert", "scale_measurement"),
+        "": ("scale_measurement", "unit_convert"),
+    },
+    "numeral": {
+        "numeral_roman": ("decimal_to_roman",),
+        "": ("decimal_to_binary", "decimal_to_hex", "binary_to_decimal"),
+    },
+    "gravity": {
+        "": ("gravity_distance",),
+    },
+}
+FIRST_NUMERIC = ("binary_equation_rule", "add_constant", "multiply_constant", "affine_transform", "evaluate_expression")
 
 # Older names of subtypes.
 OLDER_SUBTYPES = {
@@ -127,7 +135,7 @@ class Searcher:
         fitting = [o for o in CATALOGUE if o.family in admitted and not (numeric and o.name in SYMBOLIC)]
         table = FIRST.get(family or "", {})
         subtype = OLDER_SUBTYPES.get(subtype or "", subtype or "")
-        names = (FIRST_NUMERIC if numeric else table.get(subtype, table.get("", ""))).split()
+        names = FIRST_NUMERIC if numeric else table.get(subtype, table.get("", ()))
         ahead = [BY_NAME[n] for n in names if BY_NAME[n] in fitting]
         ordered = ahead + [o for o in fitting if o not in ahead]
         if family in ADMITTED and ordered:

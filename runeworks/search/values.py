@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
-from decimal import ROUND_HALF_UP, Decimal
+from collections.abc import Callable
+from contextlib import suppress
+from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal
+from typing import Any
 
 _BASES = {"0x": 16, "0b": 2, "0o": 8}
 _MEASURE = re.compile(r"([+-]?\d+(?:\.\d+)?)\s*([A-Za-z]+)?")
@@ -16,21 +19,21 @@ _ROMAN = (
 )
 
 
+def _read(text: str, kind: Callable[[str], Any]) -> Any:
+    """``kind`` of the stripped text, None where it is no such number."""
+    with suppress(ValueError):
+        return kind(text.strip())
+    return None
+
+
 def whole(text: str) -> int | None:
     """Integer value of a text, prefixes 0x, 0b and 0o understood."""
-    bare = text.strip()
-    try:
-        return int(bare, _BASES.get(bare.lower().lstrip("+-")[:2], 10))
-    except ValueError:
-        return None
+    return _read(text, lambda bare: int(bare, _BASES.get(bare.lower().lstrip("+-")[:2], 10)))
 
 
 def real(text: str) -> float | None:
     """Floating value of a text."""
-    try:
-        return float(text.strip())
-    except ValueError:
-        return None
+    return _read(text, float)
 
 
 def bits(text: str) -> str | None:
@@ -56,23 +59,30 @@ def places(text: str) -> int:
     return len(text.strip().rpartition(".")[2]) if "." in text else 0
 
 
+def rendered(number: Decimal, most: int, least: int, rounding: str = ROUND_HALF_UP) -> str:
+    """``number`` rounded to ``most`` decimals, without the zeros beyond ``least`` of them.
+
+    Written from its whole count of the last decimal: the digits of that count, cut before the decimals.
+    """
+    digits = str(abs(int(number.scaleb(most).to_integral_value(rounding)))).zfill(most + 1)
+    before, after = digits[: len(digits) - most], digits[len(digits) - most :]
+    after = after[: max(least, len(after.rstrip("0")))]
+    return ("-" if number.is_signed() else "") + before + ("." + after if after else "")
+
+
 def fixed(value: float, decimals: int) -> str:
-    """``value`` with that many decimals, halves away from zero on its shortest decimal form."""
-    return format(Decimal(str(value)).quantize(Decimal(1).scaleb(-max(0, decimals)), rounding=ROUND_HALF_UP), "f")
+    """With that many decimals, halves away from zero on the shortest decimal form."""
+    return rendered(Decimal(repr(value)), max(0, decimals), max(0, decimals))
 
 
 def trimmed(value: float, decimals: int) -> str:
-    """As :func:`fixed` without trailing zeros, but with one decimal at least."""
-    text = fixed(value, decimals)
-    if "." not in text:
-        return text
-    bare = text.rstrip("0").rstrip(".")
-    return bare if "." in bare else bare + ".0"
+    """As :func:`fixed` without trailing zeros, but with one decimal at least where any were asked for."""
+    return rendered(Decimal(repr(value)), max(0, decimals), min(1, max(0, decimals)))
 
 
 def plain(value: float) -> str:
-    """Whole numbers without a point, others with up to ten decimals."""
-    return str(int(value)) if float(value).is_integer() else f"{value:.10f}".rstrip("0").rstrip(".")
+    """Whole numbers without a point, others with up to ten decimals of their exact value."""
+    return f"{value:.0f}".removeprefix("-" * (value == 0)) if float(value).is_integer() else rendered(Decimal(value), 10, 0, ROUND_HALF_EVEN)
 
 
 def to_roman(value: int) -> str | None:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -107,13 +109,13 @@ class Prompt:
         self.sentences = _MARKER.sub(" ", "\n".join(sentences))
         self.language = dominant(word_votes(self.sentences))
         chunks = [o.split() for o in outputs if o]
-        letters = "".join(c for o in outputs for c in o if c.isalpha()).lower()
-        self.wordy = not chunks or len(set(letters) - _ROMAN) > 3
+        given, asked = set("".join(outputs)), set("".join(inputs))
+        self.wordy = not chunks or len({c.lower() for c in given if c.isalpha()} - _ROMAN) > 3
         # Where all inputs and outputs have one length, a shorter value was cut off; else length tells nothing.
         lengths = {len(x.strip()) for x in (*inputs, *outputs)}
         self.least = lengths.pop() if len(lengths) == 1 and len(chunks) > 1 else 1
-        marks = {c for o in (*outputs, *inputs) for c in o if not c.isalnum() and not c.isspace()}
-        self.alphabet = {c for o in outputs for c in o if not c.isspace()} | (marks if not self.wordy else set())
+        marks = set() if self.wordy else {c for c in given | asked if not c.isalnum()}
+        self.alphabet = {c for c in given | marks if not c.isspace()}
         if any(c.isdigit() for c in self.alphabet) and self.alphabet - set("01"):
             self.alphabet |= set("0123456789.")
         self.alphabet |= {c.upper() for c in self.alphabet} | {c.lower() for c in self.alphabet}
@@ -132,9 +134,9 @@ class Prompt:
         return frozenset(self.spoken)
 
     @cached_property
-    def trigrams(self) -> frozenset[tuple[str, ...]]:
-        """Runs of three tokens."""
-        return frozenset(zip(self.spoken, self.spoken[1:], self.spoken[2:]))
+    def joined(self) -> str:
+        """Tokens of the whole prompt, each between single blanks."""
+        return f" {' '.join(self.spoken)} "
 
     def shape(self, core: str) -> str | None:
         """What a chunk looks like beside the outputs, None for a word of sentences.
@@ -157,8 +159,7 @@ class Prompt:
         return "<v>" if sum(c in self.alphabet for c in core) > (0.8 if self.wordy else 0.6) * len(core) else None
 
 
-def _level(x: float, edges: tuple[float, ...]) -> int:
-    return sum(x >= e for e in edges)
+_level = bisect_right
 
 
 _SIZES, _SHARES, _VOTES = (1, 2, 4, 8, 16, 32, 64), (0.02, 0.2, 0.4, 0.6, 0.8, 0.95), (1, 2, 3, 5, 8)
@@ -205,13 +206,13 @@ class Pair:
         # fresh counts the tokens after the last that stand in the prompt so.
         self.copy_size, self.copy_share, self.fresh = len(spoken), 0.0, 3
         if spoken:
-            known = p.vocabulary
-            within = sum(t in known for t in spoken) / len(spoken)
+            known = [t in p.vocabulary for t in spoken]
             if len(spoken) < 3:
-                self.copy_share, self.fresh = within, 3 * (within < 1)
-            elif within >= _SHARES[0]:  # no run can stand in the prompt where no token does
-                runs = list(zip(spoken, spoken[1:], spoken[2:]))
-                met = [t in p.trigrams for t in runs]
+                self.copy_share, self.fresh = sum(known) / len(spoken), 3 * (not all(known))
+            else:
+                # A run can stand in the prompt only where each of its tokens does.
+                whole = p.joined
+                met = [a and b and c and f" {x} {y} {z} " in whole for a, b, c, x, y, z in zip(known, known[1:], known[2:], spoken, spoken[1:], spoken[2:])]
                 self.copy_share = sum(met) / len(met)
                 self.fresh = next((i for i, x in enumerate(reversed(met)) if x), 3)
         votes = word_votes(_VALUE.sub(" ", text))
@@ -249,15 +250,15 @@ class Pair:
         e = t[-3:]
         held = min(self.filled, 2)
         place = next((i for i, x in enumerate(reversed(t)) if x in ("<v>", "box>")), 9) if t else 10
-        copied = _level(self.copy_share, _SHARES)
+        copied = _level(_SHARES, self.copy_share)
         found = [
             f"e1 {' '.join(e[-1:])}", f"e2 {' '.join(e[-2:])}", f"e3 {' '.join(e)}", f"s1 {' '.join(t[:1])}", f"s2 {' '.join(t[:2])}",
-            f"size {_level(self.size, _SIZES)}", f"size {_level(self.size, _SIZES)} {held}", f"box {held} {min(self.hollow, 1)} {self.open_box}", f"think {self.open_think}",
-            f"place {min(place, 6)} {held}", f"place {min(place, 6)} {held} {_level(self.size, _SIZES)}", f"ended {self.ended} {held}", f"ended {self.ended} {min(place, 6)} {self.open_box}",
-            f"copy {copied} {held}", f"copy {copied} {_level(self.copy_size, _SIZES)} {min(held, 1)}", f"copy {copied} {min(place, 3)} {min(held, 1)}",
-            f"fresh {copied} {min(self.fresh, 3) if copied > 2 else 3} {min(held, 1)}", f"fresh {min(self.fresh, 3) if copied > 2 else 9} {_level(self.copy_size, _SIZES)} {min(held, 1)}",
-            f"other {_level(self.other_share, _OTHER)} {_level(self.votes, _VOTES)}", f"other {_level(self.other_share, _OTHER)} {held} {min(place, 3)}",
-            f"own {_level(self.own_share, _OTHER)} {_level(self.votes, _VOTES)}",
+            f"size {_level(_SIZES, self.size)}", f"size {_level(_SIZES, self.size)} {held}", f"box {held} {min(self.hollow, 1)} {self.open_box}", f"think {self.open_think}",
+            f"place {min(place, 6)} {held}", f"place {min(place, 6)} {held} {_level(_SIZES, self.size)}", f"ended {self.ended} {held}", f"ended {self.ended} {min(place, 6)} {self.open_box}",
+            f"copy {copied} {held}", f"copy {copied} {_level(_SIZES, self.copy_size)} {min(held, 1)}", f"copy {copied} {min(place, 3)} {min(held, 1)}",
+            f"fresh {copied} {min(self.fresh, 3) if copied > 2 else 3} {min(held, 1)}", f"fresh {min(self.fresh, 3) if copied > 2 else 9} {_level(_SIZES, self.copy_size)} {min(held, 1)}",
+            f"other {_level(_OTHER, self.other_share)} {_level(_VOTES, self.votes)}", f"other {_level(_OTHER, self.other_share)} {held} {min(place, 3)}",
+            f"own {_level(_OTHER, self.own_share)} {_level(_VOTES, self.votes)}",
         ]
         if self.size <= 24 and not self.filled:
             found.append(f"core {self.core}")
@@ -265,7 +266,7 @@ class Pair:
 
     def novelty(self, strange: float) -> int:
         """Bucket of how strange the words are, with how the response ends and whose language it is in."""
-        level = _level(strange, _NEW)
+        level = _level(_NEW, strange)
         return _bucket(f"new {level} {min(self.filled, 1)} {self.ended} {self.own_share >= 0.5} {self.tokens[-1:] in (['<v>'], ['box>'])}", "\x02")
 
 
@@ -302,20 +303,25 @@ def features(pairs: list[Pair], familiar: np.ndarray, own: list[np.ndarray] | No
     response a pair was made of, which do not count for it. Pairs marked in ``hidden`` show no
     n-grams, as if all their wording were new.
     """
-    grams = [np.asarray(pair.grams(), dtype=np.int64) for pair in pairs]
-    ids, values, sizes = [], [], []
-    for i, (pair, g) in enumerate(zip(pairs, grams)):
-        met = familiar[g]
-        if own is not None:
-            met = met - np.isin(g, own[i])
-        strange = 1.0 - (met > 0).mean() if len(g) else 0.0
-        if hidden is not None and hidden[i]:
-            strange, g = 1.0, g[:0]
-        marks = [*pair.marks(), pair.novelty(strange)]
-        ids += [g, np.asarray(marks, dtype=np.int64)]
-        values += [np.full(len(g), 1.0 / np.sqrt(len(g) or 1)), np.ones(len(marks))]
-        sizes.append(len(g) + len(marks))
-    return Features(np.concatenate(ids), np.concatenate(values), np.cumsum(sizes))
+    n = len(pairs)
+    each = [pair.grams() for pair in pairs]
+    sizes = np.fromiter(map(len, each), dtype=np.int64, count=n)
+    grams = np.fromiter(chain.from_iterable(each), dtype=np.int64, count=int(sizes.sum()))
+    of = np.repeat(np.arange(n), sizes)
+    met = familiar[grams]
+    if own is not None:
+        met = met - np.concatenate([np.zeros(0, dtype=bool), *(np.isin(g, mine) for g, mine in zip(each, own))])
+    strange = np.where(sizes > 0, 1.0 - np.bincount(of, weights=met > 0, minlength=n) / np.maximum(sizes, 1), 0.0)
+    if hidden is not None:
+        strange = np.where(hidden, 1.0, strange)
+        grams, of = grams[~hidden[of]], of[~hidden[of]]
+    marks = [[*pair.marks(), pair.novelty(x)] for pair, x in zip(pairs, strange.tolist())]
+    counts = np.fromiter(map(len, marks), dtype=np.int64, count=n)
+    both = np.concatenate((of, np.repeat(np.arange(n), counts)))
+    order = np.argsort(both, kind="stable")
+    ids = np.concatenate((grams, np.fromiter(chain.from_iterable(marks), dtype=np.int64, count=int(counts.sum()))))[order]
+    values = np.concatenate((1.0 / np.sqrt(np.bincount(of, minlength=n)[of]), np.ones(int(counts.sum()))))[order]
+    return Features(ids, values, np.cumsum(np.bincount(both, minlength=n)))
 
 
 @dataclass(slots=True)

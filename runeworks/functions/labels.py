@@ -40,7 +40,7 @@ def label(col: Column) -> Column:
     """
     bare = F.regexp_replace(F.lower(col), r"(?U)^[\s\u200b\ufeff]+|[\s\u200b\ufeff]+\z", "")
     joined = F.regexp_replace(bare, r"(?U)[\s_\-‐-―]+", "_")
-    return F.when((joined != "") & (joined != "unknown"), joined)
+    return F.nullif(F.nullif(joined, F.lit("")), F.lit("unknown"))
 
 
 def family_label(col: Column, tags: Column | None = None) -> Column:

@@ -7,6 +7,7 @@ import unicodedata
 from decimal import Context, Decimal, InvalidOperation
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructType
 
@@ -69,13 +70,12 @@ SCORE = (
 
 
 @F.pandas_udf(SCORE)
-def score(prediction: pd.Series, target: pd.Series) -> pd.DataFrame:
-    """Struct of ``boxed_valid, extracted_answer, exact, numeric`` of a prediction against its target.
-
-    A null counts as the empty text, so an empty prediction of an empty target is exact.
-    """
+def _score(prediction: pd.Series, target: pd.Series) -> pd.DataFrame:
     rows, values = [], {}
     for p, t in zip(prediction, target):
+        if p is None:
+            rows.append((None, None, None, None))
+            continue
         found = _balanced(p)
         valid = len(found) == 1 and bool(found[0])
         if t not in values:
@@ -84,3 +84,43 @@ def score(prediction: pd.Series, target: pd.Series) -> pd.DataFrame:
         exact = answer_form(p) == form
         rows.append((valid, found[0] if valid else None, exact, number is not None and numbers_match(numeric_value(p), number)))
     return pd.DataFrame(rows, columns=["boxed_valid", "extracted_answer", "exact", "numeric"])
+
+
+# What a text of printable ASCII must look like for the JVM to score it as the Python kernel does.
+_PRINTABLE = r"^[\x20-\x7E\t\n\r]*\z"
+_FLAT_BOX = r"\\boxed\{([^{}]*)\}"
+_DECIMAL = r"^[+-]?\d{1,15}(?:\.\d{1,10})?\z"
+_NO_NUMBER = r"^[^0-9]*\z|[ghjklmpqsuvwzGHJKLMPQSUVWZ]"
+
+
+def _simple_form(text: Column) -> Column:
+    return F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"[.!?,;:]+\z", "")
+
+
+def score(prediction: Column, target: Column) -> Column:
+    """Struct of ``boxed_valid, extracted_answer, exact, numeric`` of a prediction against its target.
+
+    A null counts as the empty text, so an empty prediction of an empty target is exact. Texts
+    of printable ASCII with closed flat boxes, whose values are plain decimals or hold a
+    letter that no number has, are scored in the JVM; only the others go to Python.
+    """
+    p, t = F.coalesce(prediction, F.lit("")), F.coalesce(target, F.lit(""))
+
+    def parts(x: Column) -> tuple[Column, Column, Column, Column]:
+        found = F.transform(F.regexp_extract_all(x, F.lit(_FLAT_BOX), F.lit(1)), lambda b: F.trim(F.regexp_replace(b, r"^\s+|\s+\z", "")))
+        flat = F.regexp_like(x, F.lit(_PRINTABLE)) & (F.size(found) == F.regexp_count(x, F.lit(r"\\boxed\{")))
+        valid = (F.size(found) == 1) & (F.get(found, 0) != "")
+        form = _simple_form(F.when(valid, F.get(found, 0)).otherwise(x))
+        bare = F.regexp_replace(form, "[, ]", "")
+        plain = F.regexp_like(bare, F.lit(_DECIMAL))
+        number = F.when(plain, bare.try_cast("decimal(25,10)"))
+        return flat & (plain | F.regexp_like(bare, F.lit(_NO_NUMBER))), F.when(valid, F.get(found, 0)), form, number
+
+    simple_p, answer, p_form, a = parts(p)
+    simple_t, _, t_form, b = parts(t)
+    simple = simple_p & simple_t
+    least = F.greatest(F.lit(ABSOLUTE).cast("decimal(12,6)"), F.greatest(F.abs(a), F.abs(b)) * F.lit(RELATIVE).cast("decimal(3,2)"))
+    near = F.coalesce(F.abs(a - b) <= least, F.lit(False))
+    hard = _score(F.when(~simple, p), F.when(~simple, t))
+    quick = F.struct(answer.isNotNull().alias("boxed_valid"), answer.alias("extracted_answer"), (p_form == t_form).alias("exact"), near.alias("numeric"))
+    return F.when(simple, quick).otherwise(hard)

@@ -37,9 +37,18 @@ ANSWER_CONTRACT = r"Return exactly one final answer as \boxed{...}."
 
 
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode compatibility composition; the JVM functions have none."""
-    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+def is_ascii(col: Column) -> Column:
+    """Whether a text holds ASCII characters only."""
+    return F.octet_length(col) == F.char_length(col)
+
+
+def nfkc(col: Column) -> Column:
+    """Unicode compatibility composition; the JVM functions have none, so texts beyond ASCII, and only they, go to Python."""
+    return F.when(is_ascii(col), col).otherwise(_composed(F.when(~is_ascii(col), col)))
 
 
 def strip(col: Column) -> Column:
@@ -115,6 +124,18 @@ def boxed_output(col: Column, fallback: Column) -> Column:
     return F.when(found["is_valid"], wrap_boxed(found["answer"])).otherwise(wrap_boxed(fallback))
 
 
+def boxed_or_error(col: Column) -> Column:
+    """The single valid box of a text rewrapped; any other text fails the query with the reason."""
+    found = single_box(boxed_answers(col))
+    return F.when(found["is_valid"], wrap_boxed(found["answer"])).otherwise(F.raise_error(F.concat(F.lit("no single box: "), found["error"])))
+
+
+def finished(col: Column) -> Column:
+    """A generated text as it is kept: its single valid box rewrapped, else stripped."""
+    found = single_box(boxed_answers(col))
+    return F.when(found["is_valid"], wrap_boxed(found["answer"])).otherwise(strip(col))
+
+
 def detect_family(prompt: Column) -> Column:
     """Family whose phrase the prompt contains, null without any."""
     low, out = F.lower(prompt), None

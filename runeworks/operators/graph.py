@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -67,6 +67,17 @@ def merge_weights(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def save_graph(graph: dict[str, DataFrame], path: str) -> None:
+    """The tables of a rule graph (``nodes``, ``edges``, ``family`` and ``positions``) as Parquet below ``path``."""
+    for name, rows in graph.items():
+        rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+
+
+def load_graph(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
+    """The tables that :func:`save_graph` wrote; without ``names`` all four."""
+    return {n: spark.read.parquet(f"{path.rstrip('/')}/{n}") for n in names or ("nodes", "edges", "family", "positions")}
+
+
 def transition_prior(steps: DataFrame, by_family: DataFrame, overall: DataFrame) -> DataFrame:
     """``steps`` (family, lhs, rhs) with ``prior``: the family's weight of the transition, else the overall one, else 0."""
     own = by_family.select("family", "lhs", "rhs", F.col("weight").alias("__f"))

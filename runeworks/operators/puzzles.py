@@ -19,6 +19,9 @@ def puzzle_columns() -> dict[str, Column]:
         "family": family_label(F.col(MD + "official_family"), F.col(MD + "family_tags")),
         "subtype": label(F.col(MD + "subtype")),
         "confidence": F.col(MD + "teacher_confidence"),
+        "margin": F.get_json_object(F.col(MD + "extras"), "$.top1_top2_margin").try_cast("double"),
+        "extras": F.col(MD + "extras"),
+        "difficulty": F.col(MD + "difficulty"),
         "query": F.col("query"),
         "parsed_examples": F.col("parsed_examples"),
         "raw_prompt": F.col("raw_prompt"),

@@ -59,10 +59,36 @@ def random_split(rows: DataFrame, key: str, ratio: float, seed: int) -> DataFram
     return rows.withColumn("role", F.when(first < ratio, "valid").otherwise("train"))
 
 
-def select_split(rows: DataFrame, members: DataFrame, key: str, keep: str, exclude: str | None = None) -> DataFrame:
-    """Rows whose ``key`` has role ``keep`` in ``members`` (key, role) and not ``exclude``, which wins."""
-    kept = rows.join(members.where(F.col("role") == keep).select(key), key, "left_semi")
-    return kept.join(members.where(F.col("role") == exclude).select(key), key, "left_anti") if exclude else kept
+def source_kind(source: Column) -> Column:
+    """``synth`` or ``repair`` for puzzles made that way, else ``official``."""
+    return F.when(source == "synthetic", "synth").when(source == "repair", "repair").otherwise("official")
+
+
+def of_kind(rows: DataFrame, kind: str | None) -> DataFrame:
+    """Rows (column ``source``) of one :func:`source_kind`; all without a kind."""
+    return rows.where(source_kind(F.col("source")) == kind.strip()) if kind else rows
+
+
+def select_split(
+    rows: DataFrame, members: DataFrame, key: str, keep: str, exclude: DataFrame | None = None, exclude_role: str | None = None
+) -> DataFrame:
+    """Rows of one role of a split, less those of a role of another, which wins.
+
+    ``members`` and ``exclude`` have ``key, role``. For the role ``train``, rows of synthetic and
+    repair sources (column ``source``) belong too, whatever the split says. Excluded members
+    and their role come together or not at all.
+    """
+    if (exclude is None) != (exclude_role is None):
+        raise ValueError("excluded members and their role must be given together")
+    chosen = members.where(F.col("role") == keep).select(F.col(key).alias("__m")).distinct()
+    marked = rows.join(chosen, F.col(key) == F.col("__m"), "left")
+    belongs = F.col("__m").isNotNull()
+    if keep == "train" and "source" in rows.columns:
+        belongs = belongs | source_kind(F.col("source")).isin("synth", "repair")
+    kept = marked.where(F.coalesce(belongs, F.lit(False))).drop("__m")
+    if exclude is None:
+        return kept
+    return kept.join(exclude.where(F.col("role") == exclude_role).select(key), key, "left_anti")
 
 
 def leak_free(valid: DataFrame, train: DataFrame, key: str) -> DataFrame:

@@ -48,8 +48,7 @@ def rates(scores: DataFrame) -> DataFrame:
     """Rates over all records, by family, and by family and subtype, in one pass of grouping sets.
 
     ``level`` is ``all``, ``family`` or ``subtype``; rows without the label count only at
-    the levels above. An empty input gives the single row of level ``all`` with zero rates,
-    and an invalid rate of 1.
+    the levels above. An empty input gives no rows.
     """
     measures = [
         F.count(F.lit(1)).alias("n"),
@@ -60,18 +59,12 @@ def rates(scores: DataFrame) -> DataFrame:
         F.round(1 - _rate("boxed_valid"), 9).alias("invalid_rate"),
         F.round(F.coalesce(F.avg("output_tokens"), F.lit(0.0)), 9).alias("mean_output_tokens"),
     ]
-    sets = scores.groupingSets([["family"], ["family", "subtype"]], "family", "subtype").agg(
-        F.grouping("subtype").alias("__g"), *measures
+    sets = scores.groupingSets([[], ["family"], ["family", "subtype"]], "family", "subtype").agg(
+        (F.grouping("family") * 2 + F.grouping("subtype")).alias("__g"), *measures
     )
-    grouped = (
-        sets.where(F.col("family").isNotNull() & ((F.col("__g") == 1) | F.col("subtype").isNotNull()))
-        .withColumn("level", F.when(F.col("__g") == 1, "family").otherwise("subtype"))
-        .drop("__g")
-    )
-    whole = scores.agg(*measures).select(
-        F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("subtype"), "*", F.lit("all").alias("level")
-    )
-    return whole.unionByName(grouped)
+    level = F.when(F.col("__g") == 3, "all").when(F.col("__g") == 1, "family").otherwise("subtype")
+    named = (F.col("__g") == 3) | F.col("family").isNotNull() & ((F.col("__g") == 1) | F.col("subtype").isNotNull())
+    return sets.where(named).withColumn("level", level).drop("__g")
 
 
 def evaluate(records: DataFrame) -> DataFrame:
@@ -146,20 +139,25 @@ def hardcase_reason(error: Column) -> Column:
 def judged(records: DataFrame, puzzles: DataFrame) -> DataFrame:
     """Scored records beside their puzzle's labels, with ``error_type`` and ``reason``.
 
-    The family and subtype of the record are what was predicted, those of the puzzle the
-    truth. NaN confidence counts as none.
+    ``puzzles`` has ``id, family, subtype, confidence, margin, signature``. The family and subtype
+    of the record, and the program that its trace names (``sig=``), are what was predicted,
+    those of the puzzle the truth. NaN confidence counts as none.
     """
     truth = puzzles.select(
         F.col("id").alias("example_id"),
         F.col("family").alias("__f"),
         F.col("subtype").alias("__s"),
         F.nanvl("confidence", F.lit(None).cast("double")).alias("confidence"),
+        "margin",
+        F.col("signature").alias("target_signature"),
     )
     rows = scored(records).withColumnsRenamed({"family": "predicted_family", "subtype": "predicted_subtype"}).join(truth, "example_id")
     rows = rows.withColumnsRenamed({"__f": "family", "__s": "subtype"})
-    none = F.lit(None).cast("string")
+    named = F.nullif(F.regexp_extract("prediction", r"(?:^|[;|])\s*sig=([^;|\s]+)", 1), F.lit(""))
+    rows = rows.withColumn("predicted_signature", named)
     return rows.withColumn(
-        "error_type", error_class(F.col("predicted_family"), F.col("predicted_subtype"), none, none, F.col("confidence"))
+        "error_type",
+        error_class(F.col("predicted_family"), F.col("predicted_subtype"), F.col("predicted_signature"), F.col("target_signature"), F.col("confidence")),
     ).withColumn("reason", hardcase_reason(F.col("error_type")))
 
 
@@ -169,7 +167,7 @@ def error_counts(records: DataFrame, puzzles: DataFrame) -> DataFrame:
 
 
 def hard_cases(rows: DataFrame, most: int = 32) -> DataFrame:
-    """The ``most`` hardest rows: wrong first, unboxed first, hard families first, then confidence and id ascending.
+    """The ``most`` hardest rows: wrong first, unboxed first, hard families first, then confidence, margin and id ascending.
 
     A top-k report: each task keeps its first ``most`` rows.
     """
@@ -178,6 +176,7 @@ def hard_cases(rows: DataFrame, most: int = 32) -> DataFrame:
         F.col("boxed_valid").asc(),
         F.when(F.col("family").isin(*HARD_FAMILIES), 0).otherwise(1).asc(),
         F.coalesce("confidence", F.lit(0.0)).asc(),
+        F.coalesce("margin", F.lit(0.0)).asc(),
         F.col("record_id").asc(),
     ).limit(most)
 

@@ -67,18 +67,28 @@ def bijective(a: Column, b: Column) -> Column:
     return (F.length(a) == F.length(b)) & (links == F.size(F.array_distinct(_chars(a)))) & (links == F.size(F.array_distinct(_chars(b))))
 
 
-def pair_features(puzzles: DataFrame) -> DataFrame:
-    """One row per support pair: ``id, pos`` and its features. Null sides count as empty."""
-    rows = puzzles.select("id", F.posexplode("parsed_examples").alias("pos", "__p")).select(
+def _sides(puzzles: DataFrame) -> DataFrame:
+    return puzzles.select("id", F.posexplode("parsed_examples").alias("pos", "__p")).select(
         "id", "pos", F.coalesce("__p.input", F.lit("")).alias("a"), F.coalesce("__p.output", F.lit("")).alias("b")
     )
+
+
+def pair_shapes(puzzles: DataFrame) -> DataFrame:
+    """One row per support pair: ``id, pos`` and the features that column functions express."""
+    return _sides(puzzles).select("id", "pos", *_shapes())
+
+
+def pair_features(puzzles: DataFrame) -> DataFrame:
+    """One row per support pair: ``id, pos`` and its features. Null sides count as empty."""
+    rows = _sides(puzzles).withColumn("__whole", whole_features(F.col("a"), F.col("b")))
+    return rows.select("id", "pos", *_shapes(), F.round("__whole.similarity", 9).alias("similarity"), "__whole.base_conversion", "__whole.counting")
+
+
+def _shapes() -> list[Column]:
     a, b = F.col("a"), F.col("b")
-    rows = rows.withColumn("__whole", whole_features(a, b))
     unit_a, unit_b = F.lower(F.regexp_extract(a, _UNIT, 1)), F.lower(F.regexp_extract(b, _UNIT, 1))
     numeric_a, numeric_b = a.rlike(_NUMBER), b.rlike(_NUMBER)
-    return rows.select(
-        "id",
-        "pos",
+    return [
         F.length(a).alias("input_length"),
         F.length(b).alias("output_length"),
         (F.length(b) - F.length(a)).alias("length_change"),
@@ -93,12 +103,9 @@ def pair_features(puzzles: DataFrame) -> DataFrame:
         (a.rlike(_BINARY) & b.rlike(_BINARY)).alias("binary"),
         (a.rlike(_MEASURE) & (numeric_b | b.rlike(_MEASURE))).alias("measured"),
         b.rlike(_ROMAN).alias("roman_output"),
-        F.round("__whole.similarity", 9).alias("similarity"),
         (bijective(a, b) & (a != b) & F.concat(a, b).rlike(r"\p{L}")).alias("char_map"),
-        "__whole.base_conversion",
         ((unit_a != "") & (unit_b != "") & (unit_a != unit_b)).alias("unit_conversion"),
-        "__whole.counting",
-    )
+    ]
 
 
 def with_block_ratio(puzzles: DataFrame) -> DataFrame:
@@ -107,11 +114,10 @@ def with_block_ratio(puzzles: DataFrame) -> DataFrame:
     return rows.select("id", "pos", block_ratio(F.col("__p.input"), F.col("__p.output")).alias("ratio"))
 
 
-def puzzle_features(puzzles: DataFrame) -> DataFrame:
-    """Mean pair features of each puzzle; puzzles without pairs have zeros."""
-    pairs = pair_features(puzzles)
+def _means(puzzles: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Means of the features of each puzzle's pairs, flags as shares; zeros without pairs."""
     flags = [c for c, t in pairs.dtypes if t == "boolean"]
-    numbers = ["input_length", "output_length", "length_change", "char_overlap", "token_overlap", "similarity"]
+    numbers = [c for c in pairs.columns if c not in ("id", "pos", *flags)]
     means = pairs.groupBy("id").agg(
         F.count(F.lit(1)).alias("pairs"),
         *[F.round(F.avg(c), 9).alias(c) for c in numbers],
@@ -121,6 +127,16 @@ def puzzle_features(puzzles: DataFrame) -> DataFrame:
     return joined.select("id", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in means.columns if c != "id"])
 
 
+def puzzle_features(puzzles: DataFrame) -> DataFrame:
+    """Mean pair features of each puzzle; puzzles without pairs have zeros."""
+    return _means(puzzles, pair_features(puzzles))
+
+
+def puzzle_shapes(puzzles: DataFrame) -> DataFrame:
+    """As :func:`puzzle_features`, of the features that need no Python."""
+    return _means(puzzles, pair_shapes(puzzles))
+
+
 def infer_family(pairs: Column) -> Column:
     """Family that support pairs tell where nothing names one; no pairs count as equation.
 

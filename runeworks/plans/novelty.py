@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runeworks.operators.splits import group_split, random_split
+from runeworks.session import settle
 
 HARD, EASY = ("bit", "cipher", "equation"), ("gravity", "numeral", "unit")
 
@@ -24,7 +25,7 @@ def build_splits(puzzles: DataFrame, ratio: float = 0.15, triad_ratio: float = 0
     own = puzzles.where(F.coalesce("source", F.lit("")) != "synthetic").withColumn("family", F.coalesce("family", F.lit("unknown")))
     part = F.concat_ws("|", "family", F.coalesce("subtype", F.lit("unknown")), F.coalesce("bucket", F.lit("unknown")))
     rule = F.concat_ws("|", "family", F.coalesce("subtype", F.lit("unknown")), F.coalesce("signature", "bucket", F.lit("unknown")))
-    keyed = own.select("id", "family", part.alias("composition"), rule.alias("rule"))
+    keyed = settle(own.select("id", "family", part.alias("composition"), rule.alias("rule")))  # read by five splits
     made = [
         random_split(puzzles.select("id"), "id", ratio, seed).withColumn("split_name", F.lit("iid")),
         group_split(keyed, "family", ratio, seed + 1).withColumn("split_name", F.lit("family_holdout")),

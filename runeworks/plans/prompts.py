@@ -26,7 +26,7 @@ QUERY_FORMS = [
 ]
 
 # How lines start that are no equations.
-_STARTS = ("in alice", "for t", "now,", "here are")
+STARTS = ("in alice", "for t", "now,", "here are")
 
 
 def _found(prompt: Column, pattern: str) -> Column:
@@ -52,7 +52,7 @@ def extract_pairs(prompt: Column) -> Column:
 
     def counts(p: Column) -> Column:
         bad = F.lower(p["output"]).contains("given d")
-        for start in _STARTS:
+        for start in STARTS:
             bad = bad | F.lower(p["input"]).startswith(start)
         return ~bad & ~F.array_contains(lines, p)
 

@@ -17,8 +17,9 @@ from runeworks.functions.text import (
 from runeworks.operators import graph, lengths, selection, splits
 from runeworks.operators.latest import latest
 from runeworks.operators.puzzles import current_puzzles
-from runeworks.plans import evaluate, features, novelty, prompts, records, synth
+from runeworks.plans import evaluate, features, novelty, prompts, records, replica, synth, teacher
 from runeworks.search.engine import annotated, search_programs
+from runeworks.session import settle
 from runeworks.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -301,13 +302,19 @@ def eval_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
     records = evaluate.current_records(table(spark, folder, "eval_records"))
-    return evaluate.judged(records, _puzzles(spark, folder, "family", "subtype", "confidence"))
+    return evaluate.judged(records, _known(spark, folder))
+
+
+def _known(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels, confidence, margin and program of every puzzle."""
+    p = _puzzles(spark, folder, "family", "subtype", "confidence", "margin")
+    return p.join(_programs(spark, folder).select("id", "signature"), "id", "left")
 
 
 def error_taxonomy(spark: SparkSession, folder: str) -> DataFrame:
     """Records per family and error class."""
     records = evaluate.current_records(table(spark, folder, "eval_records"))
-    return evaluate.error_counts(records, _puzzles(spark, folder, "family", "subtype", "confidence"))
+    return evaluate.error_counts(records, _known(spark, folder))
 
 
 def hardcase_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -320,14 +327,88 @@ def curriculum_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.curriculum(_judged(spark, folder))
 
 
+# Evaluation against labels.
+
+
+def _predictions(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.current_records(table(spark, folder, "eval_records")).select("record_id", "run_id", "example_id", "prediction")
+
+
+def _labels(spark: SparkSession, folder: str) -> DataFrame:
+    return _puzzles(spark, folder, "target_answer", "family", "subtype")
+
+
+def eval_joined(spark: SparkSession, folder: str) -> DataFrame:
+    """Every prediction held against the current answer of its puzzle."""
+    rows = replica.joined(_predictions(spark, folder), _labels(spark, folder), "example_id")
+    return rows.select("record_id", "run_id", "example_id", "family", "subtype", "boxed_valid", "exact", "numeric", "correct")
+
+
+def eval_missing_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Puzzles that no prediction answers."""
+    return replica.missing_ids(_predictions(spark, folder), _labels(spark, folder), "example_id")
+
+
+def eval_unexpected_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of predictions that are no puzzle."""
+    return replica.unexpected_ids(_predictions(spark, folder), _labels(spark, folder), "example_id")
+
+
+def eval_duplicate_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Puzzles that a run predicts more than once."""
+    return replica.duplicate_ids(_predictions(spark, folder), "run_id", "example_id")
+
+
+def eval_checksum(spark: SparkSession, folder: str) -> DataFrame:
+    """Checksum of the scored records of each run."""
+    return replica.checksum(replica.joined(_predictions(spark, folder), _labels(spark, folder), "example_id"), "run_id", key="example_id")
+
+
+def eval_official(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers of the predictions by the published extraction, and whether they count."""
+    rows = evaluate.current_records(table(spark, folder, "eval_records"))
+    got = rows.withColumn("answer", replica.official_answer(F.col("prediction")))
+    return got.select("record_id", "answer", F.coalesce(replica.official_match(F.col("answer"), F.col("target")), F.lit(False)).alias("correct"))
+
+
+def outcome_partition(spark: SparkSession, folder: str) -> DataFrame:
+    """Successes and failures among the predictions of puzzles outside train."""
+    scores = evaluate.scored(evaluate.current_records(table(spark, folder, "eval_records")))
+    asked = _puzzles(spark, folder, "split").where("split IN ('valid', 'test', 'audit')").select("id")
+    return replica.outcomes(scores, "example_id", asked).select("record_id", "example_id", "outcome")
+
+
+def failure_types(spark: SparkSession, folder: str) -> DataFrame:
+    """Records per family and failure type."""
+    s = evaluate.scored(evaluate.current_records(table(spark, folder, "eval_records")))
+    kind = replica.failure_type(*map(F.col, ("correct", "exact", "numeric", "boxed_valid", "prediction")))
+    return s.groupBy("family", kind.alias("failure_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def benchmark_families(spark: SparkSession, folder: str) -> DataFrame:
+    """Accuracy of the search by family."""
+    p = _puzzles(spark, folder, "family", "subtype", "query", "parsed_examples", "target_answer")
+    return replica.benchmark_report(replica.benchmark(p, 6, 2))
+
+
 # Features and tags.
 
 
+def pair_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """The features of every support pair that need no Python."""
+    return features.pair_shapes(_puzzles(spark, folder, "parsed_examples"))
+
+
 def pair_features(spark: SparkSession, folder: str) -> DataFrame:
     """Features of every support pair."""
     return features.pair_features(_puzzles(spark, folder, "parsed_examples"))
 
 
+def puzzle_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """Means of :func:`pair_shapes` of every puzzle."""
+    return features.puzzle_shapes(_puzzles(spark, folder, "parsed_examples"))
+
+
 def puzzle_features(spark: SparkSession, folder: str) -> DataFrame:
     """Mean features of every puzzle."""
     return features.puzzle_features(_puzzles(spark, folder, "parsed_examples"))
@@ -347,9 +428,44 @@ def family_counts(spark: SparkSession, folder: str) -> DataFrame:
     return p.groupBy("family", "subtype", "source", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
+def subtype_hints(spark: SparkSession, folder: str) -> DataFrame:
+    """How often the program of an official puzzle points to a subtype that tells more than its own."""
+    p = _puzzles(spark, folder, "family", "subtype", "source").join(_programs(spark, folder).select("id", "steps"), "id")
+    return teacher.hint_counts(p)
+
+
+def synth_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Synthetic puzzles by family, subtype and length of their program."""
+    p = _puzzles(spark, folder, "family", "subtype", "source").where("source = 'synthetic'")
+    return p.join(_programs(spark, folder).select("id", F.size("steps").alias("steps")), "id", "left").groupBy("family", "subtype", "steps").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Splits and selection.
 
 
+def family_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 50 puzzles of each family by id."""
+    p = _puzzles(spark, folder, "family")
+    return selection.cap_per_key(p, F.coalesce("family", F.lit("unknown")), [F.col("id").asc()], 50).select("id", "family")
+
+
+def mixed_stages(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of the first stage, the second, and some of the third, each puzzle, answer and program once."""
+    rows = _records(spark, folder).select("record_id", "id", "target_answer", "signature", "stage", F.coalesce("family", F.lit("unknown")).alias("family"))
+    parts = [rows.where(F.col("stage") == s) for s in ("stage1", "stage2", "stage3")]
+    mixed = records.mixed_buckets(*parts, ["id", "target_answer", "signature"], "family", ["record_id"], 0.25, 1_000_000)
+    return mixed.select("record_id", "bucket")
+
+
+def split_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Puzzles of the random split's train part, with all synthetic ones, less those of the rule split's valid part."""
+    p = _puzzles(spark, folder, "source")
+    programs = _programs(spark, folder).withColumn("grp", F.concat_ws("|", "family", "subtype", F.coalesce("signature", "bucket")))
+    members = splits.random_split(p.select("id"), "id", 0.15, 44)
+    held = splits.group_split(programs, "grp", 0.15, 42).select("id", "role")
+    return splits.select_split(p, members, "id", "train", held, "valid").select("id", splits.source_kind(F.col("source")).alias("kind"))
+
+
 def split_by_rule(spark: SparkSession, folder: str) -> DataFrame:
     """Validation and training puzzles apart by rule group, with overshoot of the last group."""
     programs = _programs(spark, folder).withColumn("grp", F.concat_ws("|", "family", "subtype", F.coalesce("signature", "bucket")))
@@ -436,6 +552,44 @@ def rendered_records(spark: SparkSession, folder: str) -> DataFrame:
     return made[0].unionByName(made[1]).unionByName(made[2]).select("id", "trace_style", F.md5("prompt").alias("prompt_digest"), "completion")
 
 
+def _full(spark: SparkSession, folder: str) -> DataFrame:
+    p = _puzzles(spark, folder, "family", "subtype", "raw_prompt", "query", "parsed_examples", "target_answer", "confidence", "source", "difficulty", "split", "extras")
+    return p.join(_programs(spark, folder).select("id", "signature"), "id", "left")
+
+
+def wide_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of fifteen columns of every puzzle with a prompt, prompts as digests."""
+    rows = records.wide_records(_full(spark, folder), "stage2", "raw_with_guard", "short_trace").where("source_prompt_type = 'raw'")
+    nested = F.to_json("metadata")
+    return rows.withColumn("prompt", F.md5("prompt")).withColumn("metadata", F.get_json_object(nested, "$.source_dataset"))
+
+
+def chat_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Chat prompts and thinking completions of every puzzle."""
+    rows = records.wide_records(_full(spark, folder), "stage3", "chat_thinking", "token_trace", records.ChatTemplate(), metadata=False)
+    return rows.select("id", F.md5("prompt").alias("prompt"), "completion", "source_prompt_type")
+
+
+def repair_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """Records to repair what the latest prediction of a puzzle fails, with why."""
+    return _repair(spark, folder, 0.0)
+
+
+def repair_set(spark: SparkSession, folder: str) -> DataFrame:
+    """As :func:`repair_failures`, and a quarter as many records to replay."""
+    return _repair(spark, folder, 0.25)
+
+
+def _repair(spark: SparkSession, folder: str, ratio: float) -> DataFrame:
+    scores = evaluate.scored(evaluate.current_records(table(spark, folder, "eval_records")))
+    last = latest(
+        scores.where("example_id IS NOT NULL"), "example_id", "record_id", correct=F.col("correct"), boxed_valid=F.col("boxed_valid"), exact=F.col("exact"), numeric=F.col("numeric"),
+        predicted_family=F.col("family"), predicted_subtype=F.col("subtype"), predicted_signature=F.nullif(F.regexp_extract("prediction", r"(?:^|[;|])\s*sig=([^;|\s]+)", 1), F.lit("")),
+    ).withColumnRenamed("example_id", "id")
+    made = records.repair_set(_full(spark, folder), last.where(~F.col("correct")), last.where("correct"), ratio)
+    return made.select("id", "repair_source", "source_dataset", "error_type", "target_signature", "predicted_signature")
+
+
 def novelty_splits(spark: SparkSession, folder: str) -> DataFrame:
     """The six splits of all puzzles."""
     return novelty.build_splits(_solved(spark, folder, "source"))
@@ -477,7 +631,7 @@ def sft_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def merged_weights(spark: SparkSession, folder: str) -> DataFrame:
     """Step weights of programs solved in the first half year, updated by those solved later."""
-    raw = table(spark, folder, "program_signatures").where("steps IS NOT NULL").select("id", "steps", "solved_at").dropDuplicates(["id"])
+    raw = latest(table(spark, folder, "program_signatures"), "id", "solved_at", steps=F.col("steps"), solved_at=F.col("solved_at")).where("steps IS NOT NULL")
     early = F.col("solved_at") < F.lit("2025-07-01").cast("timestamp_ntz")
     return graph.merge_weights(graph.rule_nodes(raw.where(early)), graph.rule_nodes(raw.where(~early)), ["op"])
 
@@ -502,6 +656,13 @@ def annotate_top1(spark: SparkSession, folder: str) -> DataFrame:
     return a.select("id", "family", "signature", "confidence", "support", "verifiable", "margin", (F.col("answer") == F.col("target_answer")).alias("solved"))
 
 
+def rescued_puzzles(spark: SparkSession, folder: str) -> DataFrame:
+    """Every puzzle annotated, hard ones searched again with hints where the first search did not do."""
+    a = teacher.annotate(_puzzles(spark, folder, "family", "subtype", "source", "query", "parsed_examples"), 6, 2)
+    done = teacher.rescue(settle(a), beam=8, depth=3)
+    return done.select("id", "family", "program_signature", "coverage", "verifiable", "composition_key", "hint", "rescued")
+
+
 def synthetic_puzzles(spark: SparkSession, folder: str) -> DataFrame:
     """2000 generated puzzles, none of which stands in the table."""
     return synth.generate(spark, 2000, 42, _puzzles(spark, folder, "query", "target_answer", "parsed_examples"))
@@ -512,12 +673,13 @@ def queries() -> dict[str, Query]:
     plain = [
         fit_xor_mask, fit_or_mask, fit_add_constant, fit_multiply_constant, fit_affine, fit_scale, search_depth1,
         canonical_documents, boxed_flat, exact_forms, parsed_prompts, rendered_prompts, prompt_instructions, query_tokens, roman_numbers,
-        eval_rates, eval_coverage, eval_splits, error_taxonomy, hardcase_topk, curriculum_buckets,
-        pair_features, puzzle_features, family_report, family_counts,
+        eval_rates, eval_coverage, eval_splits, eval_joined, eval_missing_ids, eval_unexpected_ids, eval_duplicate_ids, eval_checksum, eval_official,
+        outcome_partition, failure_types, benchmark_families, error_taxonomy, hardcase_topk, curriculum_buckets,
+        pair_shapes, puzzle_shapes, pair_features, puzzle_features, family_report, family_counts, subtype_hints, synth_summary, family_sample, mixed_stages, split_members,
         split_by_rule, split_by_rule_balanced, split_random, split_leak_free, signature_cap, dedupe_records, oversampled_families, round_robin, balanced_records, repair_replay,
-        rendered_records, novelty_splits, novelty_split_stats,
+        rendered_records, wide_records, chat_records, repair_failures, repair_set, novelty_splits, novelty_split_stats,
         length_percentiles, part_percentiles, prompt_audit, max_seq_recommend, sft_summary, merged_weights, signature_buckets,
-        search_beam, annotate_top1, synthetic_puzzles,
+        search_beam, annotate_top1, rescued_puzzles, synthetic_puzzles,
     ]
     graphs = {
         "rule_graph_nodes": graph.rule_nodes,

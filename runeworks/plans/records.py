@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runeworks.functions.text import ANSWER_CONTRACT, wrap_boxed
+from runeworks.operators.selection import first_per_key, interleave
+from runeworks.plans.evaluate import HARD_FAMILIES, error_class
 from runeworks.plans.prompts import render_prompt
+from runeworks.session import settle
 
 STYLES = ("answer_only", "short_trace", "token_trace")
 
@@ -47,9 +52,171 @@ def completion(style: str, family: Column, subtype: Column, signature: Column, a
 
 
 def thinking(body: Column, answer: Column) -> Column:
-    """A body inside thinking marks, then the boxed answer."""
-    inner = F.when(body == "", F.lit("<think></think>")).otherwise(F.concat(F.lit("<think>\n"), body, F.lit("\n</think>")))
-    return F.concat(inner, F.lit("\n"), wrap_boxed(F.coalesce(answer, F.lit(""))))
+    """A completion that goes on inside an open thinking mark: the body, the closing mark, the boxed answer."""
+    said = F.regexp_replace(F.coalesce(body, F.lit("")), r"(?U)\s+\z", "")
+    return F.concat(F.when(said == "", "").otherwise(F.concat(said, F.lit("\n"))), F.lit("</think>\n"), wrap_boxed(F.coalesce(answer, F.lit(""))))
+
+
+@dataclass(frozen=True)
+class ChatTemplate:
+    """What a tokenizer's chat template puts before and after the words of a single user."""
+
+    before: str = "<|im_start|>user\n"
+    after: str = "<|im_end|>\n<|im_start|>assistant\n<think>\n"
+
+
+# Fixed value: what the evaluation adds to every prompt.
+GUARD = "\nPlease put your final answer inside `\\boxed{}`. For example: `\\boxed{your answer}`"
+
+MODES = ("raw_with_guard", "generic", "chat_thinking")
+
+
+def user_content(prompt: Column) -> Column:
+    """The raw prompt with :data:`GUARD`."""
+    return F.concat(F.coalesce(prompt, F.lit("")), F.lit(GUARD))
+
+
+def prompt_in_mode(mode: str, prompt: Column, rendered: Column, template: ChatTemplate | None = None) -> Column:
+    """A prompt in one of :data:`MODES`; the chat mode needs a template."""
+    if mode == "raw_with_guard":
+        return guarded_prompt(F.coalesce(prompt, F.lit("")), rendered)
+    if mode == "generic":
+        return rendered
+    if mode == "chat_thinking":
+        if template is None:
+            raise ValueError("the mode chat_thinking needs a chat template")
+        return F.concat(F.lit(template.before), user_content(prompt), F.lit(template.after))
+    raise ValueError(f"no prompt mode {mode}")
+
+
+def prompt_type(mode: str, prompt: Column) -> Column:
+    """Where a prompt comes from: ``raw``, or ``generic_fallback`` for a blank one; else the mode."""
+    if mode != "raw_with_guard":
+        return F.lit(mode)
+    return F.when(F.coalesce(F.regexp_replace(prompt, r"(?U)\s", ""), F.lit("")) != "", "raw").otherwise("generic_fallback")
+
+
+def metadata_value(key: str, own: Column | None = None, default: str | None = None) -> Column:
+    """A value of the JSON column ``extras``, else the column ``own``, else ``default``; empty texts count as none."""
+    found = [F.nullif(F.get_json_object("extras", f"$.{key}"), F.lit(""))]
+    found += [] if own is None else [F.nullif(own.cast("string"), F.lit(""))]
+    return F.coalesce(*found, F.lit(default).cast("string"))
+
+
+def wide_records(
+    puzzles: DataFrame, stage: str, mode: str = "raw_with_guard", style: str = "answer_only", template: ChatTemplate | None = None, metadata: bool = True
+) -> DataFrame:
+    """One training record of fifteen columns for each puzzle, with the nested ``metadata`` beside them if wanted.
+
+    ``puzzles`` has ``id, raw_prompt, query, parsed_examples, target_answer, family, subtype, signature,
+    confidence, source, difficulty, split, extras`` (a JSON text, whose values come before the columns).
+    Puzzles without family count as ``equation``, those without source as ``official``.
+    """
+    family = metadata_value("official_family", F.col("family"), "equation")
+    subtype = metadata_value("subtype", F.col("subtype"))
+    program = metadata_value("program_signature", F.col("signature"))
+    rendered = render_prompt(F.col("family"), F.col("parsed_examples"), F.col("query"))
+    body = trace_body(style, F.col("family"), F.col("subtype"), F.col("signature"))
+    answer = F.col("target_answer")
+    said = thinking(body, answer) if mode == "chat_thinking" else completion(style, F.col("family"), F.col("subtype"), F.col("signature"), answer)
+    rows = puzzles.select(
+        "id",
+        prompt_in_mode(mode, F.col("raw_prompt"), rendered, template).alias("prompt"),
+        said.alias("completion"),
+        F.lit(stage).alias("stage"),
+        F.lit(mode).alias("prompt_mode"),
+        F.lit(style).alias("trace_style"),
+        prompt_type(mode, F.col("raw_prompt")).alias("source_prompt_type"),
+        "target_answer",
+        family.alias("official_family"),
+        subtype.alias("subtype"),
+        program.alias("program_signature"),
+        metadata_value("teacher_confidence", F.col("confidence")).cast("double").alias("teacher_confidence"),
+        metadata_value("source_dataset", metadata_value("source", F.col("source"), "official")).alias("source_dataset"),
+        metadata_value("difficulty", F.col("difficulty")).cast("double").alias("difficulty"),
+        "split",
+        *([F.col("extras").alias("__e")] if metadata else []),
+    )
+    if not metadata:
+        return rows
+    names = ("official_family", "subtype", "program_signature", "teacher_confidence", "difficulty", "source_dataset")
+    return rows.withColumn("metadata", F.struct(*names, F.coalesce("__e", F.lit("{}")).alias("extras"))).drop("__e")
+
+
+def marked(records: DataFrame, source: str) -> DataFrame:
+    """Records of a repair stage: ``source_dataset`` and ``repair_source``, in the nested metadata too, say where they come from."""
+    out = records.withColumn("source_dataset", F.lit(source)).withColumn("repair_source", F.lit(source))
+    if "metadata" not in records.columns:
+        return out
+    extras = F.from_json("metadata.extras", "map<string,string>")
+    added = F.to_json(F.map_concat(F.map_filter(extras, lambda k, _: k != "repair_source"), F.create_map(F.lit("repair_source"), F.lit(source))))
+    return out.withColumn("metadata", F.col("metadata").withField("source_dataset", F.lit(source)).withField("extras", added))
+
+
+def repair_set(puzzles: DataFrame, failures: DataFrame, successes: DataFrame, ratio: float, stage: str = "stage3", style: str = "short_trace", mode: str = "raw_with_guard", template: ChatTemplate | None = None) -> DataFrame:
+    """Records of the puzzles that were failed, with why, and of some that were not.
+
+    ``failures`` and ``successes`` have one row for each ``id``; failures bring ``boxed_valid, exact,
+    numeric, predicted_family, predicted_subtype, predicted_signature``. The puzzle's own labels
+    are the truth. ``int(n * ratio)`` replayed records are taken in rounds over the families, hard
+    ones first, at most 64 of a program. Ids that no puzzle has are left out.
+    """
+    made = marked(wide_records(puzzles, stage, mode, style, template), "repair")
+    why = failures.select("id", "boxed_valid", "exact", "numeric", "predicted_family", "predicted_subtype", "predicted_signature")
+    truth = made.join(why, "id").withColumn("correct", F.lit(False)).withColumnRenamed("official_family", "family")
+    error = error_class(F.col("predicted_family"), F.col("predicted_subtype"), F.col("predicted_signature"), F.col("program_signature"), F.col("teacher_confidence"))
+    repair = settle(
+        truth.withColumn("error_type", error)
+        .withColumn("target_signature", F.col("program_signature"))
+        .withColumnRenamed("family", "official_family")
+        .select(*made.columns, "error_type", "target_signature", "predicted_signature")
+    )
+    wanted = int(repair.count() * ratio)
+    if not wanted:
+        return repair
+    again = marked(wide_records(puzzles, stage, mode, style, template), "replay").join(successes.select("id"), "id", "left_semi")
+    program = F.coalesce(F.nullif("program_signature", F.lit("")), F.concat(F.lit("id:"), "id"))
+    taken = interleave(again, "official_family", list(HARD_FAMILIES), [F.col("id").asc()], take=wanted, cap=program, most=64)
+    return repair.unionByName(taken.drop("turn", "place"), allowMissingColumns=True)
+
+
+def repair_summary(records: DataFrame) -> DataFrame:
+    """Records by repair source, family and error type."""
+    return records.groupBy("repair_source", "official_family", "error_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mixed_buckets(strict: DataFrame, synth: DataFrame, silver: DataFrame, key: list[str], group: str, order: list[str], share: float, most: int) -> DataFrame:
+    """Strict and synthetic rows, and silver ones up to a cap, each key once, marked by ``bucket``.
+
+    The cap is the smaller of ``most`` and ``share`` of the other two; silver rows are taken in rounds
+    over ``group``: equation, cipher, bit, then others. Of rows with one ``key`` (nulls equal each
+    other) the first bucket counts, then ``order``.
+    """
+    wanted = min(int(share * max(1, strict.count() + synth.count())), most)
+    some = interleave(silver, group, ["equation", "cipher", "bit"], [F.col(o).asc() for o in order], take=max(0, wanted)).drop("turn", "place")
+    ranked = [d.withColumn("__b", F.lit(i)).withColumn("bucket", F.lit(n)) for i, (n, d) in enumerate((("strict", strict), ("synth", synth), ("silver", some)))]
+    rows = ranked[0].unionByName(ranked[1]).unionByName(ranked[2])
+    return first_per_key(rows, [F.col(k) for k in key], [F.col("__b"), *map(F.col, order)]).drop("__b")
+
+
+def check_rows(rows: DataFrame, *required: str) -> DataFrame:
+    """``rows`` if each has all ``required`` columns filled; else an error that names how many lack which."""
+    absent = [c for c in required if c not in rows.columns]
+    if absent:
+        raise ValueError(f"columns are missing: {absent}")
+    lacking = rows.select(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in required]).first().asDict()
+    found = {c: n for c, n in lacking.items() if n}
+    if found:
+        raise ValueError(f"rows lack values: {found}")
+    return rows
+
+
+def check_repeats(rows: DataFrame, key: str, repeats: bool) -> DataFrame:
+    """``rows`` if ids repeat as a stage wants: some do where ``repeats``, else none."""
+    total, ids = rows.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
+    if (total > ids) != repeats:
+        raise ValueError(f"{total} rows of {ids} ids")
+    return rows
 
 
 def training_records(puzzles: DataFrame, style: str, stage: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,6 +17,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("RUNEWORKS_DRIVER_MEMORY", "8g"))
     )
     for key, value in conf.items():
@@ -27,11 +29,15 @@ def settle(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder and cut its lineage.
 
     The folder named by ``spark.checkpoint.dir`` is shared by all executors, so
-    the result outlives a lost executor. Only where the setting is missing, as in
-    tests on one machine, a folder of the warehouse directory is used.
+    the result outlives a lost executor. Only on one machine, as in tests, a missing setting
+    is replaced by a folder of the warehouse directory; a cluster without it is an error.
+    Set ``spark.cleaner.referenceTracking.cleanCheckpoints``, as :func:`local_session` does,
+    to have the files removed once nothing refers to them.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
         spark.sparkContext.setCheckpointDir(base + "/_checkpoints")
     return df.checkpoint(eager=True)
@@ -43,5 +49,8 @@ def spread(df: DataFrame) -> DataFrame:
     Only an input read in fewer partitions than cores is moved, and as one partition holds at
     most ``spark.sql.files.maxPartitionBytes``, that input is small. Larger ones stay as read.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    try:
+        cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    except PySparkException:  # a client without access to the plan leaves the rows as they are
+        return df
+    return df.repartition(cores) if parts < cores else df

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ast
 import json
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
-from runeworks.functions.text import canonical_text, detect_family, instruction
+from runeworks.functions.text import canonical_text, detect_family, instruction, strip
 from runeworks.plans.prompts import extract_pairs, extract_query
 
 PAIR = "array<struct<input: string, output: string>>"
@@ -53,22 +56,68 @@ def pick(df: DataFrame, name: str) -> str | None:
     return next((present[a] for a in ALIASES[name] if a in present), None)
 
 
+# Keys of the two sides of a pair, the first present one counts.
+SIDES = (("input", "source", "x"), ("output", "target", "y"))
+
+
+def _literal(text: str | None) -> list[dict[str, str]] | None:
+    """Pairs of a Python literal: dicts under one of the keys, or sequences of two and more."""
+    if text is None:
+        return None
+    try:
+        found = ast.literal_eval(text.strip())
+    except (ValueError, SyntaxError, MemoryError, RecursionError):
+        return None
+    out = []
+    for item in found if isinstance(found, list) else ():
+        if isinstance(item, dict):
+            sides = [next((item[k] for k in keys if k in item), "") for keys in SIDES]
+        elif isinstance(item, (list, tuple)) and len(item) >= 2:
+            sides = list(item[:2])
+        else:
+            continue
+        out.append(dict(zip(("input", "output"), ("" if s is None else str(s) for s in sides))))
+    return out
+
+
+@F.pandas_udf(ArrayType(StructType().add("input", StringType()).add("output", StringType())))
+def _literal_pairs(field: pd.Series) -> pd.Series:
+    return field.map(_literal)
+
+
 def _pairs(field: Column) -> Column:
-    """Pairs of a JSON field: objects under one of three pairs of keys, or two-element lists."""
+    """Pairs of a field: JSON objects under one of three pairs of keys, JSON lists of two, or the same as a Python literal.
+
+    Only fields that are no JSON go to Python.
+    """
     objects = F.from_json(field, "array<struct<input:string,source:string,x:string,output:string,target:string,y:string>>")
     lists = F.from_json(field, "array<array<string>>")
     named = F.transform(
-        objects,
-        lambda p: F.struct(
-            F.coalesce(p["input"], p["source"], p["x"], F.lit("")).alias("input"),
-            F.coalesce(p["output"], p["target"], p["y"], F.lit("")).alias("output"),
-        ),
+        objects, lambda p: F.struct(*(F.coalesce(*(p[k] for k in keys), F.lit("")).alias(keys[0]) for keys in SIDES))
     )
     placed = F.transform(
         F.filter(lists, lambda p: F.size(p) >= 2), lambda p: F.struct(p[0].alias("input"), p[1].alias("output"))
     )
     is_lists = F.regexp_like(field, F.lit(r"^\s*\[\s*\["))
-    return F.when(is_lists, placed).otherwise(named)
+    json_pairs = F.when(is_lists, placed).otherwise(named)
+    is_json = F.try_parse_json(field).isNotNull()
+    found = F.when(is_json, json_pairs).otherwise(_literal_pairs(F.when(~is_json, field)))
+    return F.transform(found, lambda p: F.struct(strip(p["input"]).alias("input"), strip(p["output"]).alias("output")))
+
+
+def numbered(df: DataFrame, out: str = "row_index") -> DataFrame:
+    """``df`` with the place of each row, from 0, in the order in which the rows are read.
+
+    Rows are counted in each partition; the driver gets one number for each of them.
+    """
+    placed = df.withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    sizes = dict(placed.groupBy("__part").count().collect())
+    before, at = [], 0
+    for part in range(max(sizes, default=-1) + 1):
+        before.append((part, at))
+        at += sizes.get(part, 0)
+    starts = df.sparkSession.createDataFrame(before, "__p int, __start bigint")
+    return placed.join(starts, F.col("__part") == F.col("__p")).withColumn(out, F.col("__start") + F.col("__place")).drop("__part", "__place", "__p", "__start")
 
 
 def parse_puzzles(df: DataFrame, source: str, split: str) -> DataFrame:
@@ -76,7 +125,8 @@ def parse_puzzles(df: DataFrame, source: str, split: str) -> DataFrame:
 
     Columns are found by their aliases. A pair field beats pairs found in the prompt, and a
     query column beats the prompt's own question where it is not null. Rows without an id
-    get ``<split>_<hash of the row>``, the same on every run. Extra columns are left out.
+    get ``<split>_<place of the row>``. Columns that stand for nothing are kept together as the
+    JSON text ``extras``.
     """
     empty = F.lit(None).cast("string")
 
@@ -85,7 +135,10 @@ def parse_puzzles(df: DataFrame, source: str, split: str) -> DataFrame:
         return empty if found is None else canonical_text(F.col(f"`{found}`").cast("string"))
 
     prompt = F.coalesce(text("raw_prompt"), F.lit(""))
-    fallback = F.concat(F.lit(f"{split}_"), F.hex(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])))
+    known = {a for names in ALIASES.values() for a in names} | {"parsed_examples"}
+    extra = [c for c in df.columns if c.lower() not in known]
+    df = numbered(df, "__row")
+    fallback = F.concat(F.lit(f"{split}_"), F.col("__row"))
     name = pick(df, "pairs")
     given = F.array().cast(PAIR)
     if name is not None:
@@ -99,6 +152,7 @@ def parse_puzzles(df: DataFrame, source: str, split: str) -> DataFrame:
         given.alias("__g"),
         text("query").alias("__q"),
         text("target_answer").alias("target_answer"),
+        (F.to_json(F.struct(*[F.col(f"`{c}`") for c in extra])) if extra else F.lit("{}")).alias("extras"),
     )
     family = detect_family(F.col("raw_prompt"))
     pairs = F.when(F.size("__g") > 0, F.col("__g")).otherwise(extract_pairs(F.col("raw_prompt")))
@@ -112,9 +166,43 @@ def parse_puzzles(df: DataFrame, source: str, split: str) -> DataFrame:
         family.alias("family"),
         F.lit(source).alias("source"),
         F.lit(split).alias("split"),
+        "extras",
     )
 
 
+def load_puzzles(spark: SparkSession, path: str, source: str, split: str) -> DataFrame:
+    """Puzzles of a file: rows of jsonl files are puzzles already, those of others are parsed."""
+    rows = read_table(spark, path)
+    return rows if path.rstrip("/*").lower().endswith(".jsonl") else parse_puzzles(rows, source, split)
+
+
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a JSON document of evaluated records, under ``records`` or else ``rows``; another document is an error."""
+    document = spark.read.json(path, multiLine=True)
+    name = next((n for n in ("records", "rows") if n in document.columns), None)
+    if name is None:
+        raise ValueError(f"{path} has neither records nor rows")
+    if not dict(document.dtypes)[name].startswith("array<struct"):
+        if dict(document.dtypes)[name].startswith("array"):  # an empty list
+            return spark.createDataFrame([], "id string")
+        raise ValueError(f"{name} of {path} is no list of records")
+    return document.select(F.inline(name))
+
+
+def take_first(df: DataFrame, count: int) -> DataFrame:
+    """The first ``count`` rows in the order of the file; a negative number is an error."""
+    if count < 0:
+        raise ValueError("a number of rows is not negative")
+    return numbered(df, "__row").where(F.col("__row") < count).orderBy("__row").drop("__row")
+
+
+def first_prompt(df: DataFrame) -> str | None:
+    """The prompt of the first row that has one."""
+    name = pick(df, "raw_prompt")
+    row = df.where(F.col(f"`{name}`").isNotNull()).select(f"`{name}`").first() if name else None
+    return row[0] if row else None
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """One column ``id`` of an id source: jsonl rows with an id, or a JSON document with ``records``, ``rows`` or ``ids``."""
     if path.endswith(".jsonl"):
@@ -128,8 +216,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_labels(df: DataFrame) -> DataFrame:
-    """``id, target_answer`` with one row per id; of repeated ids the greatest answer counts."""
-    return df.groupBy("id").agg(F.max("target_answer").alias("target_answer"))
+    """The labels by id; of repeated ids the last row in the order of the file counts."""
+    rows = numbered(df, "__row")
+    packed = F.max(F.struct("__row", F.struct(*df.columns).alias("row"))).alias("__v")
+    return rows.where("id IS NOT NULL").groupBy(F.col("id").alias("__id")).agg(packed).select("__v.row.*")
 
 
 def write_rows(df: DataFrame, path: str) -> None:

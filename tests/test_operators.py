@@ -71,7 +71,7 @@ def test_group_split_falls_back_on_rows(spark):
 def test_select_split(spark):
     rows = spark.createDataFrame([(1,), (2,), (3,)], "id int")
     members = spark.createDataFrame([(1, "train"), (2, "train"), (2, "valid")], "id int, role string")
-    assert [r.id for r in splits.select_split(rows, members, "id", "train", "valid").collect()] == [1]
+    assert [r.id for r in splits.select_split(rows, members, "id", "train", members, "valid").collect()] == [1]
     assert [r.id for r in splits.leak_free(rows, members, "id").collect()] == [3]
 
 

@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from runeworks.functions.text import boxed_or_error, finished
 from runeworks.plans import features, prompts
 from runeworks.sources import readers
 from runeworks.streaming.scoring import stream_rates
@@ -20,10 +21,50 @@ def test_csv_with_aliases(spark, tmp_path):
     assert first.target_answer == "0012" and first.query == "xy" and first.official_instruction == "Rule"
     assert [(p.input, p.output) for p in first.parsed_examples] == [("ab", "ba")]
     other = next(r for r in rows if r.id != "007")
-    assert other.id.startswith("train_") and [(p.input, p.output) for p in other.parsed_examples] == [("1", "2")]
+    assert other.id == "train_1" and [(p.input, p.output) for p in other.parsed_examples] == [("1", "2")]
     assert other.target_answer is None
 
 
+def test_pair_fields(spark):
+    fields = [
+        ('[{"input": "1", "output": "2"}, {"source": " 3", "target": 4}]', [("1", "2"), ("3", "4")]), ('[["a", "b", "c"], ["d"]]', [("a", "b")]), ("[{'x': 'it\\'s', 'y': 5}, ('p', 'q'), ('r',), 7]", [("it's", "5"), ("p", "q")]),
+        ("{'x': 1}", []), ("nonsense", []), ("", []), (None, []), ("[('a', None)]", [("a", "")]),
+    ]
+    df = spark.createDataFrame([(i, f) for i, (f, _) in enumerate(fields)], "id int, pairs string").coalesce(1)
+    got = {r.id: [(p.input, p.output) for p in r.parsed_examples] for r in readers.parse_puzzles(df, "s", "t").collect()}
+    assert got == {str(i): want for i, (_, want) in enumerate(fields)}
+
+
+def test_places_documents_and_limits(spark, tmp_path):
+    df = spark.range(0, 1000, 1, 7).withColumnRenamed("id", "n")
+    assert [r.row_index for r in readers.numbered(df).orderBy("n").collect()] == list(range(1000))
+    assert [r.n for r in readers.take_first(df, 150).collect()] == list(range(150)) and readers.take_first(df, 0).count() == 0
+    with pytest.raises(ValueError, match="negative"):
+        readers.take_first(df, -1)
+    labels = spark.createDataFrame([("a", "2"), ("b", "9"), ("a", "1"), (None, "3")], "id string, target_answer string").coalesce(1)
+    assert sorted(map(tuple, readers.latest_labels(labels).collect())) == [("a", "1"), ("b", "9")]
+    path = tmp_path / "d.json"
+    for payload, want in (({"records": [{"id": "1", "ok": True}]}, 1), ({"rows": [{"id": "1"}, {"id": "2"}]}, 2), ({"records": []}, 0)):
+        path.write_text(json.dumps(payload))
+        assert readers.read_document(spark, str(path)).count() == want
+    for payload in ({"other": 1}, {"records": 5}):
+        path.write_text(json.dumps(payload))
+        with pytest.raises(ValueError):
+            readers.read_document(spark, str(path))
+    lines = tmp_path / "p.jsonl"
+    lines.write_text('{"id": "k", "raw_prompt": "P"}\n')
+    assert readers.load_puzzles(spark, str(lines), "s", "t").columns == ["id", "raw_prompt"]
+    assert readers.first_prompt(spark.read.json(str(lines))) == "P" and readers.first_prompt(df) is None
+
+
+def test_generated_texts(spark):
+    df = spark.createDataFrame([("a \\boxed{ 1 } b",), (" two \\boxed{1} \\boxed{2} ",), ("  plain ",)], "t string")
+    assert [r[0] for r in df.select(finished(F.col("t"))).collect()] == ["\\boxed{1}", "two \\boxed{1} \\boxed{2}", "plain"]
+    assert df.limit(1).select(boxed_or_error(F.col("t"))).first()[0] == "\\boxed{1}"
+    with pytest.raises(Exception, match="no single box"):
+        df.select(boxed_or_error(F.col("t"))).collect()
+
+
 def test_round_trips(spark, tmp_path):
     df = spark.createDataFrame([("a", "1"), ("b", "é")], "id string, v string")
     for kind in ("csv", "parquet", "jsonl"):

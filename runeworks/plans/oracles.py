@@ -557,4 +557,6 @@ PLAIN = {
 
 def oracle_sql() -> dict[str, str]:
     """Name to SQL."""
-    return {**OPERATORS, **FITS, **PLAIN}
+    kernels = {name.replace("op_", "kernel_", 1): sql for name, sql in OPERATORS.items()}
+    fits = {f"kernel_{name}": FITS[name] for name in ("fit_xor_mask", "fit_or_mask")}
+    return {**OPERATORS, **kernels, **FITS, **fits, "kernel_depth1": DEPTH1, **PLAIN}

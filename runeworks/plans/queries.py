@@ -17,7 +17,7 @@ from runeworks.functions.text import (
 from runeworks.operators import graph, lengths, selection, splits
 from runeworks.operators.latest import latest
 from runeworks.operators.puzzles import current_puzzles
-from runeworks.plans import evaluate, features, novelty, prompts, records, replica, synth, teacher
+from runeworks.plans import evaluate, features, kernels, novelty, prompts, records, replica, synth, teacher
 from runeworks.search.engine import annotated, search_programs
 from runeworks.session import settle
 from runeworks.sources.tables import table
@@ -689,6 +689,7 @@ def queries() -> dict[str, Query]:
     }
     return {
         **operator_queries(),
+        **kernels.kernel_queries(NIBBLES, MASKS, BIAS, LETTERS),
         **{q.__name__: q for q in plain},
         **{n: (lambda s, d, op=op: op(_programs(s, d).where("steps IS NOT NULL"))) for n, op in graphs.items()},
     }

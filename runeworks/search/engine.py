@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from decimal import Decimal
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -84,13 +84,19 @@ class State:
 
     values: tuple[str, ...]
     query: str | None
-    steps: tuple[tuple[str, str], ...] = ()
+    steps: tuple[tuple[str, Params], ...] = ()
+    texts: tuple[str, ...] = ()
     cost: float = 0.0
     exact: float = 0.0
     legality: float = 1.0
     prior: float = 0.0
     score: float = 0.0
 
+    def identity(self) -> tuple[tuple[str, str], ...]:
+        """Names and parameter texts of the steps; the texts of all but the last are known."""
+        last = parameters_text(self.steps[-1][1])
+        return tuple((n, t) for (n, _), t in zip(self.steps, (*self.texts, last)))
+
     def order(self) -> tuple:
         """Best first: exactness, legality, fewer steps, prior, score."""
         return (-self.exact, -self.legality, len(self.steps), -self.prior, -self.score)
@@ -159,8 +165,10 @@ class Searcher:
             grown.sort(key=State.order)
             first: dict[tuple, State] = {}
             for state in grown:
-                first.setdefault(state.steps, state)
-            beam = list(first.values())[: self.beam]
+                if len(first) == self.beam:
+                    break
+                first.setdefault(state.identity(), state)
+            beam = [replace(s, texts=tuple(t for _, t in key)) for key, s in first.items()]
             done += beam
             # Longer programs come after these, so neither the best nor the margin can change.
             whole = sum(s.exact == 1.0 and s.legality == 1.0 for s in beam)
@@ -180,7 +188,7 @@ class Searcher:
                 values, query = self.run(o, params, state)
                 if values is None or family == "bit" and not all(bits(v) for v in (*values, *([query] if query is not None else []))):
                     continue
-                steps = (*state.steps, (o.name, parameters_text(params)))
+                steps = (*state.steps, (o.name, params))
                 cost = state.cost + o.penalty(params)
                 exact = sum(v == w for v, w in zip(values, wanted)) / len(wanted)
                 legality = sum(BY_NAME[n].family in admitted for n, _ in steps) / length if admitted else 1.0
@@ -189,7 +197,7 @@ class Searcher:
                     prior += 0.05 * self.transition_prior.get((steps[-2][0], steps[-1][0]), 0.0)
                 mean = sum(map(similarity, values, wanted)) / len(wanted)
                 score = mean + 0.20 * exact - 0.04 * length + 0.08 * legality + prior - cost
-                yield State(values, query, steps, cost, exact, legality, prior, score)
+                yield State(values, query, steps, state.texts, cost, exact, legality, prior, score)
 
     @staticmethod
     def run(o: Operator, params: Params, state: State) -> tuple[tuple[str, ...] | None, str | None]:
@@ -213,8 +221,8 @@ class Searcher:
         return {
             "rank": rank,
             "steps": [n for n, _ in s.steps],
-            "parameters": [p for _, p in s.steps],
-            "signature": signature(s.steps),
+            "parameters": list(s.texts),
+            "signature": signature((n, t) for (n, _), t in zip(s.steps, s.texts)),
             "score": s.score,
             "exact": s.exact,
             "confidence": min(1.0, max(0.0, confidence)),

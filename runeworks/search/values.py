@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 from contextlib import suppress
 from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal
+from functools import lru_cache
 from typing import Any
 
 _BASES = {"0x": 16, "0b": 2, "0o": 8}
@@ -26,6 +27,7 @@ def _read(text: str, kind: Callable[[str], Any]) -> Any:
     return None
 
 
+@lru_cache(1 << 16)
 def whole(text: str) -> int | None:
     """Integer value of a text, prefixes 0x, 0b and 0o understood."""
     return _read(text, lambda bare: int(bare, _BASES.get(bare.lower().lstrip("+-")[:2], 10)))
@@ -36,6 +38,7 @@ def real(text: str) -> float | None:
     return _read(text, float)
 
 
+@lru_cache(1 << 16)
 def bits(text: str) -> str | None:
     """The stripped text if it holds only zeros and ones."""
     bare = text.strip()
@@ -96,6 +99,7 @@ def to_roman(value: int) -> str | None:
     return "".join(out)
 
 
+@lru_cache(1 << 16)
 def isomorph(word: str) -> tuple[int, ...]:
     """Each character as the number of its first occurrence."""
     seen: dict[str, int] = {}

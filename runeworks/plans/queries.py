@@ -581,11 +581,15 @@ def repair_set(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _repair(spark: SparkSession, folder: str, ratio: float) -> DataFrame:
-    scores = evaluate.scored(evaluate.current_records(table(spark, folder, "eval_records")))
-    last = latest(
-        scores.where("example_id IS NOT NULL"), "example_id", "record_id", correct=F.col("correct"), boxed_valid=F.col("boxed_valid"), exact=F.col("exact"), numeric=F.col("numeric"),
-        predicted_family=F.col("family"), predicted_subtype=F.col("subtype"), predicted_signature=F.nullif(F.regexp_extract("prediction", r"(?:^|[;|])\s*sig=([^;|\s]+)", 1), F.lit("")),
-    ).withColumnRenamed("example_id", "id")
+    scores = evaluate.scored(evaluate.current_records(table(spark, folder, "eval_records")).where("example_id IS NOT NULL"))
+    named = F.nullif(F.regexp_extract("prediction", r"(?:^|[;|])\s*sig=([^;|\s]+)", 1), F.lit(""))
+    kept = scores.select("record_id", "example_id", "correct", "boxed_valid", "exact", "numeric", "family", "subtype", named.alias("signature"))
+    last = settle(
+        latest(
+            kept, "example_id", "record_id", correct=F.col("correct"), boxed_valid=F.col("boxed_valid"), exact=F.col("exact"), numeric=F.col("numeric"),
+            predicted_family=F.col("family"), predicted_subtype=F.col("subtype"), predicted_signature=F.col("signature"),
+        ).withColumnRenamed("example_id", "id")
+    )
     made = records.repair_set(_full(spark, folder), last.where(~F.col("correct")), last.where("correct"), ratio)
     return made.select("id", "repair_source", "source_dataset", "error_type", "target_signature", "predicted_signature")
 

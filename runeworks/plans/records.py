@@ -143,14 +143,14 @@ def wide_records(
     return rows.withColumn("metadata", F.struct(*names, F.coalesce("__e", F.lit("{}")).alias("extras"))).drop("__e")
 
 
-def marked(records: DataFrame, source: str) -> DataFrame:
+def marked(records: DataFrame, source: Column) -> DataFrame:
     """Records of a repair stage: ``source_dataset`` and ``repair_source``, in the nested metadata too, say where they come from."""
-    out = records.withColumn("source_dataset", F.lit(source)).withColumn("repair_source", F.lit(source))
+    out = records.withColumn("source_dataset", source).withColumn("repair_source", source)
     if "metadata" not in records.columns:
         return out
     extras = F.from_json("metadata.extras", "map<string,string>")
-    added = F.to_json(F.map_concat(F.map_filter(extras, lambda k, _: k != "repair_source"), F.create_map(F.lit("repair_source"), F.lit(source))))
-    return out.withColumn("metadata", F.col("metadata").withField("source_dataset", F.lit(source)).withField("extras", added))
+    added = F.to_json(F.map_concat(F.map_filter(extras, lambda k, _: k != "repair_source"), F.create_map(F.lit("repair_source"), source)))
+    return out.withColumn("metadata", F.col("metadata").withField("source_dataset", source).withField("extras", added))
 
 
 def repair_set(puzzles: DataFrame, failures: DataFrame, successes: DataFrame, ratio: float, stage: str = "stage3", style: str = "short_trace", mode: str = "raw_with_guard", template: ChatTemplate | None = None) -> DataFrame:
@@ -159,25 +159,22 @@ def repair_set(puzzles: DataFrame, failures: DataFrame, successes: DataFrame, ra
     ``failures`` and ``successes`` have one row for each ``id``; failures bring ``boxed_valid, exact,
     numeric, predicted_family, predicted_subtype, predicted_signature``. The puzzle's own labels
     are the truth. ``int(n * ratio)`` replayed records are taken in rounds over the families, hard
-    ones first, at most 64 of a program. Ids that no puzzle has are left out.
+    ones first, at most 64 of a program. Ids that no puzzle has are left out. Ids are chosen
+    first, without texts; records are made of the chosen puzzles only.
     """
-    made = marked(wide_records(puzzles, stage, mode, style, template), "repair")
+    labels = wide_records(puzzles, stage, mode, style, template, metadata=False).select("id", "official_family", "subtype", "program_signature", "teacher_confidence")
     why = failures.select("id", "boxed_valid", "exact", "numeric", "predicted_family", "predicted_subtype", "predicted_signature")
-    truth = made.join(why, "id").withColumn("correct", F.lit(False)).withColumnRenamed("official_family", "family")
+    truth = labels.join(why, "id").withColumn("correct", F.lit(False)).withColumnRenamed("official_family", "family")
     error = error_class(F.col("predicted_family"), F.col("predicted_subtype"), F.col("predicted_signature"), F.col("program_signature"), F.col("teacher_confidence"))
-    repair = settle(
-        truth.withColumn("error_type", error)
-        .withColumn("target_signature", F.col("program_signature"))
-        .withColumnRenamed("family", "official_family")
-        .select(*made.columns, "error_type", "target_signature", "predicted_signature")
-    )
-    wanted = int(repair.count() * ratio)
-    if not wanted:
-        return repair
-    again = marked(wide_records(puzzles, stage, mode, style, template), "replay").join(successes.select("id"), "id", "left_semi")
-    program = F.coalesce(F.nullif("program_signature", F.lit("")), F.concat(F.lit("id:"), "id"))
-    taken = interleave(again, "official_family", list(HARD_FAMILIES), [F.col("id").asc()], take=wanted, cap=program, most=64)
-    return repair.unionByName(taken.drop("turn", "place"), allowMissingColumns=True)
+    chosen = settle(truth.select("id", F.lit("repair").alias("__s"), error.alias("error_type"), F.col("program_signature").alias("target_signature"), "predicted_signature"))
+    wanted = int(chosen.count() * ratio)
+    if wanted:
+        program = F.coalesce(F.nullif("program_signature", F.lit("")), F.concat(F.lit("id:"), "id"))
+        known = settle(labels.join(successes.select("id"), "id", "left_semi").select("id", "official_family", program.alias("__p")))
+        taken = interleave(known, "official_family", list(HARD_FAMILIES), [F.col("id").asc()], take=wanted, cap=F.col("__p"), most=64)
+        chosen = chosen.unionByName(taken.select("id", F.lit("replay").alias("__s")), allowMissingColumns=True)
+    made = wide_records(puzzles.join(chosen.select("id"), "id", "left_semi"), stage, mode, style, template)
+    return marked(made.join(chosen, "id"), F.col("__s")).drop("__s")
 
 
 def repair_summary(records: DataFrame) -> DataFrame:

@@ -87,6 +87,8 @@ class WordEncoder:
                     out.append(rank)
                     i += size
                     break
+            else:
+                raise ValueError(f"the rank file has no token for byte {word[i]}")
         return out
 
     def _verdicts(self, keys: np.ndarray, known: dict[int, bool], test: Callable[[int], bool]) -> np.ndarray:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runeworks.functions.signatures import bucket_key
+from runeworks.llm.settings import settings_rows
 from runeworks.operators.latest import latest
 from runeworks.operators.puzzles import current_puzzles
 from runeworks.operators.ranking import ordered_slices, rank_slices
@@ -27,6 +28,20 @@ def contributors(puzzles: DataFrame, programs: DataFrame) -> DataFrame:
     return named.join(quality, "id")
 
 
+def _ranked(puzzles: DataFrame, programs: DataFrame, caps: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """Puzzles ranked inside their contributors, once for all policies, and the policies as structs of name and limit."""
+    order = [F.col("quality").desc(), F.col("id").asc()]
+    sliced = ordered_slices(contributors(puzzles, programs), ["contributor"], order)
+    total = sliced.count()
+    policies = []
+    for name, most, share in settings_rows(caps.select("policy_name", "max_records", "max_share_bp")):
+        bounds = [most] if most is not None else []
+        if share is not None:
+            bounds.append(max(1, total * share // 10000))
+        policies.append(F.struct(F.lit(name).cast("string").alias("policy_name"), F.lit(min(bounds, default=None)).cast("long").alias("limit")))
+    return rank_slices(sliced, ["contributor"], order), policies
+
+
 def cap_contributors(puzzles: DataFrame, programs: DataFrame, caps: DataFrame) -> DataFrame:
     """Keep the best puzzles of each contributor under every policy of ``caps``.
 
@@ -41,21 +56,9 @@ def cap_contributors(puzzles: DataFrame, programs: DataFrame, caps: DataFrame) -
     of a puzzle or program count once. Policies with a null name are kept under null. Empty
     tables give an empty result. ``caps`` holds settings, a few rows, and is read by the driver.
     """
-    order = [F.col("quality").desc(), F.col("id").asc()]
-    sliced = ordered_slices(contributors(puzzles, programs), ["contributor"], order)
-    total = sliced.count()
-    policies = []
-    for name, most, share in caps.select("policy_name", "max_records", "max_share_bp").distinct().collect():
-        bounds = [most] if most is not None else []
-        if share is not None:
-            bounds.append(max(1, total * share // 10000))
-        policies.append(
-            F.struct(F.lit(name).cast("string").alias("policy_name"), F.lit(min(bounds, default=None)).cast("long").alias("limit"))
-        )
-    if not policies:
-        policies = [F.lit(None).cast("struct<policy_name:string,limit:bigint>")]
-    fanned = rank_slices(sliced, ["contributor"], order).withColumn("__p", F.explode(F.array(*policies)))
-    return fanned.where(F.lit(bool(total)) & F.col("__p").isNotNull()).select(
+    ranked, policies = _ranked(puzzles, programs, caps)
+    fanned = ranked.withColumn("__p", F.explode(_array(policies)))
+    return fanned.select(
         F.col("__p.policy_name").alias("policy_name"),
         "id",
         "contributor",
@@ -66,5 +69,11 @@ def cap_contributors(puzzles: DataFrame, programs: DataFrame, caps: DataFrame) -
 
 
 def dropped_by_caps(puzzles: DataFrame, programs: DataFrame, caps: DataFrame) -> DataFrame:
-    """``policy_name, id`` of the puzzles that must go (p4_found)."""
-    return cap_contributors(puzzles, programs, caps).where(~F.col("kept")).select("policy_name", "id")
+    """``policy_name, id`` of the puzzles that must go (p4_found): each meets only the policies whose limit it exceeds."""
+    ranked, policies = _ranked(puzzles, programs, caps)
+    over = F.filter(_array(policies), lambda p: F.col("rank") > p["limit"])
+    return ranked.select("id", F.explode(F.transform(over, lambda p: p["policy_name"])).alias("policy_name")).select("policy_name", "id")
+
+
+def _array(policies: list[Column]) -> Column:
+    return F.array(*policies) if policies else F.array().cast("array<struct<policy_name:string,limit:bigint>>")

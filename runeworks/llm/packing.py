@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runeworks.llm.bpe import TOKENIZERS, Encoded, encoder, rank_file, slices, words
+from runeworks.llm.settings import settings_rows
 from runeworks.session import settle
 
 #: Dimensions of the projected document vectors and bits of each on the curve.
@@ -129,7 +130,7 @@ def pack_documents(
     """
     path = rank_file(tokenizer, folder)
     capacities = [
-        (n, int(c)) for n, c in limits.select("limit_name", "capacity_tokens").distinct().collect() if c is not None and c > 0
+        (n, int(c)) for n, c in settings_rows(limits.select("limit_name", "capacity_tokens")) if c is not None and c > 0
     ]
     kind = documents.schema["doc_id"].dataType.simpleString()
     slots = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))

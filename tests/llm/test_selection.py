@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from runeworks.llm import caps, mixing, quotas
 from runeworks.llm.oracles import oracle_sql
 from runeworks.llm.queries import queries
+from runeworks.llm.settings import SETTINGS_ROWS
 from tests.conftest import DATA, normal
 from tests.llm.helpers import build, puzzle, rows
 
@@ -138,7 +139,7 @@ def test_overlapping_rows_have_totals_of_their_own(spark):
     base = {"mix_name": "m", "target_share": 0.5, "total_records": 40, "max_repeats": 1}
     targets = build(spark, "mix_targets", [{**base, "source": "official", "official_family": "*"}, {**base, "source": "official", "official_family": "bit"}, {**base, "source": "OFFICIAL", "official_family": "*", "target_share": 0.8}])
     assert rows(mixing.unmet_targets(puzzles, targets)) == [("m", "OFFICIAL", "*")]
-    many = build(spark, "mix_targets", [{**base, "source": f"s{i}", "official_family": "*"} for i in range(mixing.SETTINGS_ROWS + 1)])
+    many = build(spark, "mix_targets", [{**base, "source": f"s{i}", "official_family": "*"} for i in range(SETTINGS_ROWS + 1)])
     with pytest.raises(ValueError):
         mixing.unmet_targets(puzzles, many)
 

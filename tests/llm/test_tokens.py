@@ -45,6 +45,15 @@ def test_speculation_equals_merging(texts):
         assert ids == CODER.merge(word.encode()) and b"".join(CODER.spelled[i] for i in ids) == word.encode()
 
 
+def test_incomplete_rank_files_are_refused(tmp_path):
+    path = tmp_path / "few.tiktoken"
+    path.write_text("YQ== 0\nYg== 1\n")
+    few = bpe.WordEncoder(str(path))
+    assert few.propose(b"abba") == [0, 1, 1, 0]
+    with pytest.raises(ValueError, match="byte 99"):
+        few.propose(b"abc")
+
+
 def test_slices_of_lists():
     lists = pa.array([["a", "b"], [], ["a"], None, ["c c", "a"]], pa.list_(pa.string()))
     found = bpe.Encoded(lists.slice(1), CODER)

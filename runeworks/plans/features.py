@@ -245,6 +245,15 @@ def infer_subtype(family: Column, pairs: Column, query: Column, prompt: Column)
     )
 
 
+def apply_tags(puzzles: DataFrame) -> DataFrame:
+    """Puzzles with the tags written into ``family``, ``subtype``, ``confidence`` and ``composition_key``; a subtype that is there stays."""
+    own = [c for c in puzzles.columns if c not in ("family", "subtype", "confidence", "composition_key")]
+    subtype = F.coalesce("subtype", "tag_subtype") if "subtype" in puzzles.columns else F.col("tag_subtype")
+    return tagged(puzzles.drop("composition_key")).select(
+        *own, F.col("tag_family").alias("family"), subtype.alias("subtype"), F.col("tag_confidence").alias("confidence"), "composition_key"
+    )
+
+
 def tagged(puzzles: DataFrame) -> DataFrame:
     """Puzzles with ``tag_family, tag_subtype, tag_confidence, composition_key``.
 

@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runeworks.functions.text import roman
 from runeworks.operators.puzzles import current_puzzles
 from runeworks.search.catalogue import BY_NAME, KEEP
+from runeworks.search.engine import search_programs
 from runeworks.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +102,42 @@ def kernel_depth1(spark: SparkSession, folder: str) -> DataFrame:
     return puzzles.select("id", "parsed_examples").mapInArrow(solve, "id string, pairs bigint, program string")
 
 
+def _order_puzzles(spark: SparkSession, folder: str, family: str, subtype: str, given: Column, made: Callable[[Column], Column], query: Column) -> DataFrame:
+    """A puzzle of each order with lines: its lines are the pairs, ``made`` of the number ``given``, and ``query`` is asked. An order has few lines."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    joined = lines.join(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    shown, text = made(given), given.cast("string") if family == "numeral" else F.lpad(F.bin(given), 8, "0") if family == "bit" else F.concat(given, F.lit(" m"))
+    pair = F.struct(text.alias("input"), shown.alias("output"))
+    return joined.groupBy(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").alias("c")).agg(F.sort_array(F.collect_set(pair)).alias("parsed_examples")).select(
+        "id", F.lit(family).alias("family"), F.lit(subtype).alias("subtype"), query.alias("query"), "parsed_examples"
+    )
+
+
+def _found(puzzles: DataFrame) -> DataFrame:
+    return search_programs(puzzles, 6, 2, 1).select("id", "signature", "exact", "answer")
+
+
+def search_numerals(spark: SparkSession, folder: str) -> DataFrame:
+    """The search on number puzzles made of orders: all are Roman numerals."""
+    number = 1 + F.col("l_partkey") % 3999
+    return _found(_order_puzzles(spark, folder, "numeral", "numeral_roman", number, roman, (1 + F.col("c") % 3999).cast("string")))
+
+
+def search_masks(spark: SparkSession, folder: str) -> DataFrame:
+    """The search on byte puzzles made of orders: the customer is the mask."""
+    made = lambda b: F.lpad(F.bin(b.bitwiseXOR(F.col("o_custkey") % 256)), 8, "0")
+    asked = F.lpad(F.bin(F.col("id").cast("long") % 256), 8, "0")
+    return _found(_order_puzzles(spark, folder, "bit", "bit_xor_mask", F.col("l_partkey") % 256, made, asked))
+
+
+def search_scales(spark: SparkSession, folder: str) -> DataFrame:
+    """The search on measurements made of orders: the customer gives the factor, a multiple of a quarter."""
+    made = lambda x: ((x * (1 + F.col("o_custkey") % 7) * 25).cast("decimal(20,2)") / 100).cast("decimal(20,2)").cast("string")
+    asked = F.concat((F.col("id").cast("long") % 50 + 1).cast("string"), F.lit(" m"))
+    rows = _order_puzzles(spark, folder, "unit", "unit_scale", F.col("l_quantity").cast("long"), made, asked)
+    return _found(rows).select("id", "exact", "answer")
+
+
 def kernel_queries(nibbles: dict[str, str], masks: list[int], bias: list[int], letters: dict[str, str]) -> dict[str, Query]:
     """A query for each operator, named ``kernel_…`` as its column form is ``op_…``."""
     affine = [(m << 1) | c for m, c in zip(masks, bias)]
@@ -129,5 +167,5 @@ def kernel_queries(nibbles: dict[str, str], masks: list[int], bias: list[int], l
     }
     out["kernel_fit_xor_mask"] = _fit("binary_xor_mask", lambda b, c: b.bitwiseXOR(F.when(b % 17 == 0, c + 1).otherwise(c) % 256))
     out["kernel_fit_or_mask"] = _fit("binary_or_mask", lambda b, c: b.bitwiseOR(c % 16))
-    out["kernel_depth1"] = kernel_depth1
+    out |= {q.__name__: q for q in (kernel_depth1, search_numerals, search_masks, search_scales)}
     return out

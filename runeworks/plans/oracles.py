@@ -423,7 +423,14 @@ keyed AS (SELECT id, family, concat_ws('|', family, coalesce(subtype, 'unknown')
 
 _NODES = "SELECT op, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM {t}), 9) AS weight FROM (SELECT unnest(steps) AS op FROM {t}) GROUP BY op"
 
+_ORDERED = "(SELECT DISTINCT o_orderkey, o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
+
 PLAIN = {
+    "search_numerals": f"SELECT o_orderkey::VARCHAR AS id, 'dec2roman' AS signature, 1.0::DOUBLE AS exact, {_roman('(1 + o_custkey % 3999)')} AS answer FROM {_ORDERED}",
+    "search_masks": f"""SELECT o_orderkey::VARCHAR AS id, 'xor:' || (o_custkey % 256)::VARCHAR AS signature, 1.0::DOUBLE AS exact, lpad(bin(xor(o_orderkey % 256, o_custkey % 256)), 8, '0') AS answer
+      FROM {_ORDERED}""",
+    "search_scales": f"""SELECT o_orderkey::VARCHAR AS id, 1.0::DOUBLE AS exact, CAST(CAST((o_orderkey % 50 + 1) * (1 + o_custkey % 7) * 25 AS DECIMAL(20, 2)) / 100 AS DECIMAL(20, 2))::VARCHAR AS answer
+      FROM {_ORDERED}""",
     "search_depth1": DEPTH1,
     "boxed_flat": rf"""WITH {EVAL} SELECT record_id, extracted AS answer, extracted IS NOT NULL AS is_valid,
       CASE WHEN len(boxes) = 0 THEN 'missing_boxed_answer' WHEN len(boxes) > 1 THEN 'multiple_boxed_answers' WHEN boxes[1] = '' THEN 'empty_boxed_answer' END AS error FROM answer""",

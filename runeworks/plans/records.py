@@ -233,3 +233,51 @@ def training_records(puzzles: DataFrame, style: str, stage: str) -> DataFrame:
         "subtype",
         "signature",
     )
+
+
+def labelled_ids(prompt: Column, completion: Column, length: int, pad: int = 0, ignored: int = -100) -> Column:
+    """``input_ids, labels, attention_mask`` of token ids: the prompt's labels are ignored, all are cut or padded to ``length``."""
+    p, c = (F.coalesce(x, F.array().cast("array<int>")) for x in (prompt, completion))
+
+    def fit(ids: Column, filler: int) -> Column:
+        return F.slice(F.concat(ids, F.array_repeat(F.lit(filler), length)), 1, length)
+
+    size = F.size(p) + F.size(c)
+    return F.struct(
+        fit(F.concat(p, c), pad).alias("input_ids"),
+        fit(F.concat(F.array_repeat(F.lit(ignored), F.size(p)), c), ignored).alias("labels"),
+        fit(F.array_repeat(F.lit(1), size), 0).alias("attention_mask"),
+    )
+
+
+#: The JSON form of a puzzle.
+PUZZLE_JSON = (
+    "id string, raw_prompt string, official_instruction string, parsed_examples array<struct<input: string, output: string>>, query string, target_answer string, "
+    "metadata struct<official_family: string, subtype: string, family_tags: array<string>, family_scores: map<string, double>, teacher_confidence: double, "
+    "program_signature: string, composition_key: string, difficulty: double, source: string, split: string, extras: string>"
+)
+
+
+def encoded(puzzles: DataFrame) -> Column:
+    """A puzzle of the table's own nested form as one JSON text; nulls are written too."""
+    names = [c.split(" ")[0] for c in ("id", "raw_prompt", "official_instruction", "parsed_examples", "query", "target_answer", "metadata")]
+    return F.to_json(F.struct(*[puzzles[n] for n in names]), {"ignoreNullFields": "false"})
+
+
+def decoded(text: Column) -> Column:
+    """The puzzle that a JSON text holds; one without a family has the first of its tags as family. Another text gives null."""
+    found = F.from_json(text, PUZZLE_JSON)
+    family = F.coalesce(found["metadata"]["official_family"], F.try_element_at(found["metadata"]["family_tags"], F.lit(1)))
+    named = F.when(found["metadata"].isNotNull(), found["metadata"].withField("official_family", family))
+    return F.when(found["id"].isNotNull(), found.withField("metadata", named))
+
+
+def repair_order(records: DataFrame) -> list[Column]:
+    """The order in which repair records are reported: hard families first, then error type and id."""
+    return [F.when(records["official_family"].isin(*HARD_FAMILIES), 0).otherwise(1).asc(), records["error_type"].asc(), records["id"].asc()]
+
+
+def step_order(name: Column) -> list[Column]:
+    """Checkpoints by their number, those without one, such as the final one, last."""
+    step = F.regexp_extract(name, r"(\d+)\D*\z", 1).try_cast("long")
+    return [step.asc_nulls_last(), name.asc()]

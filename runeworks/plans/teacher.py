@@ -114,6 +114,14 @@ def rescue(annotated: DataFrame, families: tuple[str, ...] = ("bit", "cipher", "
     )
 
 
+def rescue_counts(rescued: DataFrame) -> DataFrame:
+    """Per family: puzzles, those hinted, rescued, and rescued with a hint."""
+    hinted = F.col("hint").isNotNull()
+    return rescued.groupBy("family").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(hinted).alias("hinted"), F.count_if("rescued").alias("rescued"), F.count_if(F.col("rescued") & hinted).alias("rescued_with_hint")
+    )
+
+
 def hint_counts(puzzles: DataFrame) -> DataFrame:
     """``family, from_subtype, to_subtype, n``: how often each hint is given to official puzzles (``family, subtype, source, steps``)."""
     hinted = puzzles.where(source_kind(F.col("source")) == "official").withColumn("to_subtype", subtype_hint(*map(F.col, ("family", "subtype", "steps"))))

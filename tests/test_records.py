@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from runeworks.functions.text import ANSWER_CONTRACT
 from runeworks.plans import novelty, records
+from tests.conftest import DATA
 
 
 def test_records(spark):
@@ -107,3 +108,24 @@ def test_checks(spark):
     for call in (lambda: records.check_rows(df, "v"), lambda: records.check_rows(df, "w"), lambda: records.check_repeats(df, "id", False)):
         with pytest.raises(ValueError):
             call()
+
+
+def test_labelled_ids(spark):
+    df = spark.createDataFrame([([1, 2], [3]), ([1, 2, 3], [4, 5]), ([], None), (None, [9])], "p array<int>, c array<int>")
+    got = [tuple(map(list, r.x)) for r in df.select(records.labelled_ids(F.col("p"), F.col("c"), 4).alias("x")).collect()]
+    assert got == [([1, 2, 3, 0], [-100, -100, 3, -100], [1, 1, 1, 0]), ([1, 2, 3, 4], [-100, -100, -100, 4], [1, 1, 1, 1]), ([0] * 4, [-100] * 4, [0] * 4), ([9, 0, 0, 0], [9, -100, -100, -100], [1, 0, 0, 0])]
+
+
+def test_puzzles_as_json(spark):
+    puzzles = spark.read.parquet(f"{DATA}/puzzles.parquet")
+    back = puzzles.select("id", "query", "metadata", records.decoded(records.encoded(puzzles)).alias("d"))
+    assert back.where("NOT (d.query <=> query) OR NOT (d.id <=> id) OR NOT (d.metadata.split <=> metadata.split) OR NOT (d.metadata.extras <=> metadata.extras)").count() == 0
+    legacy = spark.createDataFrame([('{"id": "a", "metadata": {"family_tags": ["bit", "x"]}}',), ('{"id": "b"}',), ("none",), (None,)], "t string").select(records.decoded(F.col("t")).alias("d")).collect()
+    assert legacy[0].d.metadata.official_family == "bit" and legacy[1].d.metadata is None and legacy[2].d is None and legacy[3].d is None
+
+
+def test_orders(spark):
+    names = spark.createDataFrame([("checkpoint-20",), ("final",), ("checkpoint-3",)], "n string")
+    assert [r.n for r in names.orderBy(*records.step_order(F.col("n"))).collect()] == ["checkpoint-3", "checkpoint-20", "final"]
+    rows = spark.createDataFrame([("a", "unit", "x"), ("b", "bit", "y"), ("c", "bit", "x")], "id string, official_family string, error_type string")
+    assert [r.id for r in rows.orderBy(*records.repair_order(rows)).collect()] == ["c", "b", "a"]

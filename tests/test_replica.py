@@ -81,6 +81,8 @@ def test_annotations_and_rescue(spark):
     assert not any(r.rescued for r in done.values()) and done["r"].program_signature == "dec2roman"
     worse = teacher.annotate(_puzzles(spark), 6, 2).withColumns({"verifiable": F.lit(False), "coverage": F.lit(0.0), "program_signature": F.lit(None).cast("string")})
     again = {r.id: r for r in teacher.rescue(worse, beam=4, depth=2).collect()}
+    counts = {r.family: tuple(r)[1:] for r in teacher.rescue_counts(teacher.rescue(worse, beam=4, depth=2)).collect()}
+    assert counts["bit"] == (2, 2, 2, 2) and counts["numeral"] == (1, 0, 0, 0)
     assert again["x"].rescued and again["x"].answer == "11110001" and not again["r"].rescued and again["r"].program_signature is None
     assert teacher.annotate(_puzzles(spark).limit(0)).count() == 0
 

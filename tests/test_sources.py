@@ -120,6 +120,12 @@ def test_tags(spark):
         assert got[i][0] == family and (subtype is None or got[i][1] == subtype)
 
 
+def test_applied_tags(spark):
+    df = spark.createDataFrame([("a", None, None, 0.1, "1+2", "", [("12+3", "15")]), ("b", "unit", "own", None, None, None, [("2 km", "2000 m")])], "id string, family string, subtype string, confidence double, query string, raw_prompt string, parsed_examples array<struct<input:string,output:string>>")
+    got = {r.id: (r.family, r.subtype, r.confidence) for r in features.apply_tags(df).collect()}
+    assert got == {"a": ("equation", "equation_numeric", 0.8), "b": ("unit", "own", 1.0)}
+
+
 def test_block_ratio(spark):
     df = spark.createDataFrame([("p", [("ab", "ab"), ("ab", "cd"), (None, "x")])], "id string, parsed_examples array<struct<input:string,output:string>>")
     assert [r.ratio for r in features.with_block_ratio(df).orderBy("pos").collect()] == [1.0, 0.0, None]

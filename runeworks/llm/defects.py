@@ -29,6 +29,9 @@ TRAINING_ROWS = 2000
 #: Characters that the training rows hold together at most; it bounds what the driver gets.
 TRAINING_CHARACTERS = 8_000_000
 
+#: Visible characters up to which a whole response is a feature of its own, as its words are.
+SHORT = 24
+
 #: Buckets of the hashed features.
 BUCKETS = 1 << 17
 
@@ -133,6 +136,11 @@ class Prompt:
         """Distinct tokens of the prompt."""
         return frozenset(self.spoken)
 
+    @cached_property
+    def trigrams(self) -> frozenset[tuple[str, ...]]:
+        """Runs of three tokens of the prompt."""
+        return frozenset(zip(self.spoken, self.spoken[1:], self.spoken[2:]))
+
     @cached_property
     def joined(self) -> str:
         """Tokens of the whole prompt, each between single blanks."""
@@ -198,9 +206,9 @@ class Pair:
             at = end
         self._plain(p, text[at:], tokens)
         self.tokens = tokens
-        bare = _FENCE.sub(" ", text.replace("<think>", " ").replace("</think>", " "))
-        self.core = " ".join(_BOX.sub(" ", bare).replace("}", " ").split()).lower() if len(bare) < 120 else bare
-        self.size = len(_NOTHING.sub("", self.core)) if len(bare) < 120 else 99
+        bare = _BOX.sub(" ", _FENCE.sub(" ", text.replace("<think>", " ").replace("</think>", " "))).replace("}", " ")
+        self.size = len(_NOTHING.sub("", bare))
+        self.core = " ".join(bare.split()).lower() if self.size <= SHORT else ""
         # How much of the response stands in the prompt: runs of three tokens, or all tokens of a shorter one.
         spoken = _spoken(text)
         # fresh counts the tokens after the last that stand in the prompt so.
@@ -210,9 +218,13 @@ class Pair:
             if len(spoken) < 3:
                 self.copy_share, self.fresh = sum(known) / len(spoken), 3 * (not all(known))
             else:
-                # A run can stand in the prompt only where each of its tokens does.
-                whole = p.joined
-                met = [a and b and c and f" {x} {y} {z} " in whole for a, b, c, x, y, z in zip(known, known[1:], known[2:], spoken, spoken[1:], spoken[2:])]
+                # A run can stand in the prompt only where each of its tokens does. Few runs are
+                # looked up in the text, many in a table of its runs, which comes to the same.
+                runs = zip(spoken, spoken[1:], spoken[2:])
+                if len(spoken) <= 64:
+                    met = [a and b and c and f" {x} {y} {z} " in p.joined for a, b, c, (x, y, z) in zip(known, known[1:], known[2:], runs)]
+                else:
+                    met = [run in p.trigrams for run in runs]
                 self.copy_share = sum(met) / len(met)
                 self.fresh = next((i for i, x in enumerate(reversed(met)) if x), 3)
         votes = word_votes(_VALUE.sub(" ", text))
@@ -260,7 +272,7 @@ class Pair:
             f"other {_level(_OTHER, self.other_share)} {_level(_VOTES, self.votes)}", f"other {_level(_OTHER, self.other_share)} {held} {min(place, 3)}",
             f"own {_level(_OTHER, self.own_share)} {_level(_VOTES, self.votes)}",
         ]
-        if self.size <= 24 and not self.filled:
+        if self.size <= SHORT and not self.filled:
             found.append(f"core {self.core}")
         return [_bucket(x, "\x02") for x in found]
 

@@ -311,6 +311,7 @@ def measure(texts: list[str]) -> np.ndarray:
     token_of = doc[token_start]
     token_count = np.bincount(token_of, minlength=n)
     repetition = periods(tokens, token_count)
+    # A text without words to repeat, such as a run of signs, repeats its characters.
     unbroken = np.flatnonzero((token_count < 8) & (solid >= 24))
     if len(unbroken):
         chosen = visible[np.isin(doc[visible], unbroken)]

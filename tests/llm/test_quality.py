@@ -96,11 +96,19 @@ def test_measures():
     short = defects.Pair(p, "byte")  # copies of any length are measured
     assert short.copy_share == 1.0 and short.copy_size == 1
     assert defects.Pair(p, "Nothing of this stands there").copy_share == 0.0
+    long = defects.Prompt(" ".join(f"w{i % 977} x{i}" for i in range(60_000)))
+    assert defects.Pair(long, long.text).copy_share == 1.0 and defects.Pair(long, long.text[5000:5300]).copy_share > 0.9
     late = defects.Pair(p, "x " * 30000 + "\\boxed{1}")  # whole texts are read
     assert late.filled == 1 and late.tokens[-1] == "box>"
+    assert defects.Pair(p, " \n" * 5000).size == 0 and defects.Pair(p, "  $\\boxed{}$" * 100).size == 0
     assert defects.boxes("a \\boxed{x{y}} \\boxed{z") == [(2, 14, "x{y}", True), (15, 23, "z", False)]
 
 
+def test_long_blank_responses_are_empty(model):
+    blank = [" \n\t" * 400, "\u200b" * 5000, "\n" * 20000]
+    assert model.verdicts([model.pair(PROMPT, b) for b in blank]) == ["empty"] * 3
+
+
 def test_few_training_rows():
     few = defects.fit(defects.general_rows()[:3])
     assert few.verdicts([]) == [] and few.verdicts([few.pair(PROMPT, "")]) == ["empty"]

@@ -21,6 +21,7 @@ puzzle AS (
       FROM puzzles) WHERE rn = 1))
 """
 
+# Short names of operators inside signatures.
 SHORT_OPS = {
     "binary_xor_mask": "xor", "binary_affine_transform": "affine", "binary_rotate_left": "rotl",
     "binary_rotate_right": "rotr", "binary_permutation": "perm", "binary_nibble_map": "nibble",
@@ -31,7 +32,7 @@ SHORT_OPS = {
     "multiply_constant": "mul", "affine_transform": "affine",
 }
 
-P4 = f"""
+RANKED = f"""
 WITH {PUZZLE},
 alias(long_name, short_name) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in SHORT_OPS.items())}),
 program AS (
@@ -44,13 +45,18 @@ named AS (
   SELECT id, string_agg(coalesce(short_name, s), '>' ORDER BY i) AS contributor
   FROM step LEFT JOIN alias ON s = long_name GROUP BY id),
 ranked AS (
-  SELECT id, contributor, count(*) OVER () AS total, row_number() OVER (PARTITION BY contributor ORDER BY
-    CASE WHEN confidence IS NULL OR isnan(confidence) OR confidence NOT BETWEEN 0 AND 1 THEN -1 ELSE confidence END DESC, id) AS rk
-  FROM named JOIN puzzle USING (id))
-SELECT policy_name, id FROM ranked, bucket_caps
-WHERE rk > least(coalesce(max_records, total), CASE WHEN max_share_bp IS NULL THEN total ELSE greatest(1, total * max_share_bp // 10000) END)
+  SELECT *, count(*) OVER () AS total, row_number() OVER (PARTITION BY contributor ORDER BY quality DESC, id) AS rk
+  FROM (SELECT id, contributor, CASE WHEN confidence IS NULL OR isnan(confidence) OR confidence NOT BETWEEN 0 AND 1 THEN -1 ELSE confidence END AS quality
+    FROM named JOIN puzzle USING (id)))
 """
 
+_LIMIT = "least(coalesce(max_records, total), CASE WHEN max_share_bp IS NULL THEN total ELSE greatest(1, total * max_share_bp // 10000) END)"
+
+P4 = f"{RANKED} SELECT policy_name, id FROM ranked, bucket_caps WHERE rk > {_LIMIT}"
+
+P4_CAPPED = f"{RANKED} SELECT policy_name, id, contributor, quality, rk AS rank, rk <= {_LIMIT} AS kept FROM ranked, bucket_caps"
+
+
 P1 = f"""
 WITH {PUZZLE},
 cell AS (SELECT source, family, count(*) AS n FROM puzzle WHERE source IS NOT NULL GROUP BY 1, 2),
@@ -70,6 +76,17 @@ WHERE coalesce(n.n, 0) < greatest(floor(round(target_share * plan_rows, 6) + 0.5
 """
 
 
+P5_REPORT = f"""
+WITH {PUZZLE},
+n AS (SELECT family, subtype, count(*) AS n FROM puzzle WHERE subtype IS NOT NULL GROUP BY 1, 2),
+asked AS (
+  SELECT DISTINCT plan_name, official_family, q.subtype, greatest(floor(round(target_share * plan_rows, 6) + 0.5), min_rows)::BIGINT AS wanted, coalesce(n.n, 0) AS available
+  FROM sample_quotas q LEFT JOIN n ON n.family = q.official_family AND n.subtype = q.subtype),
+drawn_ AS (SELECT *, least(wanted, available) AS drawn FROM asked)
+SELECT *, greatest(wanted - drawn, 0) AS deficit, coalesce(drawn / nullif(sum(drawn) OVER (PARTITION BY plan_name), 0), 0)::DOUBLE AS actual_share FROM drawn_
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Name to SQL."""
-    return {"p1_found": P1, "p4_found": P4, "p5_found": P5}
+    return {"p1_found": P1, "p4_found": P4, "p4_capped": P4_CAPPED, "p5_found": P5, "p5_report": P5_REPORT}

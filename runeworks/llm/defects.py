@@ -45,6 +45,7 @@ _PART = re.compile(r"[぀-ヿ一-鿿。]+:?|[^:぀-ヿ一-鿿]+:?|:")
 _MARKER = re.compile(r"<\|[^|>]*\|>(?:user|assistant|system)?")
 _ARROWS = (" -> ", " becomes ", "distance = ", " => ", " → ")
 _VALUE = re.compile(r"“[^”]*”|\"[^\"]*\"|`[^`]*`|\\boxed\s*\{[^{}]*\}|\b\w+=\S+")
+_QUOTED = re.compile(r"[“\"`]")
 _ROMAN = frozenset("mdclxvi")
 _EDGES = "\"“”‘’'`*$.,:;()。"
 _FENCE = re.compile(r"```\w*|[$`*>#]")
@@ -88,6 +89,24 @@ def _words_of(chunk: str) -> list[str]:
     return got
 
 
+_VOTES_OF: dict[str, dict[str, float]] = {}
+
+
+def _votes_of(text: str) -> dict[str, float]:
+    """:func:`word_votes` of a text without blanks or of a line, which come again and again."""
+    got = _VOTES_OF.get(text)
+    if got is None:
+        if len(_VOTES_OF) > 200_000:
+            _VOTES_OF.clear()
+        got = _VOTES_OF[text] = word_votes(text)
+    return got
+
+
+def _add(votes: dict[str, float], more: dict[str, float]) -> None:
+    for language, n in more.items():
+        votes[language] = votes.get(language, 0.0) + n
+
+
 class Prompt:
     """What is measured of a prompt: its language, what its outputs are made of, and its words.
 
@@ -109,8 +128,11 @@ class Prompt:
             else:
                 sentences.append(line)
         # Support pairs are no sentences: only the other lines tell the language.
-        self.sentences = _MARKER.sub(" ", "\n".join(sentences))
-        self.language = dominant(word_votes(self.sentences))
+        self.sentences = _MARKER.sub(" ", "\n".join(sentences)) if "<|" in self.text else "\n".join(sentences)
+        votes: dict[str, float] = {}
+        for line in self.sentences.split("\n"):
+            _add(votes, _votes_of(line))
+        self.language = dominant(votes)
         chunks = [o.split() for o in outputs if o]
         given, asked = set("".join(outputs)), set("".join(inputs))
         self.wordy = not chunks or len({c.lower() for c in given if c.isalpha()} - _ROMAN) > 3
@@ -191,20 +213,22 @@ class Pair:
             text = text.replace("<think>", " <think> ").replace("</think>", " </think> ")
             spans = boxes(text) if spans else []
         self.open_think = "<think>" in text and "</think>" not in text
-        tokens, at = [], 0
+        tokens: list[str] = []
+        votes: dict[str, float] = {}
+        at = 0
         for start, end, content, closed in spans:
-            self._plain(p, text[at:start], tokens)
+            self._plain(p, text[at:start], tokens, votes)
             if not closed:
                 tokens.append("<open")
-                self._plain(p, content, tokens)
+                self._plain(p, content, tokens, votes)
             elif _NOTHING.sub("", content):
                 tokens.append("<box")
-                self._plain(p, content, tokens)
+                self._plain(p, content, tokens, {})
                 tokens.append("box>")
             else:
                 tokens.append("<hollow>")
             at = end
-        self._plain(p, text[at:], tokens)
+        self._plain(p, text[at:], tokens, votes)
         self.tokens = tokens
         bare = _BOX.sub(" ", _FENCE.sub(" ", text.replace("<think>", " ").replace("</think>", " "))).replace("}", " ")
         self.size = len(_NOTHING.sub("", bare))
@@ -227,7 +251,8 @@ class Pair:
                     met = [run in p.trigrams for run in runs]
                 self.copy_share = sum(met) / len(met)
                 self.fresh = next((i for i, x in enumerate(reversed(met)) if x), 3)
-        votes = word_votes(_VALUE.sub(" ", text))
+        if _QUOTED.search(text):  # what is quoted has no vote
+            votes = word_votes(_VALUE.sub(" ", text))
         self.votes = sum(votes.values())
         own = votes.get(p.language, 0.0) if p.language else 0.0
         self.own_share = 1.0 if not p.language else own / self.votes if self.votes else 0.0
@@ -236,7 +261,8 @@ class Pair:
         self.ended = 2 if not last else 1 if last in ".!?。}！？" else 0
 
     @staticmethod
-    def _plain(p: Prompt, text: str, out: list[str]) -> None:
+    def _plain(p: Prompt, text: str, out: list[str], votes: dict[str, float]) -> None:
+        """Add the tokens of ``text`` to ``out`` and the votes of its words to ``votes``; ``key=value`` texts have none."""
         for chunk in text.split():
             if chunk in ("<think>", "</think>"):
                 out.append(chunk)
@@ -250,11 +276,15 @@ class Pair:
                         out.append(part[-1])
                 else:
                     out.extend(_words_of(part))
+                if shape in (None, "<?>") and "=" not in chunk:
+                    _add(votes, _votes_of(part))
 
     def grams(self) -> list[int]:
         """Buckets of the words and word pairs of the response, each once."""
         seq = ["<s>", *self.tokens, "</s>"]
-        return list({_bucket(a, b) for a, b in zip(seq, seq[1:])} | {_bucket(t, "") for t in self.tokens})
+        found = set(zip(seq, seq[1:]))
+        found.update([(t, "") for t in self.tokens])
+        return list({_GRAMS.get(pair) or _bucket(*pair) for pair in found})
 
     def marks(self) -> list[int]:
         """Buckets of how the response begins and ends, and of the levels of what is measured of the pair."""
@@ -263,23 +293,26 @@ class Pair:
         held = min(self.filled, 2)
         place = next((i for i, x in enumerate(reversed(t)) if x in ("<v>", "box>")), 9) if t else 10
         copied = _level(_SHARES, self.copy_share)
+        size, held1, near = _level(_SIZES, self.size), min(held, 1), min(place, 3)
+        other, votes = _level(_OTHER, self.other_share), _level(_VOTES, self.votes)
+        long, fresh = _level(_SIZES, self.copy_size), min(self.fresh, 3)
         found = [
-            f"e1 {' '.join(e[-1:])}", f"e2 {' '.join(e[-2:])}", f"e3 {' '.join(e)}", f"s1 {' '.join(t[:1])}", f"s2 {' '.join(t[:2])}",
-            f"size {_level(_SIZES, self.size)}", f"size {_level(_SIZES, self.size)} {held}", f"box {held} {min(self.hollow, 1)} {self.open_box}", f"think {self.open_think}",
-            f"place {min(place, 6)} {held}", f"place {min(place, 6)} {held} {_level(_SIZES, self.size)}", f"ended {self.ended} {held}", f"ended {self.ended} {min(place, 6)} {self.open_box}",
-            f"copy {copied} {held}", f"copy {copied} {_level(_SIZES, self.copy_size)} {min(held, 1)}", f"copy {copied} {min(place, 3)} {min(held, 1)}",
-            f"fresh {copied} {min(self.fresh, 3) if copied > 2 else 3} {min(held, 1)}", f"fresh {min(self.fresh, 3) if copied > 2 else 9} {_level(_SIZES, self.copy_size)} {min(held, 1)}",
-            f"other {_level(_OTHER, self.other_share)} {_level(_VOTES, self.votes)}", f"other {_level(_OTHER, self.other_share)} {held} {min(place, 3)}",
-            f"own {_level(_OTHER, self.own_share)} {_level(_VOTES, self.votes)}",
+            ("e1", *e[-1:]), ("e2", *e[-2:]), ("e3", *e), ("s1", *t[:1]), ("s2", *t[:2]),
+            ("size", size), ("size", size, held), ("box", held, min(self.hollow, 1), self.open_box), ("think", self.open_think),
+            ("place", min(place, 6), held), ("place", min(place, 6), held, size), ("ended", self.ended, held), ("ended", self.ended, min(place, 6), self.open_box),
+            ("copy", copied, held), ("copy", copied, long, held1, "long"), ("copy", copied, near, held1, "near"),
+            ("fresh", copied, fresh if copied > 2 else 3, held1), ("fresh", fresh if copied > 2 else 9, long, held1, "long"),
+            ("other", other, votes), ("other", other, held, near), ("own", _level(_OTHER, self.own_share), votes),
         ]
         if self.size <= SHORT and not self.filled:
-            found.append(f"core {self.core}")
-        return [_bucket(x, "\x02") for x in found]
+            found.append(("core", self.core))
+        return [_MARKS.get(x) or _mark(x) for x in found]
 
     def novelty(self, strange: float) -> int:
         """Bucket of how strange the words are, with how the response ends and whose language it is in."""
         level = _level(_NEW, strange)
-        return _bucket(f"new {level} {min(self.filled, 1)} {self.ended} {self.own_share >= 0.5} {self.tokens[-1:] in (['<v>'], ['box>'])}", "\x02")
+        key = ("new", level, min(self.filled, 1), self.ended, self.own_share >= 0.5, self.tokens[-1:] in (["<v>"], ["box>"]))
+        return _MARKS.get(key) or _mark(key)
 
 
 _GRAMS: dict[tuple[str, str], int] = {}
@@ -294,6 +327,16 @@ def _bucket(a: str, b: str) -> int:
     return got
 
 
+_MARKS: dict[tuple, int] = {}
+
+
+def _mark(key: tuple) -> int:
+    if len(_MARKS) > 500_000:
+        _MARKS.clear()
+    got = _MARKS[key] = zlib.crc32(" ".join(map(str, key)).encode("utf-8", "surrogatepass") + b"\x02") % BUCKETS
+    return got
+
+
 @dataclass(slots=True)
 class Features:
     """Features of many pairs: bucket and value of each, and where the features of a pair end."""

@@ -74,10 +74,17 @@ def _class_table() -> tuple[np.ndarray, np.ndarray]:
 
 
 _CLASSES, _LOWER = _class_table()
-_CLOSERS = np.zeros(1 << 16, dtype=bool)
-_CLOSERS[[ord(c) for c in "'\"”’»)]*_`」』）"]] = True
-_BULLETS = np.zeros(1 << 16, dtype=bool)
-_BULLETS[[ord(c) for c in "-*•·‣◦▪●○–—+»→✓✗"]] = True
+
+
+def _marks_table(signs: str) -> np.ndarray:
+    """Whether a character of the basic plane is one of ``signs``."""
+    table = np.zeros(1 << 16, dtype=bool)
+    table[[ord(c) for c in signs]] = True
+    return table
+
+
+_CLOSERS, _BULLETS = _marks_table("'\"”’»)]*_`」』）"), _marks_table("-*•·‣◦▪●○–—+»→✓✗")
+_SHAFTS, _ARROWS, _NAMING = _marks_table("-="), _marks_table("→⇒↦"), _marks_table(":=：")
 _POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
 
@@ -116,6 +123,15 @@ def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def _greatest(group: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The greatest of the values of each of ``n`` groups, which follow each other; 0 without any."""
+    out = np.zeros(n)
+    if len(group):
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        out[group[first]] = np.maximum.reduceat(values, first)
+    return out
+
+
 def _hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each run of characters; ``codes`` are zero outside the runs."""
     if not len(starts):
@@ -207,12 +223,15 @@ def measure(texts: list[str]) -> np.ndarray:
     padded = np.concatenate((codes, np.full(8, 10, dtype=codes.dtype)))
     doc = np.repeat(np.arange(n), sizes)
 
-    def per_doc(where: np.ndarray) -> np.ndarray:
-        return np.bincount(doc[where], minlength=n).astype(float)
+    begins = np.cumsum(sizes) - sizes
+
+    def per_doc(flags: np.ndarray) -> np.ndarray:
+        """True values in each text."""
+        return np.add.reduceat(flags, begins, dtype=np.int64).astype(float)
 
     letter, digit, blank = (kinds & _LETTER) > 0, (kinds & _DIGIT) > 0, (kinds & _BLANK) > 0
     visible = np.flatnonzero(~blank)
-    solid = np.maximum(per_doc(visible), 1.0)
+    solid = np.maximum(per_doc(~blank), 1.0)
     letters, digits = per_doc(letter), per_doc(digit)
     others = per_doc((kinds & _ALNUM) > 0)
     ideograms = per_doc((kinds & _IDEOGRAM) > 0)
@@ -245,8 +264,7 @@ def measure(texts: list[str]) -> np.ndarray:
 
     def sums(flags: np.ndarray) -> np.ndarray:
         """True values in each kept line."""
-        total = np.concatenate(([0], np.cumsum(flags)))
-        return (total[line_end] - total[line_start])[kept]
+        return np.add.reduceat(flags, line_start, dtype=np.int64)[kept]
 
     def mean(values: np.ndarray) -> np.ndarray:
         return np.bincount(of, weights=values.astype(float), minlength=n) / per_line
@@ -279,9 +297,9 @@ def measure(texts: list[str]) -> np.ndarray:
     opened = np.isin(c[0], (40, 91)) & (shut[2] & is_blank[3] | shut[3] & is_blank[4])
     itemised = (_BULLETS[c[0]] & is_blank[1]) | numbered | lettered | opened | (c[0] == 35) & is_digit[1]
 
-    arrow = ((codes == 0x3E) & np.isin(np.append(0, codes[:-1]), (0x2D, 0x3D))) | np.isin(codes, (0x2192, 0x21D2, 0x21A6))
+    arrow = ((codes == 0x3E) & _SHAFTS[np.append(0, codes[:-1])]) | _ARROWS[codes]
     paired = (sums(arrow) > 0) | (word_sums(_among(words, _BECOMES)) > 0)
-    names = np.flatnonzero(np.isin(codes, (0x3A, 0x3D, 0xFF1A)) & np.append(blank[1:], True) | (codes == 0x2026) | ((codes == 46) & (np.append(codes[1:], 0) == 46)))
+    names = np.flatnonzero(_NAMING[codes] & np.append(blank[1:], True) | (codes == 0x2026) | ((codes == 46) & (np.append(codes[1:], 0) == 46)))
     at = np.searchsorted(names, first)
     name = names[np.minimum(at, max(0, len(names) - 1))] if len(names) else np.zeros(len(first), dtype=np.int64)
     named = (name > first) & (name < last) & (name - first <= 40) if len(names) else np.zeros(len(first), dtype=bool)
@@ -316,12 +334,10 @@ def measure(texts: list[str]) -> np.ndarray:
     if len(unbroken):
         chosen = visible[np.isin(doc[visible], unbroken)]
         repetition[unbroken] = np.maximum(repetition[unbroken], periods(codes[chosen], np.bincount(doc[chosen], minlength=n)[unbroken]))
-    longest = np.zeros(n)
-    np.maximum.at(longest, token_of, np.where((kinds[token_start] & _IDEOGRAM) > 0, 10, token_length))
-    longest_in_line = np.zeros(len(kept))
+    longest = _greatest(token_of, np.where((kinds[token_start] & _IDEOGRAM) > 0, 10, token_length), n)
     line_of_token = np.searchsorted(from_, token_start, side="right") - 1
     inside = (line_of_token >= 0) & (token_start < to[np.maximum(line_of_token, 0)]) & ((kinds[token_start] & _IDEOGRAM) == 0) if len(kept) else np.zeros(len(token_start), dtype=bool)
-    np.maximum.at(longest_in_line, line_of_token[inside], token_length[inside])
+    longest_in_line = _greatest(line_of_token[inside], token_length[inside], len(kept))
 
     word_of = doc[word_start]
     word_count = np.bincount(word_of, minlength=n).astype(float)

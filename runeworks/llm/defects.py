@@ -26,6 +26,9 @@ DEFECTS = ("empty", "truncated", "refusal", "copy", "wrong_language")
 #: Bound on the labelled rows the classifier is fitted on, before synthetic defects are made of them.
 TRAINING_ROWS = 2000
 
+#: How far a threshold lies below the lowest score of a defect that counts, as a share of the gap to the next sound score.
+GAP = 0.5
+
 #: Characters that the training rows hold together at most; it bounds what the driver gets.
 TRAINING_CHARACTERS = 8_000_000
 
@@ -137,7 +140,7 @@ class Prompt:
         given, asked = set("".join(outputs)), set("".join(inputs))
         self.wordy = not chunks or len({c.lower() for c in given if c.isalpha()} - _ROMAN) > 3
         # Where all inputs and outputs have one length, a shorter value was cut off; else length tells nothing.
-        lengths = {len(x.strip()) for x in (*inputs, *outputs)}
+        lengths = {len("".join(x.split())) for x in (*inputs, *outputs)}
         self.least = lengths.pop() if len(lengths) == 1 and len(chunks) > 1 else 1
         marks = set() if self.wordy else {c for c in given | asked if not c.isalnum()}
         self.alphabet = {c for c in given | marks if not c.isspace()}
@@ -173,7 +176,7 @@ class Prompt:
 
         ``<v>`` is made of what outputs are made of, but for a few characters; ``<v->`` is shorter
         than every output where all have one length; ``<?>`` is a word that neither sentences
-        nor outputs had so far.
+        nor outputs had so far, or letters and digits mixed.
         """
         low = core.lower()
         if core.isalpha() and (low in FUNCTION or low in self.prose):
@@ -184,9 +187,9 @@ class Prompt:
             return "<v>" if core.isalnum() and not core.isalpha() else None
         if self.alphabet.issuperset(core):
             return "<v>" if len(core) >= self.least else "<v->"
-        if self.signs and any(map(str.isalnum, core)):
-            return None
-        return "<v>" if sum(c in self.alphabet for c in core) > (0.8 if self.wordy else 0.6) * len(core) else None
+        if not (self.signs and any(map(str.isalnum, core))) and sum(c in self.alphabet for c in core) > (0.8 if self.wordy else 0.6) * len(core):
+            return "<v>"
+        return "<?>" if core.isalnum() and any(map(str.isalpha, core)) and any(map(str.isdigit, core)) else None
 
 
 _level = bisect_right
@@ -296,7 +299,16 @@ class Pair:
         size, held1, near = _level(_SIZES, self.size), min(held, 1), min(place, 3)
         other, votes = _level(_OTHER, self.other_share), _level(_VOTES, self.votes)
         long, fresh = _level(_SIZES, self.copy_size), min(self.fresh, 3)
+        # The end again, with each run of values as one.
+        short: list[str] = []
+        for x in reversed(t):
+            x = "<v>" if x == "<?>" else x
+            if not short or x != "<v>" or short[-1] != x:
+                if len(short) == 4:
+                    break
+                short.append(x)
         found = [
+            ("c2", *short[:2]), ("c3", *short[:3]), ("c4", *short),
             ("e1", *e[-1:]), ("e2", *e[-2:]), ("e3", *e), ("s1", *t[:1]), ("s2", *t[:2]),
             ("size", size), ("size", size, held), ("box", held, min(self.hollow, 1), self.open_box), ("think", self.open_think),
             ("place", min(place, 6), held), ("place", min(place, 6), held, size), ("ended", self.ended, held), ("ended", self.ended, min(place, 6), self.open_box),
@@ -461,7 +473,7 @@ def synthetic_defects(rows: list[tuple[str, str]], seed: int = 5) -> list[tuple[
         sound(response)
         sound(value)
         sound(unboxed if not chained else f"{asked}\n{value}")
-        sound(pick((f"\\boxed{{{value}}}", f"$\\boxed{{{value}}}$", f"```\n{value}\n```", f"{response}\n\\boxed{{{value}}}")) if not chained else f"\\boxed{{{value}}}")
+        sound(pick((f"\\boxed{{{value}}}", f"$\\boxed{{{value}}}$", f"```\n{value}\n```", f"```\n{response}\n```", f"```\n{unboxed}\n```", f"{response}\n\\boxed{{{value}}}")) if not chained else f"\\boxed{{{value}}}")
         for _ in range((1 + p.wordy) if len(value) > 2 else 0):
             slip = int(rng.integers(0, len(value)))
             slipped = value[:slip] + pick("abcdefghijklmnopqrstuvwxyz0123456789~") + value[slip + 1 :]
@@ -551,7 +563,7 @@ def _thresholds(scores: np.ndarray, targets: np.ndarray) -> np.ndarray:
         f1 = 2 * true / (true + SOUND_FOR_DEFECT * len(s) * above / len(below) + len(s))
         k = int(f1.argmax())
         next_sound = below[len(below) - above[k] - 1, d] if above[k] < len(below) else s[k] - 1.0
-        out[d] = (s[k] + next_sound) / 2
+        out[d] = s[k] - GAP * (s[k] - next_sound)
     return out
 
 

@@ -30,9 +30,10 @@ def current_records(records: DataFrame) -> DataFrame:
 
 
 def scored(records: DataFrame, prediction: str = "prediction", target: str = "target") -> DataFrame:
-    """``records`` with ``boxed_valid, extracted_answer, exact, numeric, correct`` and ``output_tokens``."""
+    """``records`` with ``boxed_valid, extracted_answer, exact, numeric, correct`` and ``output_tokens``; columns of these names are replaced."""
     return (
-        records.withColumn("__s", score(F.col(prediction), F.col(target)))
+        records.drop("boxed_valid", "extracted_answer", "exact", "numeric")
+        .withColumn("__s", score(F.col(prediction), F.col(target)))
         .select("*", "__s.*")
         .drop("__s")
         .withColumn("correct", F.col("exact") | F.col("numeric"))

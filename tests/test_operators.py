@@ -4,6 +4,7 @@ import hashlib
 import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from runeworks.operators import graph, lengths, selection, splits
@@ -73,6 +74,14 @@ def test_select_split(spark):
     members = spark.createDataFrame([(1, "train"), (2, "train"), (2, "valid")], "id int, role string")
     assert [r.id for r in splits.select_split(rows, members, "id", "train", members, "valid").collect()] == [1]
     assert [r.id for r in splits.leak_free(rows, members, "id").collect()] == [3]
+    made = spark.createDataFrame([(1, "official"), (3, "synthetic"), (4, "repair"), (5, None), (2, "synthetic")], "id int, source string")
+    assert sorted(r.id for r in splits.select_split(made, members, "id", "train").collect()) == [1, 2, 3, 4]
+    assert sorted(r.id for r in splits.select_split(made, members, "id", "train", members, "valid").collect()) == [1, 3, 4]
+    assert sorted(r.id for r in splits.select_split(made, members, "id", "valid").collect()) == [2]
+    assert sorted(r.id for r in splits.of_kind(made, "synth").collect()) == [2, 3] and splits.of_kind(made, None) is made
+    assert sorted(r.id for r in splits.of_kind(made, "official ").collect()) == [1, 5]
+    with pytest.raises(ValueError, match="together"):
+        splits.select_split(made, members, "id", "train", members)
 
 
 def test_selection(spark):

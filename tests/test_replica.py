@@ -27,6 +27,13 @@ def test_replica(spark):
     assert replica.replica(predictions.limit(0), labels).missing.count() == 3 and replica.joined(predictions, labels.limit(0)).count() == 0
 
 
+def test_columns_of_the_same_names_are_replaced(spark):
+    predictions, labels = _tables(spark)
+    clashing = predictions.withColumns({c: F.lit("x") for c in ("target", "family", "subtype", "exact", "numeric", "boxed_valid", "extracted_answer", "correct", "output_tokens")})
+    rows = replica.joined(clashing, labels)
+    assert len(rows.columns) == len(set(rows.columns)) and sorted(r.correct for r in rows.collect()) == [False, True, True]
+
+
 def test_checksum_ignores_order(spark):
     predictions, labels = _tables(spark)
     rows = replica.joined(predictions, labels)

@@ -296,7 +296,9 @@ def search_programs(
 
     wanted = puzzles.select("id", "family", "subtype", "query", "parsed_examples")
     tasks = max(int(puzzles.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return wanted.repartition(tasks, "id").mapInArrow(solve, f"id {kind}, {PROGRAM}")
+    # By a hash of the id and not by the id: else the exchange of an aggregate by id would do, and that one is
+    # coalesced by its bytes, which say little about the work.
+    return wanted.repartition(tasks, F.xxhash64("id")).mapInArrow(solve, f"id {kind}, {PROGRAM}")
 
 
 _TYPES = (

@@ -363,7 +363,7 @@ class Features:
         return sums[self.ends] - sums[np.concatenate(([0], self.ends[:-1]))]
 
 
-def features(pairs: list[Pair], familiar: np.ndarray, own: list[np.ndarray] | None = None, hidden: np.ndarray | None = None) -> Features:
+def features(pairs: list[Pair], familiar: np.ndarray, own: list[frozenset[int]] | None = None, hidden: np.ndarray | None = None) -> Features:
     """Hashed n-grams, weighted by the root of their number, and the marks of each pair.
 
     ``familiar`` counts the sound responses that have an n-gram; ``own`` are n-grams of the
@@ -377,7 +377,7 @@ def features(pairs: list[Pair], familiar: np.ndarray, own: list[np.ndarray] | No
     of = np.repeat(np.arange(n), sizes)
     met = familiar[grams]
     if own is not None:
-        met = met - np.concatenate([np.zeros(0, dtype=bool), *(np.isin(g, mine) for g, mine in zip(each, own))])
+        met = met - np.fromiter((x in mine for g, mine in zip(each, own) for x in g), dtype=bool, count=len(grams))
     strange = np.where(sizes > 0, 1.0 - np.bincount(of, weights=met > 0, minlength=n) / np.maximum(sizes, 1), 0.0)
     if hidden is not None:
         strange = np.where(hidden, 1.0, strange)
@@ -584,10 +584,8 @@ def fit(rows: list[tuple[str, str]], seed: int = 5, epochs: int = 12, rate: floa
     prompts = {p: Prompt(p, known, values) for p in {m[0] for m in made}}
     pairs = [Pair(prompts[p], r) for p, r, _, _ in made]
     source = np.asarray([m[3] for m in made])
-    sound_grams = {at: np.asarray(Pair(prompts.get(p) or Prompt(p, known, values), r).grams(), dtype=np.int64) for at, (p, r) in enumerate(rows)}
-    familiar = np.zeros(BUCKETS, dtype=np.int32)
-    for g in sound_grams.values():
-        familiar[g] += 1
+    sound_grams = [frozenset(Pair(prompts.get(p) or Prompt(p, known, values), r).grams()) for p, r in rows]
+    familiar = np.bincount(np.fromiter(chain.from_iterable(sound_grams), dtype=np.int64), minlength=BUCKETS).astype(np.int32)
     hidden = rng.random(len(made)) < np.where([m[2] == 4 for m in made], 0.5, 0.25)
     data = features(pairs, familiar, [sound_grams[a] for a in source], hidden)
     targets = np.zeros((len(made), len(DEFECTS)))
@@ -604,12 +602,11 @@ def fit(rows: list[tuple[str, str]], seed: int = 5, epochs: int = 12, rate: floa
             row = np.repeat(np.arange(len(batch)), lengths)
             at = np.repeat(begins[batch] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
             ids, worth = data.ids[at], data.values[at][:, None]
-            scores = np.zeros((len(batch), len(DEFECTS)))
-            np.add.at(scores, row, weights[ids] * worth)
+            scores = np.add.reduceat(weights[ids] * worth, np.cumsum(lengths) - lengths, axis=0)
             error = targets[batch] - 1.0 / (1.0 + np.exp(-np.clip(scores, -30, 30)))
             touched, where = np.unique(ids, return_inverse=True)
-            step = np.zeros((len(touched), len(DEFECTS)))
-            np.add.at(step, where, error[row] * worth)
+            pull = error[row] * worth
+            step = np.stack([np.bincount(where, weights=pull[:, d], minlength=len(touched)) for d in range(len(DEFECTS))], axis=1)
             step = step / len(batch) - 1e-5 * weights[touched]
             speed[touched] += step**2
             weights[touched] += rate * step / np.sqrt(speed[touched])

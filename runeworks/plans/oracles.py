@@ -277,7 +277,7 @@ SHAPES = f"""WITH {PUZZLE}, side AS (SELECT id, pos - 1 AS pos, coalesce(e.input
     list_sort(ca) = list_sort(cb) AS same_multiset, list_reverse(ca) = cb AS reversed, list_reverse(ta) = tb AS tokens_reversed, regexp_matches(a, '{_EQ}') AS equation_like,
     regexp_matches(a, '{_NUM}') AS numeric_input, regexp_matches(b, '{_NUM}') AS numeric_output, regexp_matches(a, '{_BIN}') AND regexp_matches(b, '{_BIN}') AS binary,
     regexp_matches(a, '{_MEAS}') AND (regexp_matches(b, '{_NUM}') OR regexp_matches(b, '{_MEAS}')) AS measured, regexp_matches(b, '{_ROM}') AS roman_output,
-    length(a) = length(b) AND {_LINKS} = len(list_distinct(ca)) AND {_LINKS} = len(list_distinct(cb)) AND a <> b AND regexp_matches(a || b, '\p{{L}}') AS char_map,
+    length(a) = length(b) AND {_LINKS} = len(list_distinct(ca)) AND {_LINKS} = len(list_distinct(cb)) AND a <> b AND regexp_matches(a || b, '\\p{{L}}') AS char_map,
     ua <> '' AND ub <> '' AND ua <> ub AS unit_conversion FROM split_"""
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runeworks.functions import labels, scoring, signatures, text
 from runeworks.plans.queries import query_tokens
-from tests.llm.helpers import build, puzzle
+from tests.helpers import build, puzzle
 
 
 def values(spark, column, *inputs):

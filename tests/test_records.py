@@ -60,7 +60,7 @@ def _full(spark, rows):
 
 
 def test_prompt_modes_and_wide_records(spark):
-    df = _full(spark, [("a", "Ask.", "bit", "bit_rotate", "rotl", 0.9, "kaggle", '{"difficulty": 0.1, "source_dataset": "x"}'), ("b", " ", None, None, None, None, None, None), ("c", None, "unit", "", "", 0.2, "", '{"subtype": ""}')])
+    df = _full(spark, [("a", "Ask.", "bit", "bit_rotate", "rotl", 0.9, "partner", '{"difficulty": 0.1, "source_dataset": "x"}'), ("b", " ", None, None, None, None, None, None), ("c", None, "unit", "", "", 0.2, "", '{"subtype": ""}')])
     wide = {r.id: r for r in records.wide_records(df, "s").collect()}
     assert len(wide["a"].asDict()) == 16 and wide["a"].metadata.extras == '{"difficulty": 0.1, "source_dataset": "x"}' and wide["b"].metadata.extras == "{}"
     assert (wide["a"].source_dataset, wide["a"].difficulty, wide["a"].source_prompt_type, wide["a"].teacher_confidence) == ("x", 0.1, "raw", 0.9)

@@ -89,7 +89,7 @@ _POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
 
 def _bare_table() -> np.ndarray:
-    table = np.zeros(1 << 16, dtype=np.int64)
+    table = np.zeros(1 << 16, dtype=np.int8)
     for code in range(0x250):
         base = unicodedata.normalize("NFKD", chr(code).lower())[:1]
         if "a" <= base <= "z":
@@ -136,11 +136,13 @@ def _hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     """A 64-bit hash of each run of characters; ``codes`` are zero outside the runs."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    place = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes)))) if starts[0] == 0 else None
-    if place is None:
-        place = np.concatenate((np.zeros(starts[0], dtype=np.int64), np.arange(starts[0], len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))))
-    mixed = (codes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ (codes.astype(np.uint64) << np.uint64(17))
-    sums = np.add.reduceat(mixed * _POWERS[place & 63], starts) + (ends - starts).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
+    # The place of a character in its run, from 64 on again from 0; before the first run and after each, anything will do.
+    size = np.diff(np.append(starts, len(codes)))
+    place = ((np.arange(starts[0], len(codes), dtype=np.int64) - np.repeat(starts, size)) & 63).astype(np.int8)
+    mixed = codes[starts[0] :].astype(np.uint64)
+    mixed = (mixed * np.uint64(0xD6E8FEB86659FD93)) ^ (mixed << np.uint64(17))
+    mixed *= _POWERS[place]
+    sums = np.add.reduceat(mixed, starts - starts[0]) + (ends - starts).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
     return sums ^ (sums >> np.uint64(31))
 
 
@@ -221,7 +223,7 @@ def measure(texts: list[str]) -> np.ndarray:
     kinds = _CLASSES[codes]
     end = len(codes)
     padded = np.concatenate((codes, np.full(8, 10, dtype=codes.dtype)))
-    doc = np.repeat(np.arange(n), sizes)
+    doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
 
     begins = np.cumsum(sizes) - sizes
 
@@ -319,7 +321,7 @@ def measure(texts: list[str]) -> np.ndarray:
     celled = (cells >= 3) & (cell <= 25)
     # Share of lines with the number of cells that most lines of the text have, where that is three or more.
     many = np.flatnonzero(celled)
-    keys, hits = np.unique(of[many] * (1 << 20) + np.minimum(cells[many], (1 << 20) - 1), return_counts=True)
+    keys, hits = np.unique(of[many].astype(np.int64) * (1 << 20) + np.minimum(cells[many], (1 << 20) - 1), return_counts=True)
     even = np.zeros(n)
     np.maximum.at(even, keys >> 20, hits)
 
@@ -349,7 +351,7 @@ def measure(texts: list[str]) -> np.ndarray:
         distinct = np.bincount(word_of[order][new], minlength=n).astype(float)
     voiced = np.concatenate(([0], np.cumsum((kinds & _VOWEL) > 0)))
     vowels = (voiced[word_end] - voiced[word_start] > 0) | ((kinds[word_start] & _IDEOGRAM) > 0)
-    signs = np.unique(doc[visible] * (1 << 16) + codes[visible]) >> 16
+    signs = np.unique(doc[visible].astype(np.int64) * (1 << 16) + codes[visible]) >> 16
 
     bare = _BARE[codes]
     pair = np.flatnonzero((bare[:-1] > 0) & (bare[1:] > 0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from decimal import Context, Decimal, InvalidOperation
+from decimal import MAX_EMAX, MIN_EMIN, Context, Decimal, InvalidOperation
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,7 +14,8 @@ from pyspark.sql.types import BooleanType, StringType, StructType
 from runeworks.functions.text import TRAILING, _balanced
 
 RELATIVE, ABSOLUTE = 1e-2, 1e-5
-_CONTEXT = Context(prec=50)
+# Any exponent that a text may have: what is too large for it is infinite and matches nothing.
+_CONTEXT = Context(prec=50, Emax=MAX_EMAX, Emin=MIN_EMIN, traps=[InvalidOperation])
 _BLANKS = re.compile(r"\s+")
 _END = re.compile(f"[{TRAILING}]+\\Z")
 _FRACTION = re.compile(r"([+-]?\d+)/([+-]?\d+)")
@@ -41,9 +42,10 @@ def numeric_value(text: str | None) -> Decimal | None:
         return None
     if m := _LATEX.fullmatch(bare):
         above, below = numeric_value(m[1]), numeric_value(m[2])
-        return _CONTEXT.divide(above, below) if above is not None and below else None
+        value = _CONTEXT.divide(above, below) if above is not None and below else None
+        return value if value is not None and value.is_finite() else None
     if m := _FRACTION.fullmatch(bare):
-        return _CONTEXT.divide(Decimal(int(m[1])), Decimal(int(m[2]))) if int(m[2]) else None
+        return _CONTEXT.divide(Decimal(m[1]), below) if (below := Decimal(m[2])) else None
     try:
         base = _BASES.get(bare.lower().lstrip("+-")[:2])
         value = Decimal(int(bare, base)) if base else Decimal(bare)
@@ -56,8 +58,8 @@ def numbers_match(a: Decimal | None, b: Decimal | None, relative: float = RELATI
     """Whether two values differ by no more than the larger of both tolerances."""
     if a is None or b is None:
         return False
-    most = max(Decimal(str(absolute)), _CONTEXT.multiply(Decimal(str(relative)), max(abs(a), abs(b))))
-    return abs(_CONTEXT.subtract(a, b)) <= most
+    most = max(Decimal(str(absolute)), _CONTEXT.multiply(Decimal(str(relative)), max(a.copy_abs(), b.copy_abs())))
+    return _CONTEXT.subtract(a, b).copy_abs() <= most
 
 
 SCORE = (

@@ -1,13 +1,16 @@
 """The operator catalogue and the program search."""
 
+from difflib import SequenceMatcher
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from runeworks.plans.synth import generate, make_puzzle
+from runeworks.search import catalogue
 from runeworks.search.arithmetic import evaluate
 from runeworks.search.catalogue import BY_NAME, CATALOGUE
-from runeworks.search.engine import Searcher, search_programs, signature
+from runeworks.search.engine import Searcher, annotated, search_programs, signature, similarity
 from runeworks.search.values import fixed, to_roman, trimmed, whole
 
 FITS = [
@@ -125,3 +128,31 @@ def test_generated_puzzles_hold(spark):
         assert len(set([*inputs, puzzle["query"]])) == 4 and puzzle == make_puzzle(n, 9)
     made = generate(spark, 300, 9)
     assert made.count() > 250 and generate(spark, 300, 9, made).count() == 0
+
+
+#: Puzzles whose values leave the range of some number, by family: hexadecimal digits that read as a power of ten among them.
+BEYOND = [
+    ("numeral", [("8214124953", "12")], "5"), ("gravity", [("1e200", "5")], "2"), ("gravity", [("nan", "5")], "2"), ("unit", [("2 m", "nan")], "3 m"),
+    (None, [("(0-8)**0.5//2", "1")], "3"), ("numeral", [("9" * 3000, "1"), ("1", "9" * 3000), ("2", "5")], "7"), ("numeral", [("4", "1" * 5000 + "/3")], "7"),
+]
+
+
+def test_numbers_beyond_range_are_no_error(spark):
+    assert similarity("1e9999999", "12") < 0.98 == similarity("1" * 5000 + "/1", "1" * 5000)
+    kind = "id string, family string, subtype string, query string, parsed_examples array<struct<input:string,output:string>>"
+    rows = [(str(i), family, None, query, pairs) for i, (family, pairs, query) in enumerate(BEYOND)] + [("holes", "bit", None, "10", [None, ("01", "10")])]
+    got = {r.id: r for r in annotated(spark.createDataFrame(rows, kind), 8, 2).collect()}
+    assert len(got) == len(rows) and got["holes"].support == 1.0
+    assert {i for i, r in got.items() if r.signature is None} <= {"1", "2", "3"}
+
+
+def test_transducers_do_not_try_alike_rules_again(monkeypatch):
+    asked, real = [], catalogue._alignments
+    monkeypatch.setattr(catalogue, "_alignments", lambda *a: asked.append(a) or real(*a))
+    pairs = [("119/503", "3725"), ("856/898", "7964"), ("271/256", "2300"), ("914/405", "4629"), ("733/821", "7179"), ("952/475", "5195")]
+    assert BY_NAME["position_transducer"].infer(pairs) == [] and len(asked) < 2000
+
+
+@given(st.text("abc ", max_size=40), st.text("abc ", min_size=1, max_size=40))
+def test_similarity_is_the_share_of_matching_blocks(a, b):
+    assert a == b or similarity(a, b) == SequenceMatcher(None, a, b).ratio()

@@ -75,23 +75,6 @@ def _log_rates(rows: DataFrame, column: str, classes: list[str]) -> tuple[np.nda
     return np.log(totals / totals.sum()), np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
-def labelled_memberships(puzzles: DataFrame, rows: list[dict]) -> DataFrame:
-    """``hard, m, n``: the row memberships of puzzles by their labels alone, and how many puzzles have them.
-
-    All puzzles with one source and family belong alike, so there is a row for each of these
-    only, counted before anything is shuffled.
-    """
-    kinds = labelled_puzzles(puzzles).where(F.col("source").isNotNull()).groupBy("source", "family").agg(F.count(F.lit(1)).alias("n"))
-
-    def belongs(r: dict):
-        mine = F.col("source") == F.lit(r["s"])
-        return F.coalesce(mine if r["official_family"] == "*" else mine & (F.col("family") == F.lit(r["f"])), F.lit(False))
-
-    hard = F.array(*map(belongs, rows)) if rows else F.array().cast("array<boolean>")
-    held = kinds.select(hard.alias("hard"), F.transform(hard, lambda x: x.cast("double")).alias("m"), "n")
-    return settle(held.where(F.exists("hard", lambda x: x)))
-
-
 def memberships(puzzles: DataFrame, rows: list[dict]) -> DataFrame:
     """``id, hard, m, n``: the soft membership of each puzzle in every row of the settings; ``n`` is 1.
 
@@ -140,6 +123,17 @@ def memberships(puzzles: DataFrame, rows: list[dict]) -> DataFrame:
     return settle(soft.where(F.exists("m", lambda x: x > 0)))
 
 
+def alike(members: DataFrame) -> DataFrame:
+    """``hard, m, n``: members that belong alike as one row with their number, to which the fit is the same."""
+    return settle(members.groupBy("hard", "m").agg(F.sum("n").alias("n")))
+
+
+def own_members(members: DataFrame) -> DataFrame:
+    """``hard, m, n``: only what members belong to by their labels, alike ones as one row."""
+    own = members.where(F.exists("hard", lambda x: x)).groupBy("hard").agg(F.sum("n").alias("n"))
+    return settle(own.select("hard", F.transform("hard", lambda x: x.cast("double")).alias("m"), "n"))
+
+
 class Fit:
     """The fitted rates: a rate of each puzzle and group follows from its memberships and the steps.
 
@@ -209,20 +203,6 @@ def fit_rates(members: DataFrame, rows: list[dict]) -> tuple[Fit, np.ndarray, np
     return fit, sums[0], sums[2]
 
 
-def labelled_fit(puzzles: DataFrame, targets: DataFrame) -> list[dict]:
-    """The settings with what the fit reaches by each row's own puzzles alone: ``reached``, ``available``, ``unmet``.
-
-    A row whose total stays short of its target by half a record or more cannot be met: the
-    fitted rates of its puzzles are then all at the repeats allowed.
-    """
-    rows = mix_rows(targets)
-    _, reached, available = fit_rates(labelled_memberships(puzzles, rows), rows)
-    for i, r in enumerate(rows):
-        r["reached"], r["available"] = float(reached[i]), int(round(available[i]))
-        r["unmet"] = bool(r["wanted"] - reached[i] >= 0.5)
-    return rows
-
-
 def mixture_fit(puzzles: DataFrame, targets: DataFrame) -> tuple[DataFrame, list[dict], Fit]:
     """Memberships, the settings with ``expected`` and ``available``, and the fit over all puzzles."""
     rows = mix_rows(targets)
@@ -233,15 +213,34 @@ def mixture_fit(puzzles: DataFrame, targets: DataFrame) -> tuple[DataFrame, list
     return members, rows, fit
 
 
+def target_fit(puzzles: DataFrame, targets: DataFrame) -> list[dict]:
+    """The settings with what the fits reach: ``expected, available, reached, unmet``.
+
+    The classifier gives every puzzle its memberships. The fit over all of them tells what a row
+    gets in the mixture, classified puzzles included (``expected``); the one over the same members
+    by label alone, what it gets of its own puzzles (``reached``). A row whose own total stays short
+    of its target by half a record or more cannot be met: the fitted rates of its puzzles are then
+    all at the repeats allowed.
+    """
+    rows = mix_rows(targets)
+    members = alike(memberships(puzzles, rows))
+    _, expected, available = fit_rates(members, rows)
+    _, reached, _ = fit_rates(own_members(members), rows)
+    for i, r in enumerate(rows):
+        r["expected"], r["available"], r["reached"] = float(expected[i]), int(round(available[i])), float(reached[i])
+        r["unmet"] = bool(r["wanted"] - reached[i] >= 0.5)
+    return rows
+
+
 _REPORT = (
-    "mix_name string, source string, official_family string, wanted bigint, max_repeats int, available bigint, reached double, unmet boolean"
+    "mix_name string, source string, official_family string, wanted bigint, max_repeats int, available bigint, expected double, reached double, unmet boolean"
 )
 
 
 def mixture_targets(puzzles: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per row of ``mix_targets``: what is wanted, available and reached by its own puzzles, and whether it cannot be met."""
-    names = ("mix_name", "source", "official_family", "wanted", "repeats", "available", "reached", "unmet")
-    return puzzles.sparkSession.createDataFrame([tuple(r[n] for n in names) for r in labelled_fit(puzzles, targets)], _REPORT)
+    """Per row of ``mix_targets``: what is wanted, available, expected of all puzzles and reached by its own, and whether it cannot be met."""
+    names = ("mix_name", "source", "official_family", "wanted", "repeats", "available", "expected", "reached", "unmet")
+    return puzzles.sparkSession.createDataFrame([tuple(r[n] for n in names) for r in target_fit(puzzles, targets)], _REPORT)
 
 
 def unmet_targets(puzzles: DataFrame, targets: DataFrame) -> DataFrame:

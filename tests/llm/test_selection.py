@@ -134,6 +134,20 @@ def test_verdicts_come_from_the_fit(spark, monkeypatch):
     assert len(rows(mixing.unmet_targets(puzzles, targets))) == 4
 
 
+def test_verdicts_take_every_step_of_the_method(spark, monkeypatch):
+    """Puzzles without labels are classified for p1_found too and fill up what a row is expected to get, not what its own puzzles reach."""
+    puzzles, targets = _mix(spark)
+    fitted, real = [], mixing._log_rates
+    monkeypatch.setattr(mixing, "_log_rates", lambda rows, column, classes: fitted.append(column) or real(rows, column, classes))
+    report = {(r.mix_name, r.source): r for r in mixing.mixture_targets(puzzles, targets).collect()}
+    assert fitted == ["source", "family"]
+    short = report[("f", "synthetic")]
+    assert short.unmet and short.reached == 20 < short.expected <= short.wanted == 21
+    _, found, _ = mixing.mixture_fit(puzzles, targets)
+    assert {(r["mix_name"], r["source"]): round(r["expected"], 6) for r in found} == {k: round(r.expected, 6) for k, r in report.items()}
+    assert rows(mixing.unmet_targets(puzzles, targets)) == [("f", "synthetic", "unit"), ("f", "voice", "unit")]
+
+
 def test_overlapping_rows_have_totals_of_their_own(spark):
     puzzles, _ = _mix(spark)
     base = {"mix_name": "m", "target_share": 0.5, "total_records": 40, "max_repeats": 1}
